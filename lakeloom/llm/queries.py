@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts
+from . import bpe, mixing, quality, sharding, simhash, substrings, token_counts
 from .common import table
 
 
@@ -15,18 +16,76 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False, digests=True)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of the mix, range-sorted by the position of each document's first copy."""
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    first = F.try_element_at("positions", F.lit(1))
+    out = plan.withColumn("first_position_ppm", F.floor(first * 1e6).cast("long")).orderBy(first, "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position_ppm")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
+    "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
+    "op7_mixing": op7_mixing,
+    "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+OP7_SQL = r"""
+WITH sized AS (
+    SELECT row_number() OVER () AS nr, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+    FROM documents),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (
+    SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][rank % 3 + 1] AS weight, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][rank % 3 + 1] AS slope, 3.0::DOUBLE * source_size AS cap FROM sources),
+levels AS (
+    SELECT *, row_number() OVER fill AS nr,
+        (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+    FROM weighed WINDOW fill AS (ORDER BY cap / weight, rank)),
+targets AS (
+    SELECT *, least(cap, weight * (SELECT level FROM levels WHERE cap >= level * weight ORDER BY nr LIMIT 1)) AS target FROM levels),
+placed AS (
+    SELECT doc_id, size, source_size, target, slope, rank, coalesce(least(3, floor(target / nullif(source_size, 0))), 0)::INT AS epochs,
+        sum(size) OVER (PARTITION BY rank ORDER BY h, doc_id, size, s.nr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fin
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+parts AS (SELECT *, target - epochs * source_size AS part FROM placed),
+reach AS (SELECT *, coalesce(max(CASE WHEN fin <= part THEN fin END) OVER (PARTITION BY rank), 0) AS reached FROM parts),
+fill AS (
+    SELECT rank, min_by(fin, (abs(size - (part - reached)), fin)) AS filler FROM reach
+    WHERE fin > part AND size > 0 AND abs(size - (part - reached)) < part - reached GROUP BY rank),
+counted AS (
+    SELECT r.*, CASE WHEN size > 0 THEN epochs + (fin <= part)::INT + (coalesce(fin = filler, false))::INT ELSE 0 END AS copies,
+        least(1.0::DOUBLE, (CASE WHEN epochs > 0 OR fin <= part THEN fin - size / 2.0::DOUBLE ELSE reached + size / 2.0::DOUBLE + epochs * source_size END) / target) AS share
+    FROM reach r LEFT JOIN fill f ON r.rank = f.rank)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies,
+    CASE WHEN copies > 0 THEN floor(2.0 * share / ((1.0 - slope) + sqrt((1.0 - slope) * (1.0 - slope) + 4.0 * slope * share)) * 1e6)::BIGINT END AS first_position_ppm
+FROM counted
+"""
+
+ORACLE: dict[str, str] = {"op7_mixing": OP7_SQL}
