@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash, substrings, token_counts
+from . import ann, bpe, html_text, mixing, quality, sharding, simhash, substrings, token_counts
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of the mix, range-sorted by the position of each document's first copy."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -36,6 +41,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position_ppm")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
+    "op5_ann": op5_ann,
     "op7_mixing": op7_mixing,
+    "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
