@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, mixing, quality, sharding, simhash, substrings, token_counts
+from . import ann, bpe, html_text, mixing, quality, sharding, simhash, substrings, token_counts, warc
 from .common import table
 
 
@@ -33,6 +33,13 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of a capture history that Spark derives from the pages, headers as lines of text."""
+    out = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform("headers", lambda x: F.concat(x["name"], F.lit(": "), x["value"])), "\n")
+    return out.withColumn("headers", lines)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of the mix, range-sorted by the position of each document's first copy."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op5_ann": op5_ann,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
@@ -99,4 +107,35 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies,
 FROM counted
 """
 
-ORACLE: dict[str, str] = {"op7_mixing": OP7_SQL}
+OP6_SQL = r"""
+WITH base AS (
+    SELECT page_id, url, md5(coalesce(html, '')) AS md5, sha1(coalesce(html, '')) AS sha1, strlen(coalesce(html, '')) AS length, 1704067200 + page_id * 60 AS start FROM pages),
+kinds AS (SELECT *, unnest(CASE WHEN page_id % 3 = 0 THEN [0, 1, 2] ELSE [0, 2] END) AS kind FROM base),
+tagged AS (
+    SELECT *, page_id * 3 + kind AS record_id, start + CASE kind WHEN 1 THEN 2 * 86400 WHEN 2 THEN (1 + page_id * 7 % 5) * 86400 ELSE 0 END AS ts,
+        CASE kind WHEN 1 THEN '"v2-' || substr(md5, 1, 12) || '"' ELSE '"' || substr(md5, 1, 16) || '"' END AS tag,
+        regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+    FROM kinds),
+parts AS (
+    SELECT *, regexp_extract(rest, '^([^?]*)', 1) AS address,
+        list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid|phpsessid)(=|$)'))) AS kept
+    FROM tagged),
+records AS (
+    SELECT *, CASE WHEN kind = 1 THEN sha1(sha1 || '-2') ELSE sha1 END AS digest,
+        regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(address, '^([^/]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '')
+        || regexp_replace(regexp_extract(address, '^[^/]*(.*)$', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url
+    FROM parts),
+responses AS (
+    SELECT * FROM records WHERE kind < 2 QUALIFY row_number() OVER (PARTITION BY canonical_url, ts ORDER BY record_id DESC) = 1),
+found AS (
+    SELECT v.*, r.record_id AS rid, r.tag AS rtag, r.digest AS rdigest, r.length AS rlength
+    FROM (SELECT * FROM records WHERE kind = 2) v ASOF LEFT JOIN responses r ON v.canonical_url = r.canonical_url AND v.ts > r.ts),
+judged AS (SELECT *, CASE WHEN rid IS NULL THEN 'orphan' WHEN tag = rtag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM found)
+SELECT record_id, url, canonical_url, outcome,
+    CASE WHEN outcome = 'resolved' THEN rid END AS response_id, CASE WHEN outcome = 'resolved' THEN rdigest END AS digest, CASE WHEN outcome = 'resolved' THEN rlength END AS length,
+    CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || rlength || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10)
+        || 'etag: ' || CASE WHEN page_id % 4 = 0 THEN 'W/' ELSE '' END || tag END AS headers
+FROM judged
+"""
+
+ORACLE: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL}
