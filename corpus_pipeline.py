@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, quality
+from pyspark.sql import functions as F
+
+from lakeloom.llm import bpe, mixing, quality, simhash, substrings
 from lakeloom.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,8 +17,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality.quality_rules(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    return quality.keep_good(docs.select(*COLUMNS))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates (five-word shingles).
+
+    Rows of the same id are copies of one document: one stays.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = materialize(simhash.near_duplicates(docs, shingle=5, radius=4), "groups")
+    kept = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated = groups.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that also stand earlier; n_chars is counted anew."""
+    cut = substrings.remove_repeats(docs.select(*COLUMNS), texts=True, carry=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, each as often as it takes them, in training order."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +51,9 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("mixing", mixing_stage),
     ("bpe", bpe_stage),
 ]
 

@@ -151,19 +151,19 @@ def prefix_counts(docs: DataFrame, params: RepeatParams) -> tuple[dict[int, np.n
     return counts, sum(r.n for r in rows if r.length < 0), int(counts[1].sum()) if counts else 0
 
 
-def sorted_chunk(t: pa.Table) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Ids with NO_ID for null, ids as they are, and texts, in order of (id, text)."""
+def sorted_chunk(t: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Array, pa.Array]:
+    """A chunk in order of (id, text); its ids with NO_ID for null, ids as they are, and texts."""
     ids = np.array([NO_ID if x is None else x for x in t.column("doc_id").to_pylist()], dtype=np.int64)
     t = t.append_column("order", pa.array(ids)).sort_by([("order", "ascending"), ("text", "ascending")]).combine_chunks()
     flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    return flat(t.column("order")).to_numpy(), flat(t.column("doc_id")), flat(t.column("text"))
+    return t, flat(t.column("order")).to_numpy(), flat(t.column("doc_id")), flat(t.column("text"))
 
 
 def chunk_leaves(params: RepeatParams, short: dict[int, np.ndarray], groups: int) -> Callable[[pa.Table], pa.Table]:
     """short: for each prefix length, the buckets that need no longer prefix."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, _, texts = sorted_chunk(t)
+        _, ids, _, texts = sorted_chunk(t)
         words = Words.of(texts)
         starts = words.starts(params.window)
         levels = list(words.prefixes(params.window))
@@ -210,9 +210,9 @@ def repeated_leaves(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(list(out), pa.int64()), "removed": pa.array(blobs, pa.binary())})
 
 
-def cut_chunk(params: RepeatParams, spans: bool, texts_too: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def cut_chunk(params: RepeatParams, spans: bool, texts_too: bool, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        _, ids, texts = sorted_chunk(docs)
+        docs, _, ids, texts = sorted_chunk(docs)
         words = Words.of(texts)
         starts = words.starts(params.window)
         *_, (_, prints) = words.prefixes(params.window)
@@ -247,28 +247,30 @@ def cut_chunk(params: RepeatParams, spans: bool, texts_too: bool) -> Callable[[p
             out["kept_text"] = pa.array(kept, pa.string())
         if spans:
             out["removed_spans"] = pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        return pa.table(out)
+        return pa.table(out | {c: docs.column(f"carried_{c}") for c in carry})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), *, spans: bool = False, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), *, spans: bool = False, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256, and kept_text or removed_spans if asked for.
 
     A word goes if it lies in a window of ``window`` consecutive words of its document that also starts
     earlier: in a document of smaller id, or before in the same one. Windows are judged on the input. The
     digest is of the kept words joined by one space; kept_text is that too where a word went, else the text
     as it was. removed_spans are the maximal runs of removed words. A null or empty text has no words. Null
-    ids come last; rows of the same id come in order of their texts. Other columns play no part.
+    ids come last; rows of the same id come in order of their texts. The columns in carry are handed on with
+    their rows; others play no part.
     """
     counts, size, suffixes = prefix_counts(docs, params)
     chunks = max(1, -(-size // params.chunk_bytes))
     groups = max(1, -(-suffixes // params.group_suffixes))
     limit = max(4 * suffixes // params.buckets, params.group_suffixes // 8)
     short = {k: x <= limit for k, x in counts.items()}
-    dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     leaves = dealt.groupBy("chunk").applyInArrow(chunk_leaves(params, short, groups), "group long, chunk long, leaves binary")
     replies = leaves.groupBy("group").applyInArrow(repeated_leaves, "chunk long, removed binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + ", removed_spans array<struct<start: long, end: long>>" * spans
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut_chunk(params, spans, texts), schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut_chunk(params, spans, texts, carry), schema)
