@@ -1,6 +1,6 @@
 """All registered queries, by part of the warehouse."""
 
-from . import layers  # noqa: F401
+from . import features, layers  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
