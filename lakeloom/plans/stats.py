@@ -118,10 +118,11 @@ def trend_sql(keys: str, source: str, time: str, value: str, last: int, ahead: i
             SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {time} DESC, {value} DESC) <= {last})) GROUP BY {keys} HAVING count(*) >= 3"""
 
 
-@query("TF3_lag_trend", sql("consumer_lag", f"SELECT consumer_group, topic, points, {rounded_sql('slope', 6)} AS slope, {rounded_sql('predicted', 2)} AS predicted FROM ({trend_sql('consumer_group, topic', 'consumer_lag', 'check_time', 'lag', 20, 1800)}) WHERE predicted > 100000"))
+@query("TF3_lag_trend", sql("consumer_lag", f"SELECT consumer_group, topic, points, {rounded_sql('slope', 6)} AS slope, {rounded_sql('predicted', 2)} AS predicted, CASE WHEN predicted > 100000 THEN 1 ELSE 0 END AS is_alert FROM ({trend_sql('consumer_group, topic', 'consumer_lag', 'check_time', 'lag', 20, 1800)} )"))
 def tf3(spark, sf):
     out = S.linear_trend(A.consumer_lag(spark, sf), ["consumer_group", "topic"], "check_time", "lag", 20, 1800)
-    return out.filter("predicted > 100000").select("consumer_group", "topic", "points", S.rounded(F.col("slope"), 6).alias("slope"), S.rounded(F.col("predicted"), 2).alias("predicted"))
+    alert = F.when(F.col("predicted") > 100_000, 1).otherwise(0).alias("is_alert")
+    return out.select("consumer_group", "topic", "points", S.rounded(F.col("slope"), 6).alias("slope"), S.rounded(F.col("predicted"), 2).alias("predicted"), alert)
 
 
 @query("TF4_storage_trend", sql("query_log", f", days AS (SELECT regexp_extract(query_sql, 'INTO (\\w+\\.\\w+)', 1) AS target, date_trunc('day', query_time) AS day, CAST(sum(read_bytes) AS BIGINT) AS bytes FROM query_log WHERE query_sql LIKE 'INSERT%' GROUP BY 1, 2) SELECT target, points, {rounded_sql('slope', 6)} AS slope, CASE WHEN slope * 3600 > 1024 THEN 1 ELSE 0 END AS is_growing FROM ({trend_sql('target', 'days', 'day', 'bytes', 5, 0)})"))
