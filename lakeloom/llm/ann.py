@@ -34,8 +34,6 @@ class AnnParams:
     sample_queries: int = 256
     rounds: int = 30
     block_rows: int = 8192
-    #: Queries that visit a block in one step of work.
-    query_step: int = 256
 
 
 @dataclass(frozen=True)
@@ -88,28 +86,37 @@ def fit(sample: np.ndarray, params: AnnParams) -> Codes:
 class MultiIndex:
     """Inverted lists of one block of codes by the value of each substring (one byte)."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, radius: int):
+        self.codes, self.radius = codes, radius
+        self.wide = codes.view(np.uint64) if codes.shape[1] % 8 == 0 else codes
         self.lists = []
         for s in range(codes.shape[1]):
             order = np.argsort(codes[:, s], kind="stable").astype(np.int32)
             self.lists.append((order, np.searchsorted(codes[order, s], np.arange(257))))
+        #: (substring, value) -> rows in the lists that a query with that value probes
+        self.probed: dict[tuple[int, int], np.ndarray] = {}
 
-    def within(self, query: np.ndarray, radius: int, at_least: int) -> np.ndarray:
-        """Rows whose code lies within the radius; the nearest ones, if fewer than at_least do."""
-        if radius // len(self.lists) >= 4:  # a probe of half the values or more: reading all codes is less work
-            distance = hamming(self.codes, query)
-            found = np.flatnonzero(distance <= radius)
-        else:
+    def probe(self, s: int, value: int) -> np.ndarray:
+        """Rows whose substring lies within the share of the radius that the pigeonhole principle leaves it."""
+        if (s, value) not in self.probed:
             hit = np.zeros(len(self.codes), dtype=bool)
-            values = np.arange(256, dtype=np.uint8)
-            for s, (order, start) in enumerate(self.lists):
-                for v in np.flatnonzero(np.bitwise_count(values ^ query[s]) <= radius // len(self.lists)).tolist():
-                    hit[order[start[v] : start[v + 1]]] = True
-            found = np.flatnonzero(hit)
-            found = found[hamming(self.codes[found], query) <= radius]
+            order, start = self.lists[s]
+            for v in np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(value)) <= self.radius // len(self.lists)).tolist():
+                hit[order[start[v] : start[v + 1]]] = True
+            self.probed[s, value] = hit
+        return self.probed[s, value]
+
+    def distance(self, query: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.wide ^ query.view(self.wide.dtype)).sum(axis=1, dtype=np.int64)
+
+    def within(self, query: np.ndarray, at_least: int) -> np.ndarray:
+        """Rows whose code lies within the radius; the nearest ones, if fewer than at_least do."""
+        hit = self.probe(0, int(query[0])).copy()
+        for s in range(1, len(self.lists)):
+            hit |= self.probe(s, int(query[s]))
+        distance = self.distance(query)  # of all rows: most are probed at such radii, and gathering costs more
+        found = np.flatnonzero(hit & (distance <= self.radius))
         if len(found) < min(at_least, len(self.codes)):
-            distance = hamming(self.codes, query)
             found = np.flatnonzero(distance <= np.partition(distance, at_least - 1)[at_least - 1]) if at_least < len(distance) else np.arange(len(distance))
         return found
 
@@ -126,9 +133,9 @@ def search_block(codes: Codes, params: AnnParams) -> Callable[[pa.Table, pa.Tabl
         if rows.num_rows and queries.num_rows:
             ids, vectors = rows.column("vec_id").to_numpy(), np.ascontiguousarray(matrix(rows.column("embedding")), dtype=np.float64)
             query_ids, wanted = queries.column("query_id").to_numpy(), np.ascontiguousarray(matrix(queries.column("query")), dtype=np.float64)
-            index, query_codes = MultiIndex(codes.encode(vectors)), codes.encode(wanted)
+            index, query_codes = MultiIndex(codes.encode(vectors), codes.radius), codes.encode(wanted)
             for n, q in enumerate(wanted):
-                found = index.within(query_codes[n], codes.radius, params.k + 1)
+                found = index.within(query_codes[n], params.k + 1)
                 found = found[ids[found] != query_ids[n]]
                 near = vectors[found]
                 rough = near @ q
