@@ -9,9 +9,10 @@ earliest are starts of repeated windows, and adjacent ones merge into maximal re
 
 What moves: documents are dealt once, by a hash of the id, into chunks of about ``chunk_bytes``; a chunk
 first folds its own repeats, so that a passage, word or copy however frequent sends one leaf a chunk; the
-other leaves travel as packed arrays (a 64-bit fingerprint of the window, id and position as deltas). Groups
-answer each chunk with the positions to remove. Windows are equal if their fingerprints are, which fails
-with a probability of about (windows)^2 / 2^65.
+other leaves travel as packed arrays (a 56-bit fingerprint of the window, id and position as deltas). Groups
+answer each chunk with the positions to remove. Windows of a group are equal if 56 bits of their fingerprints
+are; as the groups tell windows apart as well, that fails with a probability of about
+windows * group_suffixes / 2^57.
 """
 
 from __future__ import annotations
@@ -114,16 +115,17 @@ def first_and_later(prints: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 
 
 def pack(prints: np.ndarray, ids: np.ndarray, positions: np.ndarray) -> bytes:
-    """positions ascend; ids and positions become compressed differences."""
+    """positions ascend; ids and positions become compressed differences, of prints 56 bits stay."""
     small = zstandard.ZstdCompressor(level=1).compress(np.diff(ids, prepend=0).tobytes() + np.diff(positions, prepend=0).astype(np.int32).tobytes())
-    return len(prints).to_bytes(8, "little") + prints.tobytes() + small
+    return len(prints).to_bytes(8, "little") + prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes() + small
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
-    prints = np.frombuffer(blob, dtype=np.uint64, count=n, offset=8)
-    small = zstandard.ZstdDecompressor().decompress(blob[8 + 8 * n :])
-    return prints, np.cumsum(np.frombuffer(small, dtype=np.int64, count=n)), np.cumsum(np.frombuffer(small, dtype=np.int32, offset=8 * n).astype(np.int64))
+    prints = np.zeros((n, 8), dtype=np.uint8)
+    prints[:, :7] = np.frombuffer(blob, dtype=np.uint8, count=7 * n, offset=8).reshape(-1, 7)
+    small = zstandard.ZstdDecompressor().decompress(blob[8 + 7 * n :])
+    return prints.view("<u8").ravel(), np.cumsum(np.frombuffer(small, dtype=np.int64, count=n)), np.cumsum(np.frombuffer(small, dtype=np.int32, offset=8 * n).astype(np.int64))
 
 
 def prefix_counts(docs: DataFrame, params: RepeatParams) -> tuple[dict[int, np.ndarray], int, int]:
