@@ -135,13 +135,16 @@ def prefix_counts(docs: DataFrame, params: RepeatParams) -> tuple[dict[int, np.n
         sums: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            texts = batch.column(0)
-            size += pc.sum(pc.binary_length(texts)).as_py() or 0
-            words = Words.of(texts)
-            starts = words.starts(params.window)
-            for length, h in words.prefixes(params.window):
-                if length < params.window and len(starts):
-                    sums[length] = sums.get(length, 0) + np.bincount((h[starts] % np.uint64(params.buckets)).astype(np.int64), minlength=params.buckets)
+            bytes_ = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            size += int(bytes_.sum())
+            # a batch can be long: its arrays are held for one slice at a time
+            cuts = np.unique(np.searchsorted(np.cumsum(bytes_), np.arange(0, bytes_.sum() + params.chunk_bytes, params.chunk_bytes), side="left").clip(0, len(bytes_)))
+            for a, b in zip(cuts, [*cuts[1:], len(bytes_)]):
+                words = Words.of(batch.column(0).slice(a, b - a))
+                starts = words.starts(params.window)
+                for length, h in words.prefixes(params.window) if len(starts) else ():
+                    if length < params.window:
+                        sums[length] = sums.get(length, 0) + np.bincount((h[starts] % np.uint64(params.buckets)).astype(np.int64), minlength=params.buckets)
         rows = [(-1, 0, size)] + [(k, b, n) for k, x in sums.items() for b, n in enumerate(x.tolist()) if n]
         yield dict(zip(("length", "bucket", "n"), zip(*rows)))
 
