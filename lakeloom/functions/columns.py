@@ -78,7 +78,7 @@ STATES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR S
 def ip_state(ip: Column) -> Column:
     """A state by the last octet of an address, null for what isn't one. In real use, join a table of ranges."""
     last = F.try_element_at(F.split(ip, r"\."), F.lit(4)).try_cast("int")
-    return F.element_at(F.array(*map(F.lit, STATES)), F.pmod(last, F.lit(len(STATES))) + 1)
+    return F.when(last.isNotNull(), F.element_at(F.array(*map(F.lit, STATES)), F.pmod(F.coalesce(last, F.lit(0)), F.lit(len(STATES))) + 1))
 
 
 def time_decay(hours: Column, half_life: float) -> Column:

@@ -98,7 +98,7 @@ def holt(values: Column, horizon: int = 10, alpha: float = 0.35, beta: float = 0
 
     def ahead(i: Column) -> Column:
         point = F.greatest(state["level"] + i * state["trend"], z)
-        wide = margin * (F.lit(1.0) + F.lit(0.1) * i)
+        wide = margin * (F.lit(1.0) + F.lit(0.1) * (i - 1))  # steps count from 0 here
         return F.struct(i.alias("horizon"), point.alias("predicted"), F.greatest(point - wide, z).alias("lower_bound"), (point + wide).alias("upper_bound"))
 
     steps = F.sequence(F.lit(1), F.lit(horizon))
