@@ -17,11 +17,11 @@ from .registry import query
 EMPTY = "count(*) FILTER (feature_value IS NULL OR feature_value = 0)::DOUBLE / count(*)"
 
 
-@query("A25_distribution", sql("feature_history", f"""SELECT group_name, feature_name, count(*) AS cnt, CAST(sum(CAST(feature_value AS DECIMAL(18,4))) AS DOUBLE) / count(feature_value) AS mean, stddev_pop(feature_value) AS std,
-    min(feature_value) AS min, max(feature_value) AS max, quantile_cont(feature_value, 0.5) AS p50, quantile_cont(feature_value, 0.95) AS p95, {EMPTY} AS null_rate FROM feature_history GROUP BY 1, 2"""))
+@query("A25_distribution", sql("feature_history", f"""SELECT group_name, feature_name, count(*) AS cnt, CAST(sum(CAST(feature_value AS DECIMAL(18,4))) AS DOUBLE) / count(feature_value) AS mean, {rounded_sql('stddev_pop(feature_value)', 6)} AS std,
+    min(feature_value) AS min, max(feature_value) AS max, {rounded_sql('quantile_cont(feature_value, 0.5)', 6)} AS p50, {rounded_sql('quantile_cont(feature_value, 0.95)', 6)} AS p95, {EMPTY} AS null_rate FROM feature_history GROUP BY 1, 2"""))
 def a25(spark, sf):
     out = S.distribution(A.feature_history(spark, sf), ["group_name", "feature_name"], "feature_value")
-    return out
+    return out.withColumns({c: S.rounded(F.col(c), 6) for c in ("std", "p50", "p95")})
 
 
 def parts(base_start: str, mid: str, end: str) -> str:
@@ -151,13 +151,14 @@ def w8(spark, sf):
 
 
 @query("W9_recent_drop", sql("order_stream", f""", {HOURS}, long AS (UNPIVOT (SELECT window_start, order_cnt::DOUBLE AS order_cnt, total_gmv FROM hours) ON order_cnt, total_gmv INTO NAME metric_name VALUE v)
-    SELECT *, CASE WHEN points >= 10 AND current < mean - 2 * std THEN 1 ELSE 0 END AS is_drop FROM (
+    SELECT metric_name, points, {rounded_sql('mean', 6)} AS mean, {rounded_sql('std', 6)} AS std, {rounded_sql('current', 6)} AS current, CASE WHEN points >= 10 AND current < mean - 2 * std THEN 1 ELSE 0 END AS is_drop FROM (
         SELECT metric_name, count(v) FILTER (b) AS points, avg(v) FILTER (b) AS mean, stddev_samp(v) FILTER (b) AS std, avg(v) FILTER (NOT b) AS current
         FROM (SELECT *, window_start < {NOW} - INTERVAL 5 HOUR AS b FROM long WHERE window_start >= {NOW} - INTERVAL 60 HOUR AND window_start < {NOW}) GROUP BY 1)"""))
 def w9(spark, sf):
     """Hours stand for minutes, as the events are sparse."""
     stats = L.minute_stats(A.order_stream(spark, sf), "1 hour").withColumn("order_cnt", F.col("order_cnt").cast("double"))
-    return S.recent_drop(stats, "window_start", ["order_cnt", "total_gmv"], at(AS_OF), start_min=60 * 60, recent_min=5 * 60)
+    out = S.recent_drop(stats, "window_start", ["order_cnt", "total_gmv"], at(AS_OF), start_min=60 * 60, recent_min=5 * 60)
+    return out.withColumns({c: S.rounded(F.col(c), 6) for c in ("mean", "std", "current")})
 
 
 @query("W10_sliding_outliers", sql("order_stream", f", h AS (SELECT product_category, date_trunc('hour', event_time) AS window_start, {GMV} AS total_gmv FROM order_stream WHERE price >= 0 GROUP BY 1, 2) SELECT product_category, window_start, total_gmv FROM (SELECT *, avg(total_gmv) OVER w AS mean, stddev_samp(total_gmv) OVER w AS std FROM h WINDOW w AS (PARTITION BY product_category ORDER BY epoch(window_start) RANGE BETWEEN 108000 PRECEDING AND 3600 PRECEDING)) WHERE abs(total_gmv - mean) > 2 * std"))
