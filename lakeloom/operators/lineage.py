@@ -25,17 +25,21 @@ def downstream(edges: DataFrame, node: str) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All (ancestor, descendant) pairs. The recursion keeps distinct pairs, so cycles end."""
+    """All (ancestor, descendant) pairs of different nodes.
+
+    Each round joins the pairs with themselves, so paths double in length and rounds are few; distinct pairs
+    stay, so cycles end.
+    """
     spark = edges.sparkSession
-    pairs, new = edges.select(F.col("source").alias("ancestor"), F.col("target").alias("descendant")).distinct(), None
-    new = pairs
-    step = edges.select(F.col("source").alias("descendant"), F.col("target").alias("next")).distinct()
+    pairs = _settle(spark, edges.select(F.col("source").alias("ancestor"), F.col("target").alias("descendant")).distinct())
+    n = pairs.count()
     while True:
-        found = new.join(step, "descendant").select("ancestor", F.col("next").alias("descendant")).distinct().join(pairs, ["ancestor", "descendant"], "left_anti")
-        found = _settle(spark, found)
-        if found.isEmpty():
+        onward = pairs.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
+        longer = pairs.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant"))
+        pairs, before = _settle(spark, pairs.unionByName(longer).distinct()), n
+        n = pairs.count()
+        if n == before:
             return pairs.filter("ancestor <> descendant")
-        pairs, new = _settle(spark, pairs.unionByName(found)), found
 
 
 def _settle(spark, df: DataFrame) -> DataFrame:
