@@ -6,9 +6,14 @@ whose marks or capitals pass a plain bound give nothing, so that junk doesn't sh
 pass compares each document with the reference of its language by Jensen-Shannon distance and applies
 plain base rules. Documents under a minimum length are not judged by a histogram.
 
+A language with few documents has no reference: its documents are held only against the share of marks and
+controls of all documents, from above, as that is the same in every script; letters of whatever script count
+for them.
+
 Each pass is narrow. Between them only sums by (language, key) are shuffled, combined on the map side;
-the references have a fixed number of entries a language and at most ``MAX_LANGS`` languages (others, and
-languages with few documents, use the reference of all documents), so what reaches every task is bounded.
+the references have a fixed number of entries a language. Those of the ``MAX_LANGS`` commonest languages reach
+every task; those of further ones, each with a small part of the documents, stay a table that is joined to
+their documents.
 """
 
 from __future__ import annotations
@@ -27,14 +32,15 @@ from .common import SPACES, map_batches, materialize, text_or_empty
 SYMBOLS = "#*$%&|<>"
 #: Character classes of the histogram, in order.
 CLASSES = ("lower", "upper", "digit", "space", "sentence mark", "other mark", "control", "other script")
-ALL = ""  # the reference of all languages
+MARKS = (5, 6)  # the classes that no script has much of
+#: Languages whose references every task holds.
 MAX_LANGS = 200
 
 
 @dataclass(frozen=True)
 class QualityParams:
     top_words: int = 64
-    #: A language with fewer documents is held against the reference of all.
+    #: A language with fewer documents is held against the share of marks of all documents.
     min_reference_docs: int = 50
     #: A document gives to the reference up to these shares of other marks and of capitals.
     max_reference_marks: float = 0.05
@@ -154,46 +160,95 @@ class Reference:
     shares: np.ndarray
 
 
-def fit_references(docs: DataFrame, params: QualityParams = QualityParams()) -> dict[str, Reference]:
-    """The references by language, from all documents. An empty table gives none."""
-    sums = materialize(histogram_sums(docs, params).groupBy("lang", "kind", "key").agg(F.sum("weight").alias("weight")), "sums")
-    langs = sums.filter("kind = 'docs'").orderBy(F.desc("weight"), "lang").limit(MAX_LANGS).select("lang", F.col("weight").alias("n"))
-    top = Window.partitionBy("lang", "kind").orderBy(F.desc("weight"), "key")
-    own = sums.join(F.broadcast(langs), "lang")
-    total = sums.groupBy("kind", "key").agg(F.sum("weight").alias("weight")).select(F.lit(ALL).alias("lang"), "kind", "key", "weight")
+@dataclass(frozen=True)
+class References:
+    #: By language, of the commonest ones.
+    own: dict[str, Reference]
+    #: lang and entries of the other languages with enough documents, if there are any.
+    more: DataFrame | None
+    #: Share of marks and controls in all documents; None without documents.
+    marks: float | None
+
+
+def reference(entries: list) -> Reference:
+    """The reference of a language, from its (kind, at, key, weight) in order."""
+    n = sum(e["weight"] for e in entries if e["kind"] == "docs")
+    classes = np.zeros(len(CLASSES))
+    for e in entries:
+        if e["kind"] == "class":
+            classes[int(e["key"])] = e["weight"]
+    words = [e for e in entries if e["kind"] == "word"]
+    shares = np.array([e["weight"] for e in words] + [0.0]) / max(n, 1)
+    shares[-1] = max(0.0, 1 - shares.sum())
+    return Reference(classes / (classes.sum() or 1), {bytes(e["key"]): k for k, e in enumerate(words)}, shares / (shares.sum() or 1))
+
+
+def best_entries(sums: DataFrame, params: QualityParams) -> DataFrame:
+    """lang and entries, the (kind, at, key, weight) of its reference in order: one row for each language in sums."""
     # two steps: many tasks each keep their best words, then one task a language ranks those few
-    rows = own.select("lang", "kind", "key", "weight").unionByName(total)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
     first = Window.partitionBy("lang", "kind", "salt").orderBy(F.desc("weight"), "key")
+    top = Window.partitionBy("lang", "kind").orderBy(F.desc("weight"), "key")
+    rows = sums.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
     rows = rows.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= params.top_words)
-    kept = rows.withColumn("at", F.row_number().over(top)).filter(F.col("at") <= params.top_words).orderBy("lang", "kind", "at").collect()
-    out = {}
-    for lang in sorted({r.lang for r in kept}):
-        mine = [r for r in kept if r.lang == lang]
-        n = sum(r.weight for r in mine if r.kind == "docs")
-        if lang != ALL and n < params.min_reference_docs:
+    rows = rows.withColumn("at", F.row_number().over(top)).filter(F.col("at") <= params.top_words)
+    return rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("kind", "at", "key", "weight"))).alias("entries"))
+
+
+def fit_references(docs: DataFrame, params: QualityParams = QualityParams(), max_langs: int = MAX_LANGS) -> References:
+    """The references by language, from all documents. An empty table gives none."""
+    sums = materialize(histogram_sums(docs, params).groupBy("lang", "kind", "key").agg(F.sum("weight").alias("weight")), "sums")
+    langs = sums.filter("kind = 'docs'").filter(F.col("weight") >= params.min_reference_docs).select("lang", F.col("weight").alias("n"))
+    common = [r.lang for r in langs.orderBy(F.desc("n"), "lang").limit(max_langs + 1).collect()]
+    held = F.col("lang").isin(common[:max_langs])
+    own = {r.lang: reference(r.entries) for r in best_entries(sums.filter(held), params).collect()}
+    more = None
+    if len(common) > max_langs:
+        more = materialize(best_entries(sums.filter(~held).join(langs.select("lang"), "lang"), params), "references")
+    classes = {int(r.key): r.weight for r in sums.filter("kind = 'class'").groupBy("key").agg(F.sum("weight").alias("weight")).collect()}
+    marks = sum(classes[k] for k in MARKS) / (sum(classes.values()) or 1) if classes else None
+    return References(own, more, marks)
+
+
+def with_entries(docs: DataFrame, references: References) -> DataFrame:
+    """docs and, if not all references are held by every task, a last column with the entries of the others."""
+    if references.more is None:
+        return docs
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("?"))
+    held = lang.isin(list(references.own))
+    more = references.more.withColumnRenamed("lang", "_lang")
+    rest = docs.filter(~held).join(more, lang == F.col("_lang"), "left").drop("_lang")
+    return docs.filter(held).withColumn("entries", F.lit(None).cast(more.schema["entries"].dataType)).union(rest)
+
+
+def references_of(own: dict[str, Reference], langs: list[str], entries: pa.Array | None, cache: dict[str, Reference | None]) -> Iterator[Reference | None]:
+    """The reference of each row of a batch."""
+    for k, lang in enumerate(langs):
+        if lang in own or entries is None:
+            yield own.get(lang)
             continue
-        classes = np.zeros(len(CLASSES))
-        for r in mine:
-            if r.kind == "class":
-                classes[int(r.key)] = r.weight
-        words = [r for r in mine if r.kind == "word"]
-        shares = np.array([r.weight for r in words] + [0.0]) / max(n, 1)
-        shares[-1] = max(0.0, 1 - shares.sum())
-        out[lang] = Reference(classes / (classes.sum() or 1), {bytes(r.key): k for k, r in enumerate(words)}, shares / (shares.sum() or 1))
-    return out
+        if lang not in cache:
+            if len(cache) > 1000:
+                cache.clear()
+            found = entries[k].as_py()
+            cache[lang] = reference(found) if found else None
+        yield cache[lang]
 
 
-def distances(text: str, own: Reference | None, all_: Reference | None, params: QualityParams) -> tuple[float | None, float | None, int]:
+def distances(text: str, own: Reference | None, marks: float | None, params: QualityParams) -> tuple[float | None, float | None, int]:
     """Distance of the character classes and of the common words, None where a guard holds; words counted.
 
-    Character classes of a language without a reference of its own are held against all documents' one;
-    its words aren't, as words of other languages say nothing of it.
+    In a language without a reference of its own only more marks and controls than in all documents make a
+    distance, as letters, cases, spaces and words of other languages say nothing of it.
     """
     words = text.encode().translate(WORD_BYTES).split()
     by_class = by_word = None
-    if (own or all_) and len(text) >= params.min_chars:
-        by_class = js_distance(class_histogram(text) / len(text), (own or all_).classes)
+    if len(text) >= params.min_chars and (own or marks is not None):
+        shares = class_histogram(text) / len(text)
+        if own:
+            by_class = js_distance(shares, own.classes)
+        else:
+            mine = max(marks, float(sum(shares[k] for k in MARKS)))
+            by_class = js_distance(np.array([mine, 1 - mine]), np.array([marks, 1 - marks]))
     if own and len(words) >= params.min_words:
         counts = Counter(words)
         common = np.array([counts.get(w, 0) for w in own.words] + [0.0])
@@ -202,29 +257,35 @@ def distances(text: str, own: Reference | None, all_: Reference | None, params:
     return by_class, by_word, len(words)
 
 
-def verdict(text: str, lang: str | None, references: dict[str, Reference], params: QualityParams) -> tuple:
+def verdict(text: str, own: Reference | None, marks: float | None, params: QualityParams) -> tuple:
     """Base statistics, base_failed, kept and the two distances of one document."""
     stats = base_stats(text)
-    by_class, by_word, n = distances(text, references.get(lang), references.get(ALL), params)
+    by_class, by_word, n = distances(text, own, marks, params)
     far = (by_class or 0) > params.max_class_distance + params.class_slack / max(len(text), 1) ** 0.5 or (by_word or 0) > params.max_word_distance + params.word_slack / max(n, 1) ** 0.5
     return *stats, not stats[-1] and not far, by_class, by_word
 
 
-def judge(docs: DataFrame, references: dict[str, Reference], params: QualityParams = QualityParams()) -> DataFrame:
+def judge(docs: DataFrame, references: References, params: QualityParams = QualityParams()) -> DataFrame:
     """One row for each document: base statistics, distances (null where a guard holds), base_failed, kept.
 
     A null text counts as empty: no words, so base_failed. A null language is one of its own; one of few
-    documents is judged by the character classes of all documents only. Repeated rows are judged alike, other columns play no part.
+    documents is judged by its share of marks only. Repeated rows are judged alike, other columns play no part.
     """
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
     names = [x.split()[0] for x in schema.split(", ")]
 
+    own, marks = references.own, references.marks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        cache: dict[str, Reference | None] = {}
         for batch in batches:
-            rows = [(doc_id, *verdict(text, lang, references, params)) for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns))]
+            ids, texts, langs = (batch.column(k).to_pylist() for k in range(3))
+            found = references_of(own, langs, batch.column(3) if batch.num_columns > 3 else None, cache)
+            rows = [(doc_id, *verdict(text, ref, marks, params)) for doc_id, text, ref in zip(ids, texts, found)]
             yield dict(zip(names, zip(*rows) if rows else ((),) * len(names)))
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang")), run, schema)
+    picked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"))
+    return map_batches(with_entries(picked, references), run, schema)
 
 
 def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
@@ -235,11 +296,15 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
 def keep_good(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns: as judged by ``quality_rules``, in place."""
     references = fit_references(docs, params)
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    own, marks = references.own, references.marks
+    text, lang, width = docs.columns.index("text"), docs.columns.index("lang"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, Reference | None] = {}
         for batch in batches:
-            pairs = zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist())
-            yield batch.filter(pa.array([verdict(t or "", x or "?", references, params)[6] for t, x in pairs], pa.bool_()))
+            langs = ["?" if x is None else str(x) for x in batch.column(lang).to_pylist()]
+            found = references_of(own, langs, batch.column(width) if batch.num_columns > width else None, cache)
+            keep = pa.array([verdict(t or "", ref, marks, params)[6] for t, ref in zip(batch.column(text).to_pylist(), found)], pa.bool_())
+            yield batch.select(range(width)).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_entries(docs, references).mapInArrow(run, docs.schema)

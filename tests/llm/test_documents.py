@@ -305,3 +305,33 @@ def test_empty_tables(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert token_counts.section_tokens(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def foreign_rows() -> list[tuple]:
+    """200 English documents, 30 clean ones in each of four other scripts, and one of marks in a rare language."""
+    letters = {"ru": "абвгдежзиклмнопрстуя", "el": "αβγδεζηθικλμνοπρστυω", "vi": "aăâeêioôơuưyđbcghệồợ", "zh": "的一是不了人我在有他这为之大来以个中上们"}
+    out = [("en", passage(1000 + k, 150)) for k in range(200)]
+    for lang, own in letters.items():
+        for k in range(30):
+            r = np.random.default_rng(k)
+            out.append((lang, " ".join("".join(own[c] for c in r.integers(0, 20, 6)) for _ in range(120))))
+    out.append(("xx", " ".join(f"{w}$$$" for w in passage(77, 150).split())))
+    return [(k, text, lang) for k, (lang, text) in enumerate(out)]
+
+
+def test_quality_keeps_other_scripts(spark):
+    """Clean documents of languages with few documents stay, whatever their script; marks don't."""
+    docs = spark.createDataFrame(foreign_rows(), "doc_id long, text string, lang string")
+    kept = Counter(r.lang for r in quality.keep_good(docs).collect())
+    assert [kept[x] for x in ("en", "ru", "el", "vi", "zh", "xx")] == [200, 30, 30, 30, 30, 0]
+    assert quality.quality_rules(docs).filter("kept").count() == sum(kept.values())
+
+
+def test_quality_references_beyond_those_held(spark):
+    """Every language with enough documents has its reference, held by the tasks or joined."""
+    docs = spark.createDataFrame(foreign_rows(), "doc_id long, text string, lang string")
+    p = quality.QualityParams(min_reference_docs=30)
+    whole, few = quality.fit_references(docs, p), quality.fit_references(docs, p, max_langs=2)
+    assert len(whole.own) == 5 and whole.more is None and len(few.own) == 2 and few.more.count() == 3
+    verdicts = [Counter(map(str, quality.judge(docs, x, p).collect())) for x in (whole, few)]
+    assert verdicts[0] == verdicts[1] and sum(verdicts[0].values()) == docs.count()
