@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, mixing, quality, simhash, substrings
-from lakeloom.llm.common import materialize
+from lakeloom.llm.common import materialize, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,15 +21,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates (five-word shingles).
+    """One document of each group of near duplicates (five-word shingles), that of the smallest id.
 
-    Rows of the same id are copies of one document: one stays.
+    Rows of one id, or of none, are documents of their own: what tells them apart is a hash of the row. Of
+    rows that are equal in all columns one stays.
     """
-    docs = docs.select(*COLUMNS)
-    groups = materialize(simhash.near_duplicates(docs, shingle=5, radius=4), "groups")
-    kept = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    docs = docs.select(*COLUMNS).withColumn("row_key", row_key(*COLUMNS[1:]))
+    out = simhash.surplus(docs, "row_key", shingle=5, radius=4).withColumnsRenamed({"doc_id": "out_id", "row_key": "out_key"})
+    kept = docs.join(out, docs.doc_id.eqNullSafe(out.out_id) & (docs.row_key == out.out_key), "left_anti")
+    repeated = docs.groupBy("doc_id", "row_key").count().filter("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "row_key"]) if repeated else kept).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,5 +65,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(*columns: str) -> Column:
+    """A hash of a row's columns, nulls included: rows of one id that differ in them have different keys."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

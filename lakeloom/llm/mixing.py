@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, row_key, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Of each weight in turn: by how much of its mean the weight changes from the middle to the end.
@@ -58,16 +58,17 @@ def invert_demand(share: Column, slope: Column) -> Column:
     return 2.0 * share / (a + F.sqrt(a * a + 4.0 * slope * share))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken, copies, positions (ascending).
 
     A source is taken in whole epochs, then as far as whole documents fit its target; of those left the one
     whose size comes nearest to the words still missing fills the gap, if that brings the source nearer. A null text has no words and is never taken; null sources form a source of
-    their own, the last. Repeated rows are documents of their own; other columns play no part.
+    their own, the last. Repeated rows are documents of their own. The columns
+    in carry are handed on and settle the order of rows of one id and size; others play no part.
     """
     sized = materialize(
         docs.select(
-            F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), order_key(F.col("doc_id")).alias("h")
+            F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), order_key(F.col("doc_id")).alias("h"), *carry
         ),
         "sizes",
     )
@@ -76,15 +77,15 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tupl
     s = sources.withColumnRenamed("source", "s")
     buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("n") / 32))
     known = sized.join(s, sized.source.eqNullSafe(s.s)).withColumn("bucket", F.floor(F.col("h") / F.lit(float(2**60)) * buckets))
-    known = known.select("doc_id", "size", "h", "rank", "bucket", "source_size", "slope", "target")
+    known = known.select("doc_id", "size", "h", "rank", "bucket", "source_size", "slope", "target", *carry)
     earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = known.groupBy("rank", "bucket").agg(F.sum("size").alias("words")).select("rank", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     placed = known.join(bases, ["rank", "bucket"]).withColumn("end", F.col("base") + F.sum("size").over(inside))
     # whole epochs of the source, and the words of the one after them
     placed = placed.withColumn("epochs", F.coalesce(F.least(F.lit(max_epochs), F.floor(F.try_divide(F.col("target"), F.col("source_size")))), F.lit(0)).cast("int"))
     placed = placed.withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
-    placed = materialize(placed.select("doc_id", "size", "rank", "source_size", "slope", "target", "end", "epochs", "part"), "placed")
+    placed = materialize(placed.select("doc_id", "size", "rank", "source_size", "slope", "target", "end", "epochs", "part", *carry), "placed")
     # the last gap goes to the document left that fits it best
     reached = placed.groupBy("rank").agg(F.coalesce(F.max(F.when(F.col("end") <= F.col("part"), F.col("end"))), F.lit(0)).alias("reached"))
     placed = placed.join(materialize(reached, "reached"), "rank")
@@ -98,14 +99,19 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tupl
     copies.append(when_at(F.col("end") <= F.col("part"), middle + F.col("epochs") * F.col("source_size")))
     copies.append(when_at(F.col("end") == F.col("filler"), F.col("reached") + F.col("size") / 2 + F.col("epochs") * F.col("source_size")))
     return placed.withColumn("positions", F.array_compact(F.array(*copies))).select(
-        "doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).alias("taken"), F.size("positions").alias("copies"), "positions"
+        "doc_id", "size", "source_size", "target", (F.size("positions") * F.col("size")).alias("taken"), F.size("positions").alias("copies"), "positions", *carry
     )
 
 
 def mix(docs: DataFrame, **params: object) -> DataFrame:
     """docs in training order, each as often as the mix takes it, with its ``position`` in [0, 1].
 
-    Ids have to be unique, as documents are found by their id again.
+    A document is found again by its id and a hash of its row, so ids may repeat or be null.
     """
-    plan = plan_mix(docs, **params).select(F.col("doc_id").alias("planned_id"), F.explode("positions").alias("position"))
-    return docs.join(plan, docs.doc_id.eqNullSafe(plan.planned_id)).drop("planned_id").orderBy("position", "doc_id")
+    keyed = docs.withColumn("mix_key", row_key("source", "text", *(c for c in docs.columns if c not in ("doc_id", "source", "text"))))
+    plan = materialize(plan_mix(keyed, **params, carry=("mix_key",)).select(F.col("doc_id").alias("planned_id"), F.col("mix_key").alias("planned_key"), "positions"), "plan")
+    if plan.groupBy("planned_id", "planned_key").count().filter("count > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["doc_id", "mix_key"])  # each of equal rows has its place in the plan
+    plan = plan.select("planned_id", "planned_key", F.explode("positions").alias("position"))
+    both = keyed.join(plan, keyed.doc_id.eqNullSafe(plan.planned_id) & (keyed.mix_key == plan.planned_key))
+    return both.orderBy("position", "doc_id", "mix_key").drop("planned_id", "planned_key", "mix_key")

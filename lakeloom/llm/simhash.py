@@ -47,15 +47,16 @@ def fingerprint(text: str, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long. A text without words has fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, and the long columns in carry. A text without words has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             prints = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield {"doc_id": batch.column(0), "fp": prints.view(np.int64)}
+            yield {"doc_id": batch.column(0), "fp": prints.view(np.int64)} | {c: batch.column(2 + k) for k, c in enumerate(carry)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", {c} long" for c in carry)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *carry), run, schema)
 
 
 def byte_groups(radius: int) -> list[list[int]]:
@@ -145,3 +146,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, list_cap
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"),
     )
+
+
+def surplus(docs: DataFrame, key: str, shingle: int = 3, radius: int = 2, list_cap: int = 256) -> DataFrame:
+    """(doc_id, key) of the rows beside the first of their group of near duplicates.
+
+    The first has the smallest doc_id, then the smallest key, a long column; null ids come last. Groups are
+    those of fingerprints, so ids may repeat or be null. Rows equal in id and key are not told apart.
+    """
+    prints = materialize(fingerprints(docs, shingle, (key,)), "prints")
+    nodes = materialize(prints.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
+    roots = connected_components(fingerprint_links(nodes, radius, list_cap))
+    named = materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component")), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(key))
+    # what each fingerprint has first, then each component: a group however large is combined before it moves
+    firsts = prints.groupBy("fp").agg(F.min(rank).alias("first"))
+    first = firsts.join(named, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    of_print = named.join(first, "component").select("fp", "first")
+    return prints.join(of_print, "fp").filter(rank != F.col("first")).select("doc_id", key).distinct()

@@ -61,3 +61,17 @@ def test_stages_of_empty_tables(spark, sf):
 
 def test_duckdb_is_there():
     assert duckdb.sql("SELECT 1").fetchall() == [(1,)]
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark, sf):
+    """Only near duplicates go: texts of one id, or of none, are documents of their own."""
+    text = [" ".join(f"w{k}x{n * n % 97}" for n in range(60)) for k in range(7)]
+    rows = [(3, text[0]), (7, text[0]), (7, text[1]), (9, text[2]), (9, text[3]), (None, text[4]), (None, text[5]), (None, text[0]), (None, text[4]), (8, text[6]), (8, text[6])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    one = corpus_pipeline.near_dedup_stage(spark, docs, sf).cache()
+    want = Counter([(3, text[0]), (7, text[1]), (9, text[2]), (9, text[3]), (None, text[4]), (None, text[5]), (8, text[6])])
+    assert Counter((r.doc_id, r.text) for r in one.collect()) == want
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, one, sf).collect())
+    assert mixed == want  # one source: each document once
+    twice = corpus_pipeline.mixing_stage(spark, one.unionByName(one), sf)
+    assert Counter((r.doc_id, r.text) for r in twice.collect()) == want + want
