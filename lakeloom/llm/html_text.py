@@ -3,7 +3,8 @@
 For every element: characters per tag, adjusted by the share of its characters and tags that are links
 (composite text density), and the sum of its children's densities. The body path of the densest element
 sets a threshold; of the elements that reach it, the one with the greatest sum holds the main text. Parts
-that are no article by their tag, role, class or id are left out before that.
+that are no article by their tag or role are left out before that, and so are forms and parts with a word of
+class or id that tells of something else, unless they hold nearly all of the page's text (``leave_out``).
 
 One narrow pass over the pages; a page is handled in one scan of its tags.
 """
@@ -25,7 +26,8 @@ from .common import map_batches
 #: and the open elements that a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr rt rp".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr rt rp "
+    "math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded mphantom mtable mtr mtd mfenced menclose mmultiscripts".split()
 )
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -33,7 +35,7 @@ ENDS = {
 }
 HOLDERS = frozenset("ul ol dl table div section article main body td th blockquote".split())
 #: Elements, roles and words of class or id that aren't the article's text.
-DROPPED = frozenset("head nav footer aside form button select menu dialog object canvas audio video map figure-ad".split())
+DROPPED = frozenset("head nav footer aside button select menu dialog object canvas audio video map figure-ad annotation annotation-xml".split())
 DROPPED_OUTSIDE = frozenset({"header"})  # of the page; an article's own header has its title
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 WORDS = frozenset(
@@ -41,8 +43,15 @@ WORDS = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "commentlist respond reply replies disqus discussion widget widgets toolbar pagination pager copyright disclaimer skip hidden banner".split()
 )
+#: Those of them that count for a paragraph or heading, which else belongs to the text around it.
+TEXT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted cookie cookies consent gdpr newsletter share copyright skip hidden".split())
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+ANCHORS = TEXTS | {"section"}  # their ids are made of titles
+MODIFIERS = frozenset("has no not with without".split())  # a class that starts so tells of the page, not of the part
+#: A part that a word tells of is left out whatever the rest, if it has fewer characters.
+LEAST_WRAPPED = 200
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.S | re.I,
 )
@@ -50,22 +59,34 @@ ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element isn't part of an article's text."""
+def told(value: str, tag: str) -> bool:
+    """Whether a word of a class or id says that the element isn't the article's text."""
+    among = TEXT_WORDS if tag in TEXTS else WORDS
+    for name in value.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        if words and words[0] not in MODIFIERS and not among.isdisjoint(words):
+            return True
+    return False
+
+
+def left_out(tag: str, attributes: str, in_article: bool) -> bool | None:
+    """Whether an element isn't part of an article's text; None: only if the page has its text elsewhere."""
+    soft = tag == "form"
     if tag in DROPPED or tag in DROPPED_OUTSIDE and not in_article:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return None if soft else False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            if any(w.lower() in WORDS for w in WORD.findall(value)):
-                return True
+            soft = soft or name == "class" and told(value, tag) or name == "id" and tag not in ANCHORS and told(value, tag)
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-    return re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=", attributes)) is not None
+    if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=", attributes)):
+        return True
+    return None if soft else False
 
 
 class Page:
@@ -76,21 +97,20 @@ class Page:
         self.parent = [-1]
         self.chars = [0]
         self.link_chars = [0]
-        self.blocks: list[tuple[int, str]] = []
+        self.soft: list[int] = []  # elements to leave out if the page has its text elsewhere
+        self.pieces: list[tuple[int, list[tuple[int, str]]]] = []  # by block: its element, and (element, text)
         self.read(source)
 
     def read(self, source: str) -> None:
         stack = [0]
-        pieces: list[str] = []
+        pieces: list[tuple[int, str]] = []
         owner = skip = articles = links = 0  # skip: depth from which elements are left out
         end = 0
 
         def flush() -> None:
             if pieces:
-                text = " ".join("".join(pieces).split())
+                self.pieces.append((owner, pieces[:]))
                 pieces.clear()
-                if text:
-                    self.blocks.append((owner, text))
 
         def pop() -> None:
             nonlocal skip, articles, links
@@ -125,7 +145,7 @@ class Page:
                 continue
             if name in VOID:
                 if name == "br" and not skip:
-                    pieces.append(" ")
+                    pieces.append((stack[-1], " "))
                 continue
             if not inline:
                 ends = ENDS.get(name, ())
@@ -144,8 +164,12 @@ class Page:
             self.chars.append(0)
             self.link_chars.append(0)
             stack.append(node)
-            if not skip and left_out(name, m[4], articles > 0):
-                skip = len(stack)
+            if not skip:
+                out = left_out(name, m[4], articles > 0)
+                if out:
+                    skip = len(stack)
+                elif out is None:
+                    self.soft.append(node)
             articles += name in ("article", "main")
             links += name == "a"
             if not inline:
@@ -154,16 +178,47 @@ class Page:
             self.text(source[end:], stack[-1], links, pieces)
         flush()
 
-    def text(self, raw: str, node: int, links: int, pieces: list[str]) -> None:
+    def text(self, raw: str, node: int, links: int, pieces: list[tuple[int, str]]) -> None:
         text = html.unescape(raw) if "&" in raw else raw
-        pieces.append(text)
+        pieces.append((node, text))
         n = len(text) - text.count(" ")
         self.chars[node] += n
         if links:
             self.link_chars[node] += n
 
+    def leave_out(self) -> set[int]:
+        """Takes out the soft elements and returns all nodes in them.
+
+        One stays if it holds four times the text that stands outside of all of them, links apart, or more than that
+        and also a main, a first heading or a single article: it is a wrapper of the page's text.
+        """
+        n = len(self.tag)
+        last, full, clean = list(range(n)), [c - x for c, x in zip(self.chars, self.link_chars)], [0] * n
+        clean[:], soft = full, set(self.soft)
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            last[up] = max(last[up], last[k])
+            full[up] += full[k]
+            if k not in soft:
+                clean[up] += clean[k]
+        outside, gone = clean[0], set()
+        for k in self.soft:
+            if k in gone:
+                continue
+            inside = self.tag[k : last[k] + 1]
+            holds = "main" in inside or "h1" in inside or inside.count("article") == 1
+            wraps = full[k] > 4 * outside or holds and full[k] > outside
+            if wraps and (self.tag[k] == "form" or full[k] >= LEAST_WRAPPED):
+                outside += clean[k]
+                continue
+            for x in range(k, last[k] + 1):
+                self.chars[x] = self.link_chars[x] = 0
+            gone.update(range(k, last[k] + 1))
+        return gone
+
     def main(self) -> list[str]:
         """The blocks of the main text."""
+        gone = self.leave_out() if self.soft else ()
         n = len(self.tag)
         tags, link_tags, last = [1] * n, [int(t == "a") for t in self.tag], list(range(n))
         for k in range(n - 1, 0, -1):
@@ -199,7 +254,8 @@ class Page:
                 if not any(density[k] >= floor or self.tag[k] == self.tag[best] == "section" and 2 * self.link_chars[k] < self.chars[k] for k in beside):
                     break
             best = up
-        return [text for k, text in self.blocks if best <= k <= last[best]]
+        texts = (" ".join("".join(x for at, x in pieces if at not in gone).split()) for k, pieces in self.pieces if best <= k <= last[best])
+        return [text for text in texts if text]
 
 
 def main_text(source: str) -> str:

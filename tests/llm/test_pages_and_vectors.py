@@ -30,6 +30,25 @@ def test_density_finds_the_text_without_names():
     assert html_text.main_text(page) == "\n".join(f"Sentence number {k} of the story, which is long enough to be text." for k in range(8))
 
 
+STORY = "\n".join(f"Sentence number {k} of the story, which is long enough to be text." for k in range(8))
+
+
+@pytest.mark.parametrize("wrap", ["<div class='content has-sidebar'>{}</div>", "<div class=no-sidebar>{}</div>", "<div class='with-comments'>{}</div>", "<div id='page-widget'>{}</div>", "<form action=x.aspx>{}</form>"])
+def test_wrappers_keep_the_text(wrap):
+    """A word of the class of what holds the whole text, or a form around it, leaves nothing out but parts inside."""
+    story = "".join(f"<p>{x}</p>" for x in STORY.split("\n"))
+    page = "<body><nav><a href=x>y</a></nav>" + wrap.format(f"<article>{story}<div class=ad>Buy</div></article><div class=comments><p>First!</p></div>") + "</body>"
+    assert html_text.main_text(page) == STORY
+
+
+def test_parts_of_an_article_stay():
+    a, b, c = (f"<p>{x}</p>" for x in STORY.split("\n")[:3])
+    page = f"<body><article>{a}<h2 id='related-work'>Related work</h2>{b}<p class='notice'>Mind the gap between these two.</p><section id='social-history'>{c}</section><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p></article></body>"
+    got = html_text.main_text(page)
+    for x in (*STORY.split("\n")[:3], "Related work", "Mind the gap between these two.", "So x=2 holds for all of them."):
+        assert x in got.split("\n")
+
+
 def test_extract_rows(spark, sf):
     schema = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", PAGE, "x", 1), (1, "u", PAGE, "x", 1), (2, None, None, None, None), (None, "v", "<p>" + "long text " * 200_000, "", 0)]
