@@ -27,7 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows that are equal in all columns one stays.
     """
     docs = docs.select(*COLUMNS).withColumn("row_key", row_key(*COLUMNS[1:]))
-    out = simhash.surplus(docs, "row_key", shingle=5, radius=4).withColumnsRenamed({"doc_id": "out_id", "row_key": "out_key"})
+    out = simhash.surplus(docs, "row_key", shingle=5, radius=4).withColumnsRenamed({"doc_id": "out_id", "row_key": "out_key"}).hint("shuffle_hash")  # texts needn't be sorted
     kept = docs.join(out, docs.doc_id.eqNullSafe(out.out_id) & (docs.row_key == out.out_key), "left_anti")
     repeated = docs.groupBy("doc_id", "row_key").count().filter("count > 1").limit(1).count()
     return (kept.dropDuplicates(["doc_id", "row_key"]) if repeated else kept).select(*COLUMNS)
