@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +52,96 @@ def test_parts_of_an_article_stay():
         assert x in got.split("\n")
 
 
+def page_of(story: str) -> str:
+    return "<body><nav><ul>" + "<li><a href=/x>menu words</a></li>" * 6 + "</ul></nav>" + story + "<footer>&copy; us</footer></body>"
+
+
+@pytest.mark.parametrize("name", ["content-with-sidebar", "has-sidebar", "social-science", "main no-ads", "related-work", "post signup-free", "masthead-story"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_names_are_weak_evidence(name, tag):
+    story = "".join(f"<p>{x}</p>" for x in STORY.split("\n"))
+    assert html_text.main_text(page_of(f"<{tag} class='{name}'>{story}</{tag}>")) == STORY
+    part = f"<section class='{name}'>{story}</section>"
+    assert html_text.main_text(page_of(f"<article><p>{'Before it. ' * 20}</p>{part}<p>{'After it. ' * 20}</p></article>")).count("Sentence number") == 8
+
+
+@pytest.mark.parametrize("name", ["feedback-thread", "zq9", "comments", "note-x"])
+@pytest.mark.parametrize("box", ["<p>First! I am a reader.</p><p>Me too, nice post.</p>", "Please mind that we moved."])
+def test_comments_and_notices_go_whatever_their_name(name, box):
+    story = "".join(f"<p>{x}</p>" for x in STORY.split("\n"))
+    for page in (f"<article>{story}<div class='{name}'>{box}</div></article>", f"<div class=post>{story}</div><div class='{name}'>{box}</div>"):
+        assert html_text.main_text(page_of(page)) == STORY
+
+
+def test_sections_of_one_article_stay_together():
+    a, b = STORY.split("\n")[:5], STORY.split("\n")[5:]
+    two = "".join("<div class=part>" + "".join(f"<p>{x}</p>" for x in part) + "</div>" for part in (a, b))
+    assert html_text.main_text(page_of(f"<div id=all><h1>The title</h1>{two}</div>")) == "The title\n" + STORY
+
+
+def test_density_decides(spark, sf, monkeypatch):
+    """On the given pages with their telling tags and names taken away, density finds the text; one density for all doesn't."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/../sf0.01/pages.parquet").collect()]
+    right = [html_text.main_text(x) for x in pages]
+    neutral = [re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", x).replace('class="ad"', 'class="q7"') for x in pages]
+    found = sum(html_text.main_text(x) == y for x, y in zip(neutral, right))
+    monkeypatch.setattr(html_text, "densities", lambda chars, *rest: [float(c > 0) for c in chars])
+    flat = sum(html_text.main_text(x) == y for x, y in zip(neutral, right))
+    assert found >= 0.8 * len(pages) and flat < found
+
+
+def test_densities_are_those_of_the_definition():
+    """Density and sums of random trees, computed from the tree by the formula."""
+    r = np.random.default_rng(4)
+
+    def make(depth):
+        tag = ["div", "section", "a", "b", "article"][r.integers(0, 5)] if depth else "body"
+        below = [make(depth + 1) for _ in range(int(r.integers(0, 4)) if depth < 4 else 0)]
+        return tag, "x" * int(r.integers(0, 30)), below
+
+    def render(node):
+        return f"<{node[0]}>{node[1]}{''.join(map(render, node[2]))}</{node[0]}>"
+
+    def count(node, linked=False):
+        linked = linked or node[0] == "a"
+        rows = [count(x, linked) for x in node[2]]
+        own = [len(node[1]), len(node[1]) * linked, 1, int(node[0] == "a")]
+        return [sum(x) for x in zip(own, *rows)] if rows else own
+
+    for _ in range(40):
+        tree = make(0)
+        page = html_text.Page(render(tree))
+        page.measure()
+        _, body_chars, body_links = 0, *count(tree)[:2]
+        want, sums = [], []
+
+        def walk(node, linked=False):
+            c, lc, t, lt = count(node, linked)
+            d = 0.0
+            if c:
+                base = np.log(np.log(c / max(1, c - lc) * lc + body_links / max(1, body_chars) * c + np.e)) + 1
+                d = c / t * np.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / base
+            at = len(want)
+            want.append(d), sums.append(0.0)
+            for x in node[2]:
+                sums[at] += walk(x, linked or node[0] == "a")
+            return d
+
+        walk(tree)
+        assert np.allclose(page.density[1:], want) and np.allclose(page.sums[1:], sums)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 20000 + "</i>" * 20000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000, "<a " * 20000, "<div>" + "<b>" * 20000 + "<p><h1>" * 10000, "<div>x" * 20000, '<b ">"' * 20000, "<div " + "a" * 200000 + ">x",
+     "<div class=comments>x" * 20000, "<ul><b>" + "<li>x<b>" * 20000, "<div class=a>x</div>" * 20000],
+)
+def test_hostile_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 3
+
+
 def test_extract_rows(spark, sf):
     schema = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", PAGE, "x", 1), (1, "u", PAGE, "x", 1), (2, None, None, None, None), (None, "v", "<p>" + "long text " * 200_000, "", 0)]
