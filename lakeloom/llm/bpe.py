@@ -230,14 +230,15 @@ def spans(texts: list[str], limit: int = 6_000_000) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, *, ids: bool = True, decoded: bool = False, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocab_path: str, *, ids: bool = True, decoded: bool = False, digests: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, n_tokens and, as asked for, ids, decoded and their digests.
 
     A null or empty text has no tokens; repeated rows give repeated rows; other columns play no part.
     ids: array of ids. digests: ids_sha256 and decoded_sha256 (of the ids as little-endian unsigned
-    32-bit integers and of the decoded text in UTF-8).
+    32-bit integers and of the decoded text in UTF-8). carry: long columns that are handed on.
     """
     schema = "doc_id long, n_tokens long" + ", ids array<int>" * ids + ", decoded string" * decoded + ", ids_sha256 string, decoded_sha256 string" * digests
+    schema += "".join(f", {c} long" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder = Encoder(vocabulary(vocab_path))
@@ -252,9 +253,9 @@ def encode_documents(docs: DataFrame, vocab_path: str, *, ids: bool = True, deco
                     "decoded": [x for _, x in rows] if decoded else None,
                     "ids_sha256": [hashlib.sha256(x).hexdigest() for x, _ in rows] if digests else None,
                     "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for _, x in rows] if digests else None,
-                }
+                } | {c: batch.column(2 + k).slice(at, to - at) for k, c in enumerate(carry)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *(F.col(c).cast("long") for c in carry)), run, schema)
 
 
 def decode_documents(encoded: DataFrame, vocab_path: str) -> DataFrame:

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, map_batches, materialize, text_or_empty
 
 SEED = 42
-NO_ID = 2**63 - 1  # stands for a null doc_id
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -129,6 +128,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
+def components(prints: DataFrame, radius: int, list_cap: int) -> DataFrame:
+    """(fp, component) of every distinct fingerprint of prints; component is a fingerprint of the group."""
+    nodes = materialize(prints.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
+    roots = connected_components(fingerprint_links(nodes, radius, list_cap))
+    return materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component")), "components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, list_cap: int = 256) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document.
 
@@ -138,29 +144,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, list_cap
     rows are linked as they share a fingerprint. Other columns play no part.
     """
     prints = materialize(fingerprints(docs, shingle), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("node")), "nodes")
-    roots = connected_components(fingerprint_links(nodes, radius, list_cap))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return prints.join(named, "fp").select(
-        "doc_id",
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"),
-    )
+    named = components(prints, radius, list_cap)
+    # what each fingerprint has first, then each component: a group however large is combined before it moves
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp")
+    of_print = firsts.join(firsts.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def surplus(docs: DataFrame, key: str, shingle: int = 3, radius: int = 2, list_cap: int = 256) -> DataFrame:
-    """(doc_id, key) of the rows beside the first of their group of near duplicates.
+    """(doc_id, key, first) of the rows beside the first of their group of near duplicates, and of first rows that repeat.
 
     The first has the smallest doc_id, then the smallest key, a long column; null ids come last. Groups are
-    those of fingerprints, so ids may repeat or be null. Rows equal in id and key are not told apart.
+    those of fingerprints, so ids may repeat or be null. Rows equal in id and key are not told apart: where
+    the first is one of several such rows it is returned too, with first true.
     """
-    prints = materialize(fingerprints(docs, shingle, (key,)), "prints")
-    nodes = materialize(prints.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
-    roots = connected_components(fingerprint_links(nodes, radius, list_cap))
-    named = materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component")), "components")
+    prints = materialize(fingerprints(docs, shingle, (key,)).groupBy("doc_id", key, "fp").agg(F.count("*").alias("n")), "prints")
+    named = components(prints, radius, list_cap)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(key))
-    # what each fingerprint has first, then each component: a group however large is combined before it moves
-    firsts = prints.groupBy("fp").agg(F.min(rank).alias("first"))
-    first = firsts.join(named, "fp").groupBy("component").agg(F.min("first").alias("first"))
-    of_print = named.join(first, "component").select("fp", "first")
-    return prints.join(of_print, "fp").filter(rank != F.col("first")).select("doc_id", key).distinct()
+    firsts = prints.groupBy("fp").agg(F.min(rank).alias("least")).join(named, "fp")
+    of_print = firsts.join(firsts.groupBy("component").agg(F.min("least").alias("best")), "component").select("fp", "best")
+    out = prints.join(of_print, "fp").withColumn("first", rank == F.col("best"))
+    return out.filter(~F.col("first") | (F.col("n") > 1)).select("doc_id", key, "first")

@@ -212,6 +212,13 @@ def test_simhash_links_of_a_ball(spark, radius, cap):
     assert got == brute_components(list(enumerate(prints)), radius)
 
 
+def test_simhash_of_the_largest_id(spark):
+    """The largest id isn't taken for a null one."""
+    docs = spark.createDataFrame([(2**63 - 1, "a b c d e"), (None, "a b c d e"), (2**63 - 1, "x y z"), (None, "other words here")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == {(2**63 - 1, 2**63 - 1): 2, (None, 2**63 - 1): 1, (None, None): 1}
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.connected_components(chain.unionByName(spark.createDataFrame([(900, 901), (901, 901)], "a long, b long"))).collect()

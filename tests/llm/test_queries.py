@@ -48,7 +48,19 @@ def test_stages(spark, sf):
 
 def test_pipeline_runs(spark, sf):
     out = corpus_pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 0
+    assert out.columns == ["doc_id", "n_tokens", "ids", "position"] and out.count() > 0
+    assert out.select("position").distinct().count() == out.count()
+
+
+def test_positions_follow_the_curriculum(spark, sf, tmp_path):
+    """Encoded rows in order of their position are the mix in its training order, though files are read in any order."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS).repartition(3)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, sf)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    want = [r.doc_id for r in mixed.collect()]
+    for stage_in in (spark.read.parquet(f"{tmp_path}/mixed"), mixed):
+        got = corpus_pipeline.bpe_stage(spark, stage_in, sf).orderBy("position").collect()
+        assert [r.doc_id for r in got] == want
 
 
 def test_stages_of_empty_tables(spark, sf):
