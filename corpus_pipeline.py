@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, mixing, quality, simhash, substrings
@@ -24,13 +24,16 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near duplicates (five-word shingles), that of the smallest id.
 
     Rows of one id, or of none, are documents of their own: what tells them apart is a hash of the row. Of
-    rows that are equal in all columns one stays.
+    rows that are equal in all columns one stays. What goes out is written first, a few numbers a row, so
+    that Spark knows its size: texts move only if it is too large for a broadcast.
     """
     docs = docs.select(*COLUMNS).withColumn("row_key", row_key(*COLUMNS[1:]))
-    out = simhash.surplus(docs, "row_key", shingle=5, radius=4).withColumnsRenamed({"doc_id": "out_id", "row_key": "out_key"}).hint("shuffle_hash")  # texts needn't be sorted
-    kept = docs.join(out, docs.doc_id.eqNullSafe(out.out_id) & (docs.row_key == out.out_key), "left_anti")
-    repeated = docs.groupBy("doc_id", "row_key").count().filter("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "row_key"]) if repeated else kept).select(*COLUMNS)
+    out = simhash.surplus(docs, "row_key", shingle=5, radius=4).withColumnsRenamed({"doc_id": "out_id", "row_key": "out_key"})
+    out = materialize(out, "surplus")
+    same = docs.doc_id.eqNullSafe(out.out_id) & (docs.row_key == out.out_key)
+    kept = docs.join(out, same, "left_anti")
+    repeated = docs.join(out.filter("first"), same, "left_semi").dropDuplicates(["doc_id", "row_key"])
+    return kept.unionByName(repeated).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +48,21 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
+def training_order(docs: DataFrame) -> Column:
+    """The place of each row in the order that docs was written in: by part of the table, file of the part and row."""
+    try:
+        row, name = F.col("_metadata.row_index"), F.col("_metadata.file_name")
+        docs.select(row)
+    except AnalysisException:  # not read from files: the order of the rows as they are
+        return F.monotonically_increasing_id()
+    number = lambda pattern: F.coalesce(F.try_to_number(F.regexp_extract(name, pattern, 1), F.lit("9999999999")).cast("long"), F.lit(0).cast("long"))
+    return F.shiftleft(number(r"part-(\d+)"), 44) + F.shiftleft(number(r"-c(\d+)"), 34) + row
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, ready for training."""
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The ids of each document, ready for training, with ``position``: ascending, it is the order of the curriculum."""
+    docs = docs.withColumn("position", training_order(docs))
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), carry=("position",))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
