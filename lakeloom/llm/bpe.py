@@ -20,18 +20,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import normalizers
+from tokenizers import Tokenizer
 
-from .common import map_batches, text_or_empty
+from .common import WHITE, map_batches, text_or_empty
 
-#: Fixed value: what the vocabulary's normalizer takes for white space.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Entries that a task keeps of its table of pre-tokens.
-TABLE_LIMIT = 400_000
-NFC = normalizers.NFC()
+#: Bytes that a task's table of words may take, about; what an entry takes beside its strings.
+TABLE_LIMIT, ENTRY = 100_000_000, 350
+#: Texts of characters under this one have the same cases and letters in Python as in the library.
+COMMON = "\u0250"
 OTHER_SPLITS = regex.compile("[\x1c-\x1f]")
 
 
@@ -64,7 +64,10 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": [], "end_of_word_suffix": None}, "added_tokens": []}))
+        self.normal, self.split = library.normalizer, library.pre_tokenizer
         chars = byte_symbols()
+        self.byte_of = {c: b for b, c in enumerate(chars)}
         self.inner = np.array([vocab[c] for c in chars], dtype=np.int32)
         self.last = np.array([vocab[c + self.suffix] for c in chars], dtype=np.int32)
         #: by rank: left, right and merged id
@@ -78,12 +81,32 @@ class WordBpe:
         for part in self.special_split.split(text) if self.special_split and "<|" in text else (text,):
             if part in self.special:
                 yield self.special[part]
-            elif part:
-                if not part.isascii():  # beyond Latin letters the library's own tables of Unicode count
-                    part = (unicodedata.normalize("NFC", part) if max(part) < "\u0300" else NFC.normalize_str(part)).replace("Σ", "σ")
+            elif part and (part.isascii() or max(part) < COMMON):
+                if not part.isascii():
+                    part = unicodedata.normalize("NFC", part)
                 part = part.lower()
                 # str.split() also splits at \x1c-\x1f, which the vocabulary takes for symbols
                 yield self.white.split(part) if OTHER_SPLITS.search(part) else part.split()
+            elif part:  # nothing that the normalizer does reaches over white space
+                yield [w.lower() if w.isascii() else self.normal.normalize_str(w) for w in self.white.split(part)]
+
+    def pre_tokens(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """The pre-tokens of all words, one after the other, and where those of each word end."""
+        out: list[bytes] = []
+        ends: dict[str, tuple[int, int]] = {}
+        common, rare = [w for w in words if w.isascii() or max(w) < COMMON], [w for w in words if not w.isascii() and max(w) >= COMMON]
+        start, n = 0, 0
+        for x in self.pieces.findall("\n".join(common) + "\n") if common else ():
+            if x == "\n":
+                ends[common[n]] = start, len(out)
+                start, n = len(out), n + 1
+            else:
+                out.append(x.encode())
+        for w in rare:
+            out += (bytes(map(self.byte_of.__getitem__, x)) for x, _ in self.split.pre_tokenize_str(w))
+            ends[w] = start, len(out)
+            start = len(out)
+        return out, [ends[w] for w in words]
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where the vocabulary doesn't merge it."""
@@ -92,14 +115,13 @@ class WordBpe:
         at[at == len(self.pair_keys)] = 0
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pre-tokens in one array, and where each of them starts (and the last ends).
 
         All of them are merged together over one pair occurrence index.
         """
-        if not words:
+        if not data:
             return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
-        data = [w.encode() for w in words]
         size = np.array([len(x) for x in data], dtype=np.int64)
         ends = np.cumsum(size)
         raw = np.frombuffer(b"".join(data), dtype=np.uint8)
@@ -176,30 +198,27 @@ class Encoder:
 
     def __init__(self, vocab: WordBpe, limit: int = TABLE_LIMIT):
         self.vocab, self.limit = vocab, limit
+        self.forget()
+
+    def forget(self) -> None:
         #: word -> its ids as little-endian unsigned 32-bit integers; word -> its decoded tokens
         self.ids: dict[str, bytes] = {"": b""}
         self.tokens: dict[str, str] = {"": ""}
+        self.held = 0
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.ids.keys()
-        if len(self.ids) + len(new) > self.limit:
-            self.ids, self.tokens = {"": b""}, {"": ""}
-            new = words
+        if self.held > self.limit:  # what one part of a batch brings may pass the limit until the next one
+            self.forget()
+        new = list(words - self.ids.keys())
         if not new:
             return
-        new = list(new)
-        pieces: list[str] = []
-        ends: list[int] = []  # of each word's pieces
-        for x in self.vocab.pieces.findall("\n".join(new) + "\n"):
-            if x == "\n":
-                ends.append(len(pieces))
-            else:
-                pieces.append(x)
+        pieces, ends = self.vocab.pre_tokens(new)
         ids, at = self.vocab.encode_words(pieces)
-        data, tokens, ends = ids.tobytes(), list(map(self.vocab.token.__getitem__, ids.tolist())), at[ends].tolist()
-        starts = [0, *ends[:-1]]
-        self.ids.update(zip(new, [data[4 * i : 4 * j] for i, j in zip(starts, ends)]))
-        self.tokens.update(zip(new, [" ".join(tokens[i:j]) for i, j in zip(starts, ends)]))
+        data, tokens, at = ids.tobytes(), list(map(self.vocab.token.__getitem__, ids.tolist())), at.tolist()
+        spans_ = [(at[i], at[j]) for i, j in ends]
+        self.ids.update(zip(new, [data[4 * i : 4 * j] for i, j in spans_]))
+        self.tokens.update(zip(new, [" ".join(tokens[i:j]) for i, j in spans_]))
+        self.held += ENTRY * len(new) + 2 * len(data) + sum(map(len, new)) + sum(map(len, tokens))
 
     def batch(self, texts: Iterable[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids as bytes and its decoded text; one index spans all their new words."""
@@ -218,16 +237,16 @@ class Encoder:
             yield b"".join(ids), " ".join(tokens)
 
 
-def spans(texts: list[str], limit: int = 6_000_000) -> Iterator[tuple[int, int]]:
-    """Cuts a batch where its texts pass so many characters: one index spans what is new in each part."""
+def spans(sizes: list[int], limit: int = 6_000_000) -> Iterator[tuple[int, int]]:
+    """Cuts a batch where its texts pass so many bytes: one index spans what is new in each part."""
     start = size = 0
-    for n, text in enumerate(texts):
-        size += len(text)
+    for n, own in enumerate(sizes):
+        size += own
         if size >= limit:
             yield start, n + 1
             start, size = n + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, *, ids: bool = True, decoded: bool = False, digests: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -243,9 +262,8 @@ def encode_documents(docs: DataFrame, vocab_path: str, *, ids: bool = True, deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder = Encoder(vocabulary(vocab_path))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at, to in spans(texts):
-                rows = list(encoder.batch(texts[at:to]))
+            for at, to in spans(pc.binary_length(batch.column(1)).to_pylist()):
+                rows = list(encoder.batch(batch.column(1).slice(at, to - at).to_pylist()))
                 yield {
                     "doc_id": batch.column(0).slice(at, to - at),
                     "n_tokens": [len(x) // 4 for x, _ in rows],

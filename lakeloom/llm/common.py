@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: ``bytes.split()`` without arguments splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Fixed value: the white space of Unicode, inside the brackets of a pattern.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 #: Lower-cases A-Z in UTF-8 bytes and leaves all else.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 

@@ -4,12 +4,15 @@ Each whole document is encoded once. The bytes of its tokens give every token's
 to the intervals of the document's sections, and a token that crosses a boundary goes to one section by an
 explicit rule. Encoding sections one by one would give other tokens at their edges.
 
-One narrow pass: no shuffle, nothing broadcast but the path of the vocabulary file.
+One narrow pass: no shuffle, nothing broadcast but the path of the vocabulary file. Documents are encoded one
+by one; very long runs of white space, on which the encoder's pattern would run out of stack, are cut off
+where the pattern cuts as well.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,22 +22,44 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import WHITE, map_batches, text_or_empty
 
 #: Who gets a token that crosses a boundary: the section of its first byte, of its last byte, or the one
 #: that holds most of its bytes (of equal ones the first).
 RULES = ("first", "last", "majority")
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+#: Runs of white space that are encoded apart, and the end of patterns under which that is right: such a run
+#: is one part up to its last character, which goes with what follows, or up to its end at the end of a text.
+LONG_WHITE = re.compile(f"[{WHITE}]{{10000,}}")
+CUTS_WHITE = r"|\s+(?!\S)|\s+"
+
+
+class Encoder:
     """The vocabulary of a rank file, and the bytes of each id."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-    for token, n in ranks.items():
-        size[n] = len(token)
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
+
+    def __init__(self, path: str, pattern: str):
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, n in ranks.items():
+            self.size[n] = len(token)
+        self.parts = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}) if pattern.endswith(CUTS_WHITE) else None
+
+    def encode(self, text: str) -> list[int]:
+        out: list[int] = []
+        at = 0
+        for m in LONG_WHITE.finditer(text) if self.whole else ():
+            end = m.end() - (m.end() < len(text))
+            out += self.parts.encode_ordinary(text[at : m.start()]) + self.whole.encode_ordinary(text[m.start() : end])
+            at = end
+        return out + self.parts.encode_ordinary(text[at:])
+
+
+@lru_cache(maxsize=2)
+def encoding(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def line_ends(data: bytes) -> np.ndarray:
@@ -77,10 +102,10 @@ def section_tokens(docs: DataFrame, vocab_path: str, pattern: str, rule: str = "
     glue = separator.encode()
 
     def one(parts: list[str]) -> list[np.ndarray]:
-        encoder, size_of = encoding(vocab_path, pattern)
+        encoder = encoding(vocab_path, pattern)
         data = [p.encode() + (glue if k + 1 < len(parts) else b"") for k, p in enumerate(parts)]
         whole = b"".join(data)
-        ids = np.array(encoder.encode_ordinary(whole.decode()), dtype=np.int64)
+        ids = np.array(encoder.encode(whole.decode()), dtype=np.int64)
         ends, field, base = [], [], 0
         for k, x in enumerate(data):
             own = line_ends(x) + base
@@ -88,7 +113,7 @@ def section_tokens(docs: DataFrame, vocab_path: str, pattern: str, rule: str = "
             field.append(np.full(len(own), k))
             base += len(x)
         end = np.concatenate(ends)
-        sizes = size_of[ids]
+        sizes = encoder.size[ids]
         owner = attribute(sizes, end, rule) if len(ids) else ids
         tokens = np.bincount(owner, minlength=len(end))
         to = np.cumsum(sizes)
@@ -100,7 +125,7 @@ def section_tokens(docs: DataFrame, vocab_path: str, pattern: str, rule: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            ids, out, rows = batch.column(0).to_pylist(), [], 0
+            ids, out, rows = batch.column(0).to_pylist(), [], 0  # texts are taken one by one
             found: list[int | None] = []
             for n, doc_id in enumerate(ids):
                 own = one([batch.column(1 + k)[n].as_py() for k in range(len(fields))])

@@ -70,10 +70,24 @@ def test_bpe_decodes_what_it_encoded(docs):
 
 def test_bpe_table_stays_bounded():
     vocab = bpe.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    small, large = bpe.Encoder(vocab, limit=10), bpe.Encoder(vocab)
+    small, large = bpe.Encoder(vocab, limit=4000), bpe.Encoder(vocab)
     texts = [passage(k, 40) for k in range(20)] + ["aaaaaaa", "abababab"]
     assert [x for t in texts for x in small.batch([t])] == list(large.batch(texts))
-    assert len(small.ids) <= 50
+    assert len(small.ids) < len(large.ids) / 3
+
+
+def test_bpe_of_every_code_point():
+    """Ids of each code point alone, between letters and after marks are the library's, and those of mixed rare ones."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.vocabulary(path))
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{x} A{x}b {x}\u0301{x}" for x in points[k : k + 64]) for k in range(0, len(points), 64)]
+    r = np.random.default_rng(6)
+    texts += ["".join(points[k] for k in r.integers(0, len(points), 30)) for _ in range(1500)] + ["".join(points[k] + " "[: int(k) % 3 == 0] for k in r.integers(0, 0x3000, 40)) for _ in range(1500)]
+    for text, (ids, decoded) in zip(texts, encoder.batch(texts)):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, dtype="<u4").tolist() == want
+        assert decoded == t.decode(want, skip_special_tokens=False)
 
 
 def test_no_merge_makes_an_earlier_rank():
@@ -273,7 +287,7 @@ def test_token_sections(docs):
     import tiktoken  # noqa: F401
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoder, size = token_counts.encoding(path, pattern)
+    encoder, size = token_counts.encoding(path, pattern).parts, token_counts.encoding(path, pattern).size
     for rule in token_counts.RULES:
         got = token_counts.section_tokens(docs, path, pattern, rule).collect()
         per: dict = {}
@@ -297,6 +311,19 @@ def test_token_sections(docs):
             assert set(mine) >= set(once)
 
 
+def test_token_counts_of_long_white_space(spark):
+    """Five million spaces, line feeds or letters don't stop the encoder, and shorter runs are cut as the pattern cuts them."""
+    e = token_counts.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for run in (" " * 20_000, "\n" * 20_000, " \t" * 10_000 + "\n", "\u3000" * 12_000):
+        for text in (run, "a" + run, run + "b", "a b" + run + "c" + run + "'s", run + "\n x" + run + "  "):
+            assert e.encode(text) == e.parts.encode_ordinary(text)
+    n = 5_000_000
+    rows = [(1, "a" + " " * n + "b"), (2, "a" * n)]
+    got = token_counts.section_tokens(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert sorted((r.doc_id, r.char_end) for r in got) == [(1, n + 2), (2, n)] and all(r.n_tokens == r.doc_tokens > 0 for r in got)
+    assert sum(x for x in e.size[e.encode("\n" * n)]) == n
+
+
 def test_token_fields(spark):
     docs = spark.createDataFrame([(1, "title", "body\nmore"), (2, None, "x"), (3, None, None)], "doc_id long, title string, body string")
     got = token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, fields=("title", "body")).collect()
