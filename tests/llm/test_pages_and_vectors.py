@@ -225,17 +225,45 @@ def test_recall_on_given_vectors(spark, sf):
         s = (x * x[q]).sum(axis=1)
         s[q] = -np.inf
         hits += len({int(k) for k in ids[np.lexsort((ids, -s))[:20]]} & {r.vec_id for r in got if r.query_id == ids[q]})
-    assert hits >= 0.9 * 20 * int((ids % 20 == 0).sum())
+    n = int((ids % 20 == 0).sum())
+    assert hits >= 0.9 * 20 * n
+    assert sum(r.n_reranked for r in got if r.rank == 1) < 0.7 * n * len(ids)
 
 
 def test_pigeonhole_misses_no_code():
     r = np.random.default_rng(1)
-    codes = r.integers(0, 256, size=(2000, 8), dtype=np.uint8)
-    codes[1000:1500] = codes[0] ^ np.packbits(r.random((500, 64)) < 0.1, axis=1)
-    for radius in (0, 3, 9, 20):
-        index = ann.MultiIndex(codes, radius)
-        for q in (0, 7, 1200):
-            assert index.within(codes[q], 1).tolist() == np.flatnonzero(ann.hamming(codes, codes[q]) <= radius).tolist()
+    for substrings in (1, 4):
+        codes = r.integers(0, 1 << 16, size=(2000, substrings)).astype(np.uint16)
+        codes[1000:1500] = codes[0] ^ np.packbits(r.random((500, 16 * substrings)) < 0.1, axis=1).view(">u2").astype(np.uint16)
+        index = ann.MultiIndex(codes)
+        for radius in (0, 1, 2, 3, 9, 16, 20, 27):
+            bounds = ann.substring_bounds(radius, substrings)
+            assert sum(b + 1 for b in bounds) == min(radius + 1, 17 * substrings) or max(bounds) == 16
+            for q in (0, 7, 1200):
+                found, probed = index.within(codes[q], radius)
+                assert found.tolist() == np.flatnonzero(ann.hamming(codes, codes[q]) <= radius).tolist() and len(found) <= probed <= 2000
+
+
+def test_lists_prune():
+    """Codes near few others: next to nothing is probed, and what is probed is what the lists hold."""
+    r = np.random.default_rng(2)
+    index = ann.MultiIndex(r.integers(0, 1 << 16, size=(50_000, 4)).astype(np.uint16))
+    for s in range(4):
+        for bound in (0, 2, 5):
+            value = int(index.codes[17, s])
+            assert sorted(index.probe(s, value, bound)) == np.flatnonzero(np.bitwise_count(index.codes[:, s] ^ np.uint16(value)) <= bound).tolist()
+    assert index.within(index.codes[5], 3)[1] < 50 and index.within(index.codes[5], 11)[1] < 5000
+
+
+def test_repeated_and_clashing_queries(spark):
+    """A query that comes twice is one; two vectors of one id are two queries, each with whole ranks."""
+    r = np.random.default_rng(8)
+    x = [[float(v) for v in r.normal(size=16)] for _ in range(100)]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(20, x[20]), (20, x[20]), (40, x[40]), (40, x[41])], "vec_id long, embedding array<float>")
+    got = ann.nearest(rows, asked).collect()
+    assert sorted(q.rank for q in got if q.query_id == 20) == list(range(1, 21)) and len({q.vec_id for q in got if q.query_id == 20}) == 20
+    assert sorted(q.rank for q in got if q.query_id == 40) == sorted(2 * list(range(1, 21)))
 
 
 def test_no_vectors(spark):
