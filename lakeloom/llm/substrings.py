@@ -1,18 +1,24 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
-Every word of a document starts a suffix. Suffixes are dealt into groups by a prefix of variable length:
-a first pass counts the suffixes under hashed prefixes of 1, 2, 4, 8, 16 words; a prefix under which too
-many lie is lengthened, up to the whole window, until its group fits in memory. A group is the part of the
-suffix tree below its prefixes, held as a sorted array of leaves; its internal nodes of a depth of at least
-``window`` words are the runs of leaves that agree in so many words. All leaves of such a node but the
-earliest are starts of repeated windows, and adjacent ones merge into maximal repeats.
+Every word of a document starts a suffix. Suffixes are dealt into groups by a prefix of variable length: one
+pass counts the suffixes under hashed prefixes of 1, 2, 4, 8, 16 words. A suffix goes by its shortest prefix
+that no more than ``group_suffixes / 2`` share, and such prefixes are packed into groups of up to
+``group_suffixes``; one without such a prefix goes by all the words of its window, which spread over as many
+groups as the data asks. So groups stay memory-sized however large the data are. A group is the part of the
+suffix tree below its prefixes, cut off at a depth of ``window`` words and held as a sorted array of leaves. A
+node of that depth is a run of equal leaves; its earliest leaf stands for it. The other leaves of consecutive
+positions whose earliest leaves are consecutive too are one maximal repeat of a passage that stands earlier.
+
+Leaves are told apart by 48 bits of a hash of their window, so each maximal repeat is verified on its words: where
+the repeat is found and where the earlier passage stands, a 128-bit digest of all its words is taken, and a
+repeat whose digests differ is dropped (so a word stays that should go only if a window in a repeat shares its
+48 bits with an earlier, different one of the group). Inside a chunk words themselves are compared.
 
 What moves: documents are dealt once, by a hash of the id, into chunks of about ``chunk_bytes``; a chunk
 first folds its own repeats, so that a passage, word or copy however frequent sends one leaf a chunk; the
-other leaves travel as packed arrays (a 56-bit fingerprint of the window, id and position as deltas). Groups
-answer each chunk with the positions to remove. Windows of a group are equal if 56 bits of their fingerprints
-are; as the groups tell windows apart as well, that fails with a probability of about
-windows * group_suffixes / 2^57.
+other leaves travel as packed arrays (bits of the hash, id and position as differences), an array for each
+group. Of repeats only positions and digests travel. On a very large cluster ``chunk_bytes`` and
+``group_suffixes`` should grow together with the executors' memory, so that an array stays long.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import map_batches, shuffle_partitions, text_or_empty
 
 NO_ID = 2**63 - 1  # stands for a null doc_id, which comes last
 #: Odd constants of the mixing function.
@@ -40,9 +46,13 @@ A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1656
 class RepeatParams:
     window: int = 20
     chunk_bytes: int = 4_000_000
-    #: Suffixes that a group should hold about, and hashed prefixes that are counted at each length.
-    group_suffixes: int = 500_000
-    buckets: int = 4096
+    #: Bytes of text that a task should hold about.
+    task_bytes: int = 32_000_000
+    #: Suffixes that a group should hold at most, and hashed prefixes that are counted at each length.
+    group_suffixes: int = 1_000_000
+    buckets: int = 1 << 14
+    #: Bytes of a window's hash that travel.
+    print_bytes: int = 6
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,6 +72,8 @@ class Words:
 
     hashes: np.ndarray  # of each word
     ends: np.ndarray  # of each text, in words
+    codes: np.ndarray  # of each word: its place in the dictionary
+    dictionary: list[bytes]
 
     @classmethod
     def of(cls, texts: pa.Array) -> Words:
@@ -73,9 +85,15 @@ class Words:
             bounds = np.append(0, np.cumsum(some))[bounds]
             flat = flat.filter(pa.array(some))
         coded = flat.dictionary_encode()
-        own = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+        own = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in own], dtype=np.uint64)
         codes = coded.indices.to_numpy()
-        return cls(own[codes] if len(codes) else own, bounds[1:])
+        return cls(hashes[codes] if len(codes) else hashes, bounds[1:], codes, own)
+
+    def digests(self, starts: list[int], sizes: list[int]) -> list[bytes]:
+        """128 bits of the words of some passages."""
+        word = self.dictionary.__getitem__
+        return [hashlib.blake2b(b" ".join(map(word, self.codes[a : a + n].tolist())), digest_size=16).digest() for a, n in zip(starts, sizes)]
 
     def prefixes(self, window: int) -> Iterator[tuple[int, np.ndarray]]:
         """(length, hashes of so many words from each position) for lengths 1, 2, 4, ... and last the window.
@@ -105,27 +123,41 @@ class Words:
         return np.repeat(begins - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
 
 
-def first_and_later(prints: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows are the first of their kind here, and which are not."""
+def first_and_later(prints: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of windows that are the first of their kind here, of those that aren't, and of the first for each of these."""
     order = np.argsort(prints, kind="stable")
     run = prints[order]
     new = np.ones(len(run), dtype=bool)
     new[1:] = run[1:] != run[:-1]
-    return starts[np.sort(order[new])], starts[order[~new]]
+    firsts = order[new]
+    of_later = firsts[np.cumsum(new) - 1][~new] if len(run) else firsts
+    return starts[np.sort(firsts)], starts[order[~new]], starts[of_later]
+
+
+def shrink(*columns: np.ndarray) -> bytes:
+    """Compressed differences of some columns of equal length."""
+    data = b"".join(np.diff(x, prepend=0).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns)
+    return zstandard.ZstdCompressor(level=1).compress(len(columns[0]).to_bytes(8, "little") + data)
+
+
+def grow(blob: bytes, columns: int) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[:8], "little")
+    parts = np.frombuffer(data, dtype=np.uint8, offset=8).reshape(columns, 8, n)
+    return [np.cumsum(np.ascontiguousarray(x.T).view(np.int64).ravel()) for x in parts]
 
 
-def pack(prints: np.ndarray, ids: np.ndarray, positions: np.ndarray) -> bytes:
-    """positions ascend; ids and positions become compressed differences, of prints 56 bits stay."""
-    small = zstandard.ZstdCompressor(level=1).compress(np.diff(ids, prepend=0).tobytes() + np.diff(positions, prepend=0).astype(np.int32).tobytes())
-    return len(prints).to_bytes(8, "little") + prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes() + small
+def pack(prints: np.ndarray, ids: np.ndarray, positions: np.ndarray, width: int) -> bytes:
+    """positions ascend; ids and positions become compressed differences, of prints width bytes stay."""
+    kept = prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return len(prints).to_bytes(7, "little") + bytes([width]) + kept.tobytes() + shrink(ids, positions)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
+    n, width = int.from_bytes(blob[:7], "little"), blob[7]
     prints = np.zeros((n, 8), dtype=np.uint8)
-    prints[:, :7] = np.frombuffer(blob, dtype=np.uint8, count=7 * n, offset=8).reshape(-1, 7)
-    small = zstandard.ZstdDecompressor().decompress(blob[8 + 7 * n :])
-    return prints.view("<u8").ravel(), np.cumsum(np.frombuffer(small, dtype=np.int64, count=n)), np.cumsum(np.frombuffer(small, dtype=np.int32, offset=8 * n).astype(np.int64))
+    prints[:, :width] = np.frombuffer(blob, dtype=np.uint8, count=width * n, offset=8).reshape(-1, width)
+    return prints.view("<u8").ravel(), *grow(blob[8 + width * n :], 2)
 
 
 def prefix_counts(docs: DataFrame, params: RepeatParams) -> tuple[dict[int, np.ndarray], int, int]:
@@ -133,7 +165,7 @@ def prefix_counts(docs: DataFrame, params: RepeatParams) -> tuple[dict[int, np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sums: dict[int, np.ndarray] = {}
-        size = 0
+        size = suffixes = 0
         for batch in batches:
             bytes_ = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
             size += int(bytes_.sum())
@@ -142,10 +174,11 @@ def prefix_counts(docs: DataFrame, params: RepeatParams) -> tuple[dict[int, np.n
             for a, b in zip(cuts, [*cuts[1:], len(bytes_)]):
                 words = Words.of(batch.column(0).slice(a, b - a))
                 starts = words.starts(params.window)
+                suffixes += len(starts)
                 for length, h in words.prefixes(params.window) if len(starts) else ():
                     if length < params.window:
                         sums[length] = sums.get(length, 0) + np.bincount((h[starts] % np.uint64(params.buckets)).astype(np.int64), minlength=params.buckets)
-        rows = [(-1, 0, size)] + [(k, b, n) for k, x in sums.items() for b, n in enumerate(x.tolist()) if n]
+        rows = [(-1, 0, size), (0, 0, suffixes)] + [(k, b, n) for k, x in sums.items() for b, n in enumerate(x.tolist()) if n]
         yield dict(zip(("length", "bucket", "n"), zip(*rows)))
 
     rows = map_batches(docs.select(text_or_empty().alias("text")), run, "length int, bucket int, n long").groupBy("length", "bucket").agg(F.sum("n").alias("n")).collect()
@@ -153,37 +186,62 @@ def prefix_counts(docs: DataFrame, params: RepeatParams) -> tuple[dict[int, np.n
     for r in rows:  # (window's bit length) * buckets + 1 at most
         if r.length > 0:
             counts.setdefault(r.length, np.zeros(params.buckets, dtype=np.int64))[r.bucket] = r.n
-    return counts, sum(r.n for r in rows if r.length < 0), int(counts[1].sum()) if counts else 0
+    return counts, sum(r.n for r in rows if r.length < 0), sum(r.n for r in rows if r.length == 0)
+
+
+@dataclass(frozen=True)
+class Prefixes:
+    """Which group each suffix belongs to."""
+
+    #: By length of the prefix: the group of each bucket, -1 where a longer prefix is asked.
+    group_of: dict[int, np.ndarray]
+    #: Groups of suffixes that go by their whole window.
+    deep: int
+    groups: int
+
+    @classmethod
+    def of(cls, counts: dict[int, np.ndarray], suffixes: int, params: RepeatParams) -> Prefixes:
+        """Packs the prefixes that few enough suffixes share into groups, in order, and counts what is left."""
+        group_of, at = {}, 0
+        for length, n in sorted(counts.items()):
+            fits = (n > 0) & (2 * n <= params.group_suffixes)
+            # a group ends before it would pass half of what it may hold, and takes one bucket more at most
+            group = np.cumsum(np.where(fits, n, 0)) * 2 // max(params.group_suffixes, 1)
+            group_of[length] = np.where(fits, at + group, -1)
+            at += int(group.max()) + 1
+        deep = max(1, -(-2 * suffixes // max(params.group_suffixes, 1)))
+        return cls(group_of, deep, at + deep)
+
+    def groups_of(self, levels: list[tuple[int, np.ndarray]], starts: np.ndarray, window: int) -> np.ndarray:
+        group = np.full(len(starts), -1, dtype=np.int64)
+        for length, h in levels:
+            open_ = np.flatnonzero(group < 0)
+            h = h[starts[open_]]
+            if length == window:
+                group[open_] = self.groups - self.deep + ((h >> np.uint64(20)) % np.uint64(self.deep)).astype(np.int64)
+            elif length in self.group_of:
+                group[open_] = self.group_of[length][(h % np.uint64(len(self.group_of[length]))).astype(np.int64)]
+        return group
 
 
 def sorted_chunk(t: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Array, pa.Array]:
     """A chunk in order of (id, text); its ids with NO_ID for null, ids as they are, and texts."""
-    ids = np.array([NO_ID if x is None else x for x in t.column("doc_id").to_pylist()], dtype=np.int64)
-    t = t.append_column("order", pa.array(ids)).sort_by([("order", "ascending"), ("text", "ascending")]).combine_chunks()
+    order = pc.fill_null(t.column("doc_id"), NO_ID)
+    t = t.append_column("order", order).append_column("no_id", pc.is_null(t.column("doc_id")))
+    t = t.sort_by([("order", "ascending"), ("no_id", "ascending"), ("text", "ascending")]).combine_chunks()
     flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
     return t, flat(t.column("order")).to_numpy(), flat(t.column("doc_id")), flat(t.column("text"))
 
 
-def chunk_leaves(params: RepeatParams, short: dict[int, np.ndarray], groups: int) -> Callable[[pa.Table], pa.Table]:
-    """short: for each prefix length, the buckets that need no longer prefix."""
-
+def chunk_leaves(params: RepeatParams, prefixes: Prefixes) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         _, ids, _, texts = sorted_chunk(t)
         words = Words.of(texts)
         starts = words.starts(params.window)
         levels = list(words.prefixes(params.window))
         prints = levels[-1][1]
-        first, _ = first_and_later(prints[starts], starts)
-        group = np.full(len(first), -1, dtype=np.int64)
-        for n, (length, h) in enumerate(levels):
-            open_ = np.flatnonzero(group < 0)
-            bucket = (h[first[open_]] % np.uint64(params.buckets)).astype(np.int64)
-            if length == params.window:
-                bucket = (h[first[open_]] >> np.uint64(20)).astype(np.int64)
-            else:
-                fits = short[length][bucket] if length in short else np.zeros(len(bucket), dtype=bool)
-                open_, bucket = open_[fits], bucket[fits]
-            group[open_] = n * groups + bucket % groups
+        first, _, _ = first_and_later(prints[starts], starts)
+        group = prefixes.groups_of(levels, first, params.window)
         order = np.argsort(group, kind="stable")
         cuts = np.flatnonzero(np.diff(group[order])) + 1
         doc = np.searchsorted(words.ends, first, side="right")
@@ -192,7 +250,7 @@ def chunk_leaves(params: RepeatParams, short: dict[int, np.ndarray], groups: int
             {
                 "group": pa.array([int(group[x[0]]) for x in parts], pa.int64()),
                 "chunk": pa.array([t.column("chunk")[0].as_py()] * len(parts), pa.int64()),
-                "leaves": pa.array([pack(prints[first[x]], ids[doc[x]], first[x]) for x in parts], pa.binary()),
+                "leaves": pa.array([pack(prints[first[x]], ids[doc[x]], first[x], params.print_bytes) for x in parts], pa.binary()),
             }
         )
 
@@ -200,31 +258,76 @@ def chunk_leaves(params: RepeatParams, short: dict[int, np.ndarray], groups: int
 
 
 def repeated_leaves(t: pa.Table) -> pa.Table:
-    """Of one group's leaves those that aren't the earliest below their deep node, as positions by chunk."""
+    """Of one group's leaves those that aren't the earliest of their node, by chunk: positions, and where the earliest is."""
     found = [unpack(x) for x in t.column("leaves").to_pylist()]
-    chunks = t.column("chunk").to_pylist()
+    chunks = np.array(t.column("chunk").to_pylist(), dtype=np.int64)
     prints, ids, positions = (np.concatenate(x) for x in zip(*found))
-    chunk = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-    order = np.lexsort((ids, prints))  # a chunk has one leaf of a kind, and a document lies in one chunk
+    chunk = np.repeat(chunks, [len(x[0]) for x in found])
+    order = np.lexsort((ids, prints))  # a chunk has one leaf of a kind, and the rows of an id lie in one chunk
     run = prints[order]
-    later = order[1:][run[1:] == run[:-1]]
-    out: dict[int, list[np.ndarray]] = {}
-    for k in np.unique(chunk[later]).tolist():
-        out.setdefault(chunks[k], []).append(positions[later[chunk[later] == k]])
-    blobs = [zstandard.ZstdCompressor(level=1).compress(np.diff(np.sort(np.concatenate(x)), prepend=0).astype(np.int32).tobytes()) for x in out.values()]
-    return pa.table({"chunk": pa.array(list(out), pa.int64()), "removed": pa.array(blobs, pa.binary())})
+    new = np.ones(len(run), dtype=bool)
+    new[1:] = run[1:] != run[:-1]
+    later, earliest = order[~new], order[new][np.cumsum(new) - 1][~new]
+    by_chunk = np.lexsort((positions[later], chunk[later]))
+    later, earliest = later[by_chunk], earliest[by_chunk]
+    parts = np.split(np.arange(len(later)), np.flatnonzero(np.diff(chunk[later])) + 1) if len(later) else []
+    blobs = [shrink(positions[later[x]], chunk[earliest[x]], positions[earliest[x]]) for x in parts]
+    return pa.table({"chunk": pa.array([int(chunk[later[x[0]]]) for x in parts], pa.int64()), "found": pa.array(blobs, pa.binary())})
+
+
+def replies(t: pa.Table) -> list[np.ndarray]:
+    """Position, chunk and position of the earliest leaf of all replies to a chunk, in order of position."""
+    got = [grow(x, 3) for x in t.column("found").to_pylist() if x is not None]
+    if not got:
+        return [np.zeros(0, dtype=np.int64)] * 3
+    columns = [np.concatenate(x) for x in zip(*got)]
+    order = np.argsort(columns[0], kind="stable")
+    return [x[order] for x in columns]
+
+
+def maximal_repeats(params: RepeatParams) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The maximal repeats of a chunk, with digests of their words: chunk, at, of_chunk, of_at, n (words), digest."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        at, of_chunk, of_at = replies(found)
+        out = [[], [], [], [], [], []]
+        if len(at):
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (np.diff(at) != 1) | (np.diff(of_at) != 1) | (np.diff(of_chunk) != 0)
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(at))) + params.window - 1
+            digests = Words.of(sorted_chunk(docs)[3]).digests(at[first].tolist(), size.tolist())
+            out = [np.full(len(first), docs.column("chunk")[0].as_py()), at[first], of_chunk[first], of_at[first], size, digests]
+        names = ("chunk", "at", "of_chunk", "of_at", "n", "digest")
+        return pa.table({x: pa.array(c, pa.binary() if x == "digest" else pa.int64()) for x, c in zip(names, out)})
+
+    return run
+
+
+def differing(docs: pa.Table, asked: pa.Table) -> pa.Table:
+    """Of the passages of a chunk that repeats were found of those whose words have another digest."""
+    if not asked.num_rows:
+        return asked
+    own = Words.of(sorted_chunk(docs)[3]).digests(asked.column("of_at").to_pylist(), asked.column("n").to_pylist())
+    return asked.filter(pa.array([x != y for x, y in zip(own, asked.column("digest").to_pylist())], pa.bool_()))
 
 
 def cut_chunk(params: RepeatParams, spans: bool, texts_too: bool, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         docs, _, ids, texts = sorted_chunk(docs)
         words = Words.of(texts)
         starts = words.starts(params.window)
         *_, (_, prints) = words.prefixes(params.window)
-        _, later = first_and_later(prints[starts], starts)
+        _, later, first = first_and_later(prints[starts], starts)
+        same = np.ones(len(later), dtype=bool)
+        for k in range(params.window):
+            same &= words.codes[later + k] == words.codes[first + k]
+        far = replies(found)[0]
+        for at, n in zip(found.column("at").to_pylist(), found.column("n").to_pylist()):
+            if at is not None:  # a repeat whose words differ
+                far = far[(far < at) | (far > at + n - params.window)]
+        begin = np.unique(np.concatenate([later[same], far]).astype(np.int64))
         marks = np.zeros(len(words.hashes) + 1, dtype=np.int32)
-        far = [np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.int32).astype(np.int64)) for x in replies.column("removed").to_pylist()]
-        begin = np.unique(np.concatenate([later, *far]).astype(np.int64))
         np.add.at(marks, begin, 1)
         np.add.at(marks, begin + params.window, -1)
         gone = np.cumsum(marks)[:-1] > 0
@@ -265,17 +368,24 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), *, sp
     digest is of the kept words joined by one space; kept_text is that too where a word went, else the text
     as it was. removed_spans are the maximal runs of removed words. A null or empty text has no words. Null
     ids come last; rows of the same id come in order of their texts. The columns in carry are handed on with
-    their rows; others play no part.
+    their rows; others play no part. A text longer than a chunk is a chunk of its own.
     """
     counts, size, suffixes = prefix_counts(docs, params)
     chunks = max(1, -(-size // params.chunk_bytes))
-    groups = max(1, -(-suffixes // params.group_suffixes))
-    limit = max(4 * suffixes // params.buckets, params.group_suffixes // 8)
-    short = {k: x <= limit for k, x in counts.items()}
+    prefixes = Prefixes.of(counts, suffixes, params)
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // params.task_bytes))
     dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    leaves = dealt.groupBy("chunk").applyInArrow(chunk_leaves(params, short, groups), "group long, chunk long, leaves binary")
-    replies = leaves.groupBy("group").applyInArrow(repeated_leaves, "chunk long, removed binary")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(chunks))).repartition(parts, "chunk")
+    of_chunk = dealt.groupBy("chunk")
+    leaves = of_chunk.applyInArrow(chunk_leaves(params, prefixes), "group long, chunk long, leaves binary").repartition(parts, "group")
+    found = leaves.groupBy("group").applyInArrow(repeated_leaves, "chunk long, found binary").repartition(parts, "chunk")
+    repeats = of_chunk.cogroup(found.groupBy("chunk")).applyInArrow(maximal_repeats(params), "chunk long, at long, of_chunk long, of_at long, n long, digest binary").repartition(parts, "of_chunk")
+    passage = ["of_chunk", "of_at", "n", "digest"]
+    asked = repeats.select(passage).distinct()  # a passage repeated in very many chunks is asked for once
+    wrong = of_chunk.cogroup(asked.groupBy("of_chunk")).applyInArrow(differing, "of_chunk long, of_at long, n long, digest binary")
+    wrong = repeats.join(wrong, passage, "left_semi").select("chunk", F.lit(None).cast("binary").alias("found"), "at", "n")
+    none = F.lit(None).cast("long")
+    replies_ = found.withColumns({"at": none, "n": none}).unionByName(wrong).repartition(parts, "chunk")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + ", removed_spans array<struct<start: long, end: long>>" * spans
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut_chunk(params, spans, texts, carry), schema)
+    return of_chunk.cogroup(replies_.groupBy("chunk")).applyInArrow(cut_chunk(params, spans, texts, carry), schema)

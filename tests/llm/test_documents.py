@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -149,6 +150,42 @@ def test_substrings(docs, params):
         assert len(words(r.kept_text)) == r.n_words - r.n_removed and r.chunk in ("x", None)
 
 
+def test_substrings_verify_words(docs):
+    """With a hash of one byte many windows look alike: none is removed that doesn't stand earlier."""
+    p = substrings.RepeatParams(window=3, chunk_bytes=500, print_bytes=1)
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs, p).collect()}
+    most: dict = {}
+    for doc_id, n, removed, _ in brute_repeats([d[:2] for d in rows()], 3):
+        most[doc_id, n] = max(most.get((doc_id, n), 0), removed)
+    assert all(removed <= most[doc_id, n] for doc_id, n, removed in got) and sum(x[2] for x in got) > 0
+
+
+@pytest.mark.parametrize("limit", [50, 400, 100_000])
+def test_substring_groups_fit(limit):
+    """However skewed the prefixes, no group holds more leaves than it may, but for windows that are equal."""
+    r = np.random.default_rng(9)
+    text = b" ".join(b"the" if x < 3 else b"w%d" % x for x in r.zipf(1.3, 20_000).clip(max=10**6).tolist())
+    hot = b"one long sentence that starts every second text of this corpus and so has very many suffixes under one prefix and goes on "
+    texts = [text] + [hot + b"%d " % k + b" ".join(b"x%d" % x for x in r.integers(0, 10**9, 30)) for k in range(300)]
+    params = substrings.RepeatParams(group_suffixes=limit, buckets=512)
+    words = substrings.Words.of(pa.array([t.decode() for t in texts]))
+    starts, levels = words.starts(20), list(words.prefixes(20))
+    counts = {n: np.bincount((h[starts] % np.uint64(512)).astype(np.int64), minlength=512) for n, h in levels if n < 20}
+    prefixes = substrings.Prefixes.of(counts, len(starts), params)
+    first, _, _ = substrings.first_and_later(levels[-1][1][starts], starts)
+    group = prefixes.groups_of(levels, first, 20)
+    assert group.min() >= 0 and group.max() < prefixes.groups
+    assert np.bincount(group).max() <= limit
+
+
+def test_substring_order_of_null_and_largest_id(spark):
+    """A null id comes after the largest id there is, wherever the two lie."""
+    docs = spark.createDataFrame([(None, passage(3, 40)), (2**63 - 1, passage(3, 40)), (5, passage(4, 400))], "doc_id long, text string")
+    for chunk in (10, 10**6):
+        got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs, substrings.RepeatParams(chunk_bytes=chunk)).collect()}
+        assert got == {None: 40, 2**63 - 1: 0, 5: 0}
+
+
 def test_quality_base(docs):
     got = quality.quality_rules(docs)
     want = Counter()
