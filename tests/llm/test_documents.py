@@ -195,7 +195,7 @@ def test_quality_base(docs):
         tri = Counter(zip(w, w[1:], w[2:]))
         inside = {k + j for k, x in enumerate(zip(w, w[1:], w[2:])) if tri[x] > 1 for j in range(3)}
         want[d[0], len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w)] += 1
-    assert Counter(tuple(r) for r in got.drop("kept", "class_distance", "word_distance").collect()) == want
+    assert Counter(tuple(r) for r in got.drop("kept", "class_distance", "word_distance", "marks_distance").collect()) == want
     assert got.filter("base_failed AND kept").count() == 0
     assert quality.keep_good(docs).count() == got.filter("kept").count() > 0
 
@@ -399,10 +399,85 @@ def test_quality_keeps_other_scripts(spark):
 
 
 def test_quality_references_beyond_those_held(spark):
-    """Every language with enough documents has its reference, held by the tasks or joined."""
+    """Every language has its reference, held by the tasks or joined."""
     docs = spark.createDataFrame(foreign_rows(), "doc_id long, text string, lang string")
-    p = quality.QualityParams(min_reference_docs=30)
-    whole, few = quality.fit_references(docs, p), quality.fit_references(docs, p, max_langs=2)
+    whole, few = quality.fit_references(docs), quality.fit_references(docs, max_langs=2)
     assert len(whole.own) == 5 and whole.more is None and len(few.own) == 2 and few.more.count() == 3
-    verdicts = [Counter(map(str, quality.judge(docs, x, p).collect())) for x in (whole, few)]
+    verdicts = [Counter(map(str, quality.judge(docs, x).collect())) for x in (whole, few)]
     assert verdicts[0] == verdicts[1] and sum(verdicts[0].values()) == docs.count()
+
+
+def plain_class(x: str) -> str:
+    import unicodedata
+
+    c = ord(x)
+    if x in ".,;:?!'\"()-‘’“”–—…«»、。，．：；！？「」،؛؟।":
+        return "sentence mark"
+    if c < 0x250 and (x.isspace() or x.isalpha()):
+        return "space" if x.isspace() else "upper" if x.isupper() else "lower"
+    kind = unicodedata.category(x)[0]
+    if kind in "LM":
+        return next((s for s, ranges in quality.SCRIPTS.items() for a, b in ranges if a <= c <= b), "other script")
+    return "other mark" if x in "$+<=>^`|~" else {"P": "other mark", "S": "symbol", "C": "control", "Z": "space", "N": "digit"}[kind]
+
+
+def plain_words(text: str) -> list[str]:
+    if 2 * sum(plain_class(x) in ("han", "kana", "thai", "khmer") for x in text) > len(text):
+        return [x for x in text if plain_class(x) not in quality.COMMON]
+    low = "".join(x.lower() if "A" <= x <= "Z" else x for x in text)
+    return "".join(x if "a" <= x <= "z" or ord(x) >= 128 else " " for x in low).replace("\x85", "\x85").split(" ")
+
+
+def plain_js(p: dict, q: dict) -> float:
+    total = 0.0
+    for k in set(p) | set(q):
+        a, b = p.get(k, 0.0), q.get(k, 0.0)
+        total += sum(x * np.log2(2 * x / (a + b)) / 2 for x in (a, b) if x)
+    return max(0.0, total) ** 0.5
+
+
+def test_quality_verdicts_are_those_of_the_definition(spark):
+    """kept and all distances against a computation with plain dictionaries."""
+    r = np.random.default_rng(12)
+    data = [(i, t, lang) for i, t, lang in foreign_rows() if i % 2 or i > 300]
+    data += [(1000 + k, passage(2000 + k, 120) + ["", " %^&* ~~~ " * 20, " ÀÉ “quoted” — text… 🎉🎉", " SHOUTING" * 30][k % 4] + chr(0x4E00 + k), ["en", "fr", None][k % 3]) for k in range(40)]
+    data += [(2000 + k, "".join(chr(0x4E00 + int(x)) for x in r.integers(0, 60, 150)) + "。", "zh") for k in range(12)]
+    got = {x.doc_id: x for x in quality.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)).collect()}
+    unit, marks = quality.SCALE, ("other mark", "symbol", "control")
+    classes, words, n_docs = {}, {}, Counter()
+    for _, text, lang in data:
+        c = Counter(map(plain_class, text))
+        if sum(c[x] for x in marks) > 0.05 * len(text) or c["upper"] > 0.15 * len(text):
+            continue
+        n_docs[lang] += 1
+        w = [x for x in plain_words(text) if x]
+        for k, x in c.items():
+            classes.setdefault(lang, Counter())[k] += (x * unit + len(text) // 2) // len(text)
+        for k, x in Counter(w).items():
+            words.setdefault(lang, Counter())[k] += (x * unit + len(w) // 2) // len(w)
+    all_ = sum(classes.values(), Counter())
+    mean = sum(all_[x] for x in marks) / sum(all_.values())
+    verdicts = Counter()
+    for doc_id, text, lang in data:
+        c, w, n = Counter(map(plain_class, text)), [x for x in plain_words(text) if x], n_docs[lang]
+        own = {k: x / sum(classes[lang].values()) for k, x in classes[lang].items()} if n else None
+        mine = max(mean, sum(c[x] for x in marks) / len(text))
+        by_marks = plain_js({0: mine, 1: 1 - mine}, {0: mean, 1: 1 - mean}) if len(text) >= 200 else None
+        by_class = plain_js({k: x / len(text) for k, x in c.items()}, own) if n and len(text) >= 200 else None
+        by_word = None
+        if n and len(w) >= 80:
+            top = dict(sorted(words[lang].items(), key=lambda x: (-x[1], x[0].encode()))[:64])
+            ref = {k: x / (n * unit) for k, x in top.items()}
+            ref[None] = max(0.0, 1 - sum(ref.values()))
+            ref = {k: x / sum(ref.values()) for k, x in ref.items()}
+            have = Counter(x if x in top else None for x in w)
+            by_word = plain_js({k: x / len(w) for k, x in have.items()}, ref)
+        x = got[doc_id]
+        for mine_, theirs in ((by_class, x.class_distance), (by_word, x.word_distance), (by_marks, x.marks_distance)):
+            assert (mine_ is None) == (theirs is None) and (mine_ is None or abs(mine_ - theirs) < 1e-6)
+        wide = n**-0.5 if n else 0
+        limit = 0.16 + 1.3 / len(text) ** 0.5
+        far = (by_class or 0) > limit + wide or (by_word or 0) > 0.15 + 4 / len(w) ** 0.5 + wide or (by_marks or 0) > limit
+        assert x.kept == (not x.base_failed and not far)
+        verdicts[x.kept] += 1
+    assert verdicts[True] > 50 and verdicts[False] > 5
