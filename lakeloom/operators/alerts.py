@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SEVERITIES, ago, fingerprint, ratio, worst_first
@@ -103,34 +104,62 @@ def by_severity(alerts: DataFrame) -> DataFrame:
 def dedup_alerts(alerts: DataFrame, window_seconds: int = 900) -> DataFrame:
     """Alerts that pass: those of a fingerprint within the window of the last one that passed are dropped.
 
-    What passes depends on what passed before, so each fingerprint is scanned in time order, a batch at a
-    time with the last time passed as state: fingerprints are spread by hash and sorted in their partition.
+    What passes depends on what passed before, but an alert a window or more behind the one before it passes in any
+    case. Fingerprints are cut there, so that a frequent one is scanned in many tasks; where the cuts lie is found
+    inside (fingerprint, day), with the last time and the last cut of earlier days carried over. In a piece the
+    scan goes from one that passes to the next by bisection. Null times don't pass.
     """
-    schema = alerts.schema
+    day, kind = F.to_date("fired_at"), alerts.schema
+    rows = alerts.filter("fired_at IS NOT NULL").withColumns({"_day": day, "_us": F.unix_micros("fired_at")})
+    width = window_seconds * 1_000_000
+    inside = Window.partitionBy("fingerprint", "_day").orderBy("_us", "alert_id")
+    whole = rows.withColumn("_before", F.lag("_us").over(inside))
+    days = rows.groupBy("fingerprint", "_day").agg(F.max("_us").alias("_last"), F.min("_us").alias("_first"))
+    earlier = Window.partitionBy("fingerprint").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_carried", F.max("_last").over(earlier)).select("fingerprint", "_day", "_carried")
+    whole = whole.join(days, ["fingerprint", "_day"]).withColumn("_before", F.coalesce("_before", "_carried"))
+    cut = F.when(F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= width), F.col("_us"))
+    whole = whole.withColumn("_cut", cut)
+    last_cut = whole.groupBy("fingerprint", "_day").agg(F.max("_cut").alias("_last_cut"))
+    last_cut = last_cut.withColumn("_old_cut", F.max("_last_cut").over(earlier)).select("fingerprint", "_day", "_old_cut")
+    running = F.max("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = whole.withColumn("_piece", running).join(last_cut, ["fingerprint", "_day"]).withColumn("_piece", F.coalesce("_piece", "_old_cut"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, passed = None, None
         for batch in batches:
             keep = []
-            for key, time in zip(batch["fingerprint"], batch["fired_at"]):
-                if key != current:
-                    current, passed = key, None
-                ok = passed is None or (time - passed).total_seconds() >= window_seconds
-                passed = time if ok else passed
-                keep.append(ok)
-            yield batch[keep]
-
-    return alerts.repartition("fingerprint").sortWithinPartitions("fingerprint", "fired_at", "alert_id").mapInPandas(scan, schema)
+            keys, times = list(zip(batch["fingerprint"], batch["_piece"])), batch["_us"].to_numpy()
+            ends = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]] + [len(keys)] * bool(keys)
+            start = 0
+            for end in ends:
+                if keys[start] != current:
+                    current, passed = keys[start], None
+                at = start if passed is None else start + int(np.searchsorted(times[start:end], passed + width))
+                while at < end:
+                    keep.append(at)
+                    passed = times[at]
+                    at = start + int(np.searchsorted(times[start:end], passed + width))
+                start = end
+            yield batch.iloc[keep][kind.names]
+
+    columns = [*kind.names, "_us", "_piece"]
+    return pieces.select(*columns).repartition("fingerprint", "_piece").sortWithinPartitions("fingerprint", "_piece", "_us", "alert_id").mapInPandas(scan, kind)
 
 
 def silence(alerts: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
     """Alerts that no unexpired rule silences: source equal or blank, and metric containing or blank.
 
-    The condition isn't an equality, so rules are broadcast if small enough for Spark to do so on its own.
+    Rules are gathered by source, and what they silence is found on the distinct (source, metric) of the alerts,
+    so that all joins are of equal keys. Null sources and metrics count as blank ones of an alert.
     """
-    active = rules.filter(F.col("expires_at") > as_of).select(F.col("source").alias("_s"), F.col("metric").alias("_m")).distinct()
-    match = ((F.col("_s") == "") | (F.col("_s") == F.col("source"))) & ((F.col("_m") == "") | F.col("metric_name").contains(F.col("_m")))
-    return alerts.join(active, match, "left_anti")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    active = rules.filter(F.col("expires_at") > as_of).groupBy(F.col("source").alias("_s")).agg(F.collect_set("metric").alias("_m"))
+    named = alerts.withColumns({"_source": blank(F.col("source")), "_metric": blank(F.col("metric_name"))})
+    pairs = named.select("_source", "_metric").distinct()
+    asked = pairs.withColumn("_s", F.explode(F.array_distinct(F.array(F.col("_source"), F.lit("")))))
+    silent = asked.join(active, "_s").filter(F.exists("_m", lambda m: F.contains(F.col("_metric"), m))).select("_source", "_metric").distinct()
+    return named.join(silent, ["_source", "_metric"], "left_anti").select(*alerts.columns)
 
 
 def open_with_outcome(alerts: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -179,22 +208,23 @@ def outcome_counts(alerts: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def gate_actions(decisions: DataFrame) -> DataFrame:
-    """Whether each action may run: fewer executions at its risk in the hour before it than the limit.
+    """Whether each action may run: fewer executions of its type in the hour up to it than its risk allows.
 
-    Executions are counted by risk and minute; the frame then runs over one row a minute, so a risk with
-    very many actions isn't sorted in one task. Inside its own minute an action isn't counted.
+    Executions are counted by type and time first; a frame over the hour before then runs inside (type, hour), where
+    each hour also has the rows of the one before it, so a type with very many actions is spread over its hours.
     """
-    from pyspark.sql import Window
-
+    hour = 3_600_000_000
     ran = (F.col("allowed") == 1) & (F.col("dry_run") == 0)
-    minute = F.floor(F.unix_timestamp("log_time") / 60)
-    per = decisions.groupBy("risk_level", minute.alias("_m")).agg(F.count_if(ran).alias("_n"))
-    w = Window.partitionBy("risk_level").orderBy("_m").rangeBetween(-60, -1)
-    per = per.withColumn("recent", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    us = F.unix_micros("log_time")
+    per = decisions.groupBy("action_type", us.alias("_us")).agg(F.count_if(ran).alias("_n"))
+    own = F.floor(F.col("_us") / hour)
+    spread = per.withColumn("_own", own).withColumn("_hour", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy("action_type", "_hour").orderBy("_us").rangeBetween(-hour, -1)
+    recent = spread.withColumn("recent", F.coalesce(F.sum("_n").over(w), F.lit(0))).filter("_hour = _own").select("action_type", "_us", "recent")
     limit = F.lit(None).cast("int")
     for risk, n in RATE_LIMITS.items():
         limit = F.when(F.col("risk_level") == risk, n).otherwise(limit)
-    out = decisions.withColumn("_m", minute).join(per, ["risk_level", "_m"]).drop("_m").withColumn("hour_limit", limit)
+    out = decisions.withColumn("_us", us).join(recent, ["action_type", "_us"], "left").drop("_us").withColumns({"hour_limit": limit, "recent": F.coalesce("recent", F.lit(0))})
     return out.withColumn("may_run", F.when(F.col("recent") < F.coalesce("hour_limit", F.lit(0)), 1).otherwise(0))
 
 

@@ -172,12 +172,20 @@ def online_snapshot(history: DataFrame, as_of: Column, ttl_seconds: int) -> Data
     return latest_values(retained(history, "feature_time", ttl_seconds, as_of), ["entity_id", "group_name", "feature_name"], "feature_value", "feature_time", "version")
 
 
+MAX_FEATURES = 10_000
+
+
 def tiered_read(entities: DataFrame, features: DataFrame, online: DataFrame, offline: DataFrame, contracts: DataFrame) -> DataFrame:
     """A value for each asked (entity, feature): online, else latest offline, else the contract's default, else 0.
 
-    The grid is what was asked for: entities times a list of features.
+    The grid is what was asked for: entities times a list of features, which may have up to MAX_FEATURES names.
     """
-    grid = entities.select("entity_id").distinct().join(F.broadcast(features.select("group_name", "feature_name").distinct()))
+    names = features.select("group_name", "feature_name").distinct().limit(MAX_FEATURES + 1).collect()
+    if len(names) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features are asked for")
+    kind = "array<struct<group_name: string, feature_name: string>>"
+    asked = F.array(*(F.struct(F.lit(r.group_name).alias("group_name"), F.lit(r.feature_name).alias("feature_name")) for r in sorted(names))).cast(kind)
+    grid = entities.select("entity_id").distinct().select("entity_id", F.inline(asked))
     keys = ["entity_id", "group_name", "feature_name"]
     out = grid.join(online.select(*keys, F.col("feature_value").alias("_on")), keys, "left").join(offline.select(*keys, F.col("feature_value").alias("_off")), keys, "left")
     out = out.join(contracts.select("group_name", "feature_name", F.col("default_value_float").alias("_def")), ["group_name", "feature_name"], "left")

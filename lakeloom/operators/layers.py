@@ -168,6 +168,11 @@ def two_periods(orders: DataFrame, base_start: Column, base_end: Column, start:
     return orders.filter(between(t, base_start, end)).agg(*out)
 
 
+def hour_and_baseline(orders: DataFrame, as_of: dt.datetime | Column, legacy_baseline: bool = False) -> DataFrame:
+    """two_periods of the last hour and the same hour of the day before; the legacy baseline is the two hours around it, from 25 to 23 hours back."""
+    return two_periods(orders, ago(as_of, hours=25), ago(as_of, hours=23 if legacy_baseline else 24), ago(as_of, hours=1), at(as_of))
+
+
 def period_report(orders: DataFrame, alerts: DataFrame, base_start: Column, base_end: Column, start: Column, end: Column, k: int = 3) -> DataFrame:
     """Report metrics of a period against the one before: changes, order values, top categories, open alerts."""
     two = two_periods(orders, base_start, base_end, start, end)

@@ -8,20 +8,57 @@ from pyspark.sql import functions as F
 from ..functions.columns import ago, raised
 
 
+#: Databases whose tables are no part of lineage.
+SYSTEM = ("system", "information_schema")
+NAME = r"([A-Za-z_]\w*\.[A-Za-z_]\w*)"
+
+
+def statements(log: DataFrame, text: str = "query_sql") -> DataFrame:
+    """One row a statement of the texts, comments taken out."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/", " "), r"--[^\n]*", "")
+    return log.select(F.explode(F.split(plain, ";")).alias("statement")).filter(F.trim("statement") != "")
+
+
 def edges_of_sql(log: DataFrame, text: str = "query_sql") -> DataFrame:
-    """(source, target) of statements that fill a table: what stands behind FROM or JOIN feeds what stands behind INTO."""
-    table = r"([A-Za-z_]\w*(?:\.\w+)?)"
-    all_ = lambda words: F.regexp_extract_all(F.col(text), F.lit(rf"(?i)\b(?:{words})\s+{table}"), F.lit(1))
-    rows = log.select(F.explode(F.array_distinct(all_("from|join"))).alias("source"), F.element_at(F.when(F.size(all_("insert into|to")) > 0, all_("insert into|to")), 1).alias("target"))
-    return rows.filter("target IS NOT NULL AND source <> target").distinct()
+    """(source, target) of the statements in some texts, names in lower case.
+
+    What stands behind FROM or JOIN feeds the table that the statement inserts into, and the view or table that it
+    creates; a materialized view feeds the table behind its TO. Only names of database.table count, those of the
+    system apart. Texts may hold comments and several statements.
+    """
+    first = lambda pattern: F.lower(F.nullif(F.regexp_extract("statement", rf"(?i)\b{pattern}\s+{NAME}", 1), F.lit("")))
+    kind = lambda what: rf"create\s+(?:or\s+replace\s+)?{what}(?:\s+if\s+not\s+exists)?"
+    rows = statements(log, text).select(
+        F.transform(F.regexp_extract_all("statement", F.lit(rf"(?i)\b(?:from|join)\s+{NAME}"), F.lit(1)), F.lower).alias("sources"),
+        first(r"insert\s+into(?:\s+table)?").alias("filled"), first(kind(r"(?:materialized\s+)?view")).alias("view"), first(kind("table")).alias("made"),
+        F.when(F.col("statement").rlike(rf"(?i)\b{kind('materialized view')}"), first("to")).alias("written"),
+    )
+    created = F.coalesce("view", "made")
+    targets = F.array_distinct(F.array_compact(F.array("filled", created)))
+    pairs = rows.select(F.explode(targets).alias("target"), "sources").select(F.explode("sources").alias("source"), "target")
+    pairs = pairs.unionByName(rows.select(F.col("view").alias("source"), F.col("written").alias("target")))
+    ours = lambda c: ~F.substring_index(c, ".", 1).isin(*SYSTEM)
+    return pairs.filter(F.col("source").isNotNull() & F.col("target").isNotNull() & (F.col("source") != F.col("target")) & ours("source") & ours("target")).distinct()
+
+
+def reached(edges: DataFrame, node: str, here: str, there: str, depth: int) -> DataFrame:
+    """(node, depth) of what up to so many edges lead to; each at its least depth, the start apart."""
+    out = edges.filter(F.col(here) == node).select(F.col(there).alias("node")).filter(F.col("node") != node).distinct().withColumn("depth", F.lit(1))
+    for n in range(2, depth + 1):
+        ends = out.filter(F.col("depth") == n - 1).select(F.col("node").alias(here))
+        step = edges.join(ends, here).select(F.col(there).alias("node")).filter(F.col("node") != node).distinct()
+        out = out.unionByName(step.join(out.select("node"), "node", "left_anti").withColumn("depth", F.lit(n)))
+    return out
 
 
-def upstream(edges: DataFrame, node: str) -> DataFrame:
-    return edges.filter(F.col("target") == node).select(F.col("source").alias("node")).distinct()
+def upstream(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
+    """What feeds a node over up to depth edges."""
+    return reached(edges, node, "target", "source", depth).select("node")
 
 
-def downstream(edges: DataFrame, node: str) -> DataFrame:
-    return edges.filter(F.col("source") == node).select(F.col("target").alias("node")).distinct()
+def downstream(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
+    """What a node feeds over up to depth edges."""
+    return reached(edges, node, "source", "target", depth).select("node")
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -36,8 +73,10 @@ def closure(edges: DataFrame) -> DataFrame:
     while True:
         onward = pairs.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
         longer = pairs.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant"))
-        pairs, before = _settle(spark, pairs.unionByName(longer).distinct()), n
+        shorter, before = pairs, n
+        pairs = _settle(spark, pairs.unionByName(longer).distinct())
         n = pairs.count()
+        shorter.unpersist()
         if n == before:
             return pairs.filter("ancestor <> descendant")
 

@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLANK = re.compile(r"\n\s*\n")
+
+
 def chunk_text(text: str, size: int = 400, overlap: int = 80) -> list[str]:
-    """Paragraphs packed into chunks of up to size characters; a chunk starts with the end of the one before.
+    """Paragraphs packed into chunks while their characters, separators apart, keep to size.
 
-    Paragraphs are parts between blank lines. Longer ones are sliced, each slice ``size - overlap`` after
-    the last.
+    Paragraphs stand between blank lines, which may hold white space. One that doesn't fit starts a chunk behind
+    the last ``overlap`` characters of the chunk before; one longer than size is sliced, each slice
+    ``size - overlap`` after the last, and nothing of it is carried on.
     """
     out: list[str] = []
     held = ""
-    for paragraph in (p.strip() for p in text.split("\n\n")):
-        if not paragraph:
+    for paragraph in filter(None, map(str.strip, BLANK.split(text))):
+        if len(held) + len(paragraph) <= size:
+            held = f"{held}\n\n{paragraph}" if held else paragraph
             continue
+        if held:
+            out.append(held)
         if len(paragraph) > size:
-            if held:
-                out.append(held)
-                held = ""
-            step = size - overlap
-            out += [paragraph[at : at + size] for at in range(0, max(1, len(paragraph) - overlap), step)]
-        elif not held:
-            held = paragraph
-        elif len(held) + 2 + len(paragraph) <= size:
-            held = f"{held}\n\n{paragraph}"
+            slices = (paragraph[at : at + size] for at in range(0, len(paragraph), size - overlap))
+            out += (x for x in slices if x.strip())
+            held = ""
         else:
-            out.append(held)
-            tail = held[-overlap:] if overlap else ""
-            held = f"{tail}\n\n{paragraph}" if tail and len(tail) + 2 + len(paragraph) <= size else paragraph
-    return out + [held] * bool(held)
+            held = f"{held[-overlap:]}\n\n{paragraph}".strip() if held and overlap else paragraph
+    return out + [held] * bool(held.strip())
 
 
 def chunks(docs: DataFrame, id_column: str, text_column: str, size: int = 400, overlap: int = 80) -> DataFrame:
@@ -50,23 +51,44 @@ def chunks(docs: DataFrame, id_column: str, text_column: str, size: int = 400, o
     return rows.select(F.col("id").alias(id_column), F.posexplode("parts").alias("chunk_no", "chunk"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two arrays, in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int = 3, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id and cosine distance of each query's k nearest rows; ties go to the smaller id.
 
-    A stated, small set of queries meets all rows: Spark broadcasts it if its size allows that, and each
-    partition keeps its best k before the shuffle. Zero vectors have no direction and take no part.
+    A stated set of queries meets all rows, exactly: rows are dealt into blocks by a hash of the id, queries visit
+    every block, and a block's distances are a product of matrices, of which each query's best k go on. So neither
+    side has to fit into a broadcast, but the work is queries times rows: for large sets an index is the way. A row
+    of the query's own id is no candidate. Null and zero vectors, and those of another length than most, take no part.
     """
-    norm = lambda v: F.sqrt(dot(v, v))
-    r = rows.select("vec_id", "embedding", norm(F.col("embedding")).alias("_n")).filter("_n > 0")
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_m")).filter("_m > 0")
-    pairs = r.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", (1.0 - dot(F.col("embedding"), F.col("_q")) / (F.col("_n") * F.col("_m"))).alias("distance"))
+    some = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND exists(embedding, x -> x <> 0) AND forall(embedding, x -> x IS NOT NULL)")
+    r, q = some(rows), some(queries)
+    most = r.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    d, n = (most[0].d, most[0].n) if most else (0, 0)
+    blocks = max(1, -(-n // block_rows))
+    r = r.filter(F.size("embedding") == d).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    q = q.filter(F.size("embedding") == d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), every)
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+    def run(near: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if near.num_rows and asked.num_rows:
+            ids, x, wanted = near.column("vec_id").to_numpy(), matrix(near.column("embedding")), matrix(asked.column("query"))
+            for query_id, own in zip(asked.column("query_id").to_pylist(), wanted):
+                distance = np.where(ids == query_id, np.inf, 1.0 - x @ own)
+                best = np.flatnonzero(distance <= np.partition(distance, min(k, len(distance)) - 1)[min(k, len(distance)) - 1])
+                best = best[np.lexsort((ids[best], distance[best]))][:k]
+                out += ((query_id, int(ids[b]), float(distance[b])) for b in best if np.isfinite(distance[b]))
+        return pa.table(dict(zip(("query_id", "vec_id", "distance"), map(pa.array, zip(*out), (pa.int64(), pa.int64(), pa.float64()))))) if out else EMPTY
+
+    found = r.groupBy("block").cogroup(q.groupBy("block")).applyInArrow(run, "query_id long, vec_id long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+EMPTY = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
 
 
 def sessions(chats: DataFrame, limit: int | None = None) -> DataFrame:

@@ -73,6 +73,22 @@ def l3(spark, sf):
     return R.cancel_rise(two(spark, sf))
 
 
+def hours_sql(base_end: int) -> str:
+    return f"two AS (SELECT {period(f'event_time >= {NOW} - INTERVAL 25 HOUR AND event_time < {NOW} - INTERVAL {base_end} HOUR', 'base')}, {period(f'event_time >= {NOW} - INTERVAL 1 HOUR AND event_time < {NOW}', 'current')} FROM order_stream)"
+
+
+for suffix, legacy, end in (("", False, 24), ("_legacy", True, 23)):
+
+    @query(f"L2_hour_gmv_drop{suffix}", sql("order_stream", f", {hours_sql(end)}, {L2} SELECT * FROM l2"))
+    def l2h(spark, sf, legacy=legacy):
+        """The last hour against the one a day before, or against the two hours around that."""
+        return R.gmv_drop(L.hour_and_baseline(A.order_stream(spark, sf), at(AS_OF), legacy))
+
+    @query(f"L3_hour_cancel_rise{suffix}", sql("order_stream", f", {hours_sql(end)}, {L3.replace('n - b', 'n - coalesce(b, 0)')} SELECT * FROM l3"))
+    def l3h(spark, sf, legacy=legacy):
+        return R.cancel_rise(L.hour_and_baseline(A.order_stream(spark, sf), at(AS_OF), legacy))
+
+
 @query("L4_category_drop", sql("order_stream", f", {CHANGES}, {L4} SELECT * FROM l4"))
 def l4(spark, sf):
     return R.category_drop(changes(spark, sf))
@@ -132,9 +148,18 @@ def l10(spark, sf):
     return R.silence(A.alert_events(spark, sf), rules, at(AS_OF)).select("alert_id", "source", "metric_name")
 
 
-EDGES = r"""edges AS (SELECT DISTINCT source, target FROM (
-    SELECT unnest(regexp_extract_all(query_sql, '(?i)\b(?:from|join)\s+([A-Za-z_]\w*(?:\.\w+)?)', 1)) AS source, regexp_extract(query_sql, '(?i)\binto\s+([A-Za-z_]\w*(?:\.\w+)?)', 1) AS target FROM query_log WHERE regexp_matches(query_sql, '(?i)\binto\s'))
-    WHERE source <> target)"""
+NAME = r"([A-Za-z_]\w*\.[A-Za-z_]\w*)"
+EDGES = rf"""statements AS (
+    SELECT unnest(string_split(regexp_replace(regexp_replace(query_sql, '/\*.*?\*/', ' ', 'gs'), '--[^\n]*', '', 'g'), ';')) AS s FROM query_log),
+    parts AS (
+    SELECT list_transform(regexp_extract_all(s, '(?i)\b(?:from|join)\s+{NAME}', 1), lambda x: lower(x)) AS sources, lower(regexp_extract(s, '(?i)\binsert\s+into\s+{NAME}', 1)) AS filled,
+        lower(regexp_extract(s, '(?i)\bcreate\s+(?:materialized\s+)?view\s+{NAME}', 1)) AS made, CASE WHEN regexp_matches(s, '(?i)\bmaterialized\s+view\b') THEN lower(regexp_extract(s, '(?i)\bto\s+{NAME}', 1)) ELSE '' END AS written
+    FROM statements),
+    edges AS (
+    SELECT DISTINCT source, target FROM (
+        SELECT unnest(sources) AS source, target FROM (SELECT sources, unnest(list_filter([filled, made], lambda x: x <> '')) AS target FROM parts)
+        UNION ALL SELECT made, written FROM parts WHERE made <> '' AND written <> '')
+    WHERE source <> target AND split_part(source, '.', 1) NOT IN ('system', 'information_schema') AND split_part(target, '.', 1) NOT IN ('system', 'information_schema'))"""
 #: The tables of alerts by the log's names: one of the two that the events name.
 ALERTED = "alerted AS (SELECT alert_id, severity, CASE WHEN CAST(alert_id AS BIGINT) % 2 = 0 THEN 'ods.t1' ELSE 'dwd.t3' END AS t FROM alert_events)"
 
@@ -155,10 +180,18 @@ def l13(spark, sf):
     return edges(spark, sf)
 
 
-@query("L14_neighbours", sql("query_log", f", {EDGES} SELECT 'up' AS direction, source AS node FROM edges WHERE target = 'dwd.t3' UNION ALL SELECT 'down', target FROM edges WHERE source = 'dwd.t3'"))
+#: What lies up to two edges before and behind a table.
+NEAR = """up AS (SELECT source AS node FROM edges WHERE target = 'dwd.t3'), down AS (SELECT target AS node FROM edges WHERE source = 'dwd.t3')
+    SELECT 'up' AS direction, node FROM up UNION ALL SELECT 'down', node FROM down
+    UNION ALL SELECT DISTINCT 'up to two', node FROM (SELECT node FROM up UNION ALL SELECT source FROM edges JOIN up ON target = node) WHERE node <> 'dwd.t3'
+    UNION ALL SELECT DISTINCT 'down to two', node FROM (SELECT node FROM down UNION ALL SELECT target FROM edges JOIN down ON source = node) WHERE node <> 'dwd.t3'"""
+
+
+@query("L14_neighbours", sql("query_log", f", {EDGES}, {NEAR}"))
 def l14(spark, sf):
-    e = edges(spark, sf)
-    return N.upstream(e, "dwd.t3").select(F.lit("up").alias("direction"), "node").union(N.downstream(e, "dwd.t3").select(F.lit("down").alias("direction"), "node"))
+    e, tag = edges(spark, sf), lambda df, name: df.select(F.lit(name).alias("direction"), "node")
+    near = tag(N.upstream(e, "dwd.t3"), "up").union(tag(N.downstream(e, "dwd.t3"), "down"))
+    return near.union(tag(N.upstream(e, "dwd.t3", 2), "up to two")).union(tag(N.downstream(e, "dwd.t3", 2), "down to two"))
 
 
 PAIRS = "pairs AS (SELECT source AS ancestor, target AS descendant FROM edges UNION SELECT ancestor, target FROM pairs JOIN edges ON descendant = source)"
@@ -272,9 +305,13 @@ def u2(spark, sf):
     return system.unionByName(quality)
 
 
-@query("W12_dedup_alerts")
+PASSING = """passing AS (SELECT fingerprint, min(fired_at) AS t FROM alert_events GROUP BY 1
+    UNION ALL SELECT a.fingerprint, min(a.fired_at) FROM passing p JOIN alert_events a ON a.fingerprint = p.fingerprint AND a.fired_at >= p.t + INTERVAL 86400 SECOND GROUP BY 1)"""
+
+
+@query("W12_dedup_alerts", sql("alert_events", f", {PASSING} SELECT min(alert_id) AS alert_id, fired_at, a.fingerprint FROM alert_events a JOIN passing p ON a.fingerprint = p.fingerprint AND fired_at = t GROUP BY 2, 3"))
 def w12(spark, sf):
-    """Which alerts pass depends on the last that passed; tests hold it against a plain scan."""
+    """Which alerts pass depends on the last that passed."""
     return R.dedup_alerts(A.alert_events(spark, sf), 86_400).select("alert_id", "fired_at", "fingerprint")
 
 
@@ -284,7 +321,7 @@ def w13(spark, sf):
 
 
 @query("W14_action_gate", sql("decision_log", f"""SELECT *, CASE WHEN recent < hour_limit THEN 1 ELSE 0 END AS may_run FROM (
-    SELECT a.alert_id, a.risk_level, CASE a.risk_level WHEN 'low' THEN 10 WHEN 'medium' THEN 3 WHEN 'high' THEN 1 ELSE 0 END AS hour_limit,
-        (SELECT count(*) FROM decision_log b WHERE b.risk_level = a.risk_level AND b.allowed = 1 AND b.dry_run = 0 AND floor(epoch(b.log_time) / 60) >= floor(epoch(a.log_time) / 60) - 60 AND floor(epoch(b.log_time) / 60) < floor(epoch(a.log_time) / 60)) AS recent FROM decision_log a)"""))
+    SELECT a.alert_id, a.action_type, a.risk_level, CASE a.risk_level WHEN 'low' THEN 10 WHEN 'medium' THEN 3 WHEN 'high' THEN 1 ELSE 0 END AS hour_limit,
+        (SELECT count(*) FROM decision_log b WHERE b.action_type = a.action_type AND {RAN} AND b.log_time >= a.log_time - INTERVAL 1 HOUR AND b.log_time < a.log_time) AS recent FROM decision_log a)"""))
 def w14(spark, sf):
-    return R.gate_actions(A.decision_log(spark, sf)).select("alert_id", "risk_level", "hour_limit", "recent", "may_run")
+    return R.gate_actions(A.decision_log(spark, sf)).select("alert_id", "action_type", "risk_level", "hour_limit", "recent", "may_run")

@@ -111,7 +111,7 @@ def f23(spark, sf):
     return X.online_snapshot(A.feature_history(spark, sf), at(AS_OF), TTL)
 
 
-ASKED = "SELECT CAST(c_custkey AS VARCHAR) AS entity_id FROM customer WHERE c_custkey % 3 = 0"
+ASKED = "SELECT CAST(c_custkey AS VARCHAR) AS entity_id FROM customer"
 TIERS = f"""{SNAPSHOT},
     offline AS (SELECT entity_id, group_name, feature_name, arg_max(feature_value, (feature_time, version)) AS feature_value FROM feature_history GROUP BY 1, 2, 3),
     grid AS (SELECT entity_id, group_name, feature_name FROM ({ASKED}), (SELECT DISTINCT group_name, feature_name FROM feature_history))
@@ -121,7 +121,7 @@ TIERS = f"""{SNAPSHOT},
 
 
 def asked(spark, sf):
-    return A.table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("entity_id"))
+    return A.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"))
 
 
 def tiers(spark, sf):
@@ -140,10 +140,12 @@ def j11(spark, sf):
     return tiers(spark, sf).groupBy("tier").agg(F.count("*").alias("cells"))
 
 
-@query("F25_feature_vectors")
+@query("F25_feature_vectors", sql("feature_history", f"SELECT entity_id, count(*) AS feature_cnt, {', '.join(f"max(v) FILTER (feature_name = '{n}') AS {n}" for n in NAMES)} FROM (SELECT entity_id, feature_name, arg_max(feature_value, (feature_time, version)) AS v FROM feature_history GROUP BY 1, 2) GROUP BY 1"))
 def f25(spark, sf):
+    """What the maps of the entities hold."""
     h = A.feature_history(spark, sf)
-    return X.feature_vectors(V.latest_values(h, ["entity_id", "feature_name"], "feature_value", "feature_time", "version"))
+    out = X.feature_vectors(V.latest_values(h, ["entity_id", "feature_name"], "feature_value", "feature_time", "version"))
+    return out.select("entity_id", F.size("features").cast("long").alias("feature_cnt"), *(F.try_element_at("features", F.lit(n)).alias(n) for n in NAMES))
 
 
 START, END = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)
@@ -160,7 +162,15 @@ def f27(spark, sf):
     return X.training_summary(asof.point_in_time(A.feature_labels(spark, sf), A.feature_history(spark, sf), NAMES), NAMES)
 
 
-@query("F28_definition_rows")
+def literal(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+
+
+DEFINED = ", ".join("(" + ", ".join(map(literal, (f.group, f.name, f.entity, f.dtype, f.default, f.hours * 3600 if f.hours else None))) + ")" for f in X.FEATURES)
+DEFINITIONS = f"defined(group_name, feature_name, entity, dtype, default_value, window_seconds) AS (VALUES {DEFINED}), counted AS (SELECT group_name, feature_name, count(*) AS entity_cnt FROM ({' UNION ALL '.join(feature_sql(*k) for k in VALUES)} UNION ALL {SHARE}) GROUP BY 1, 2)"
+
+
+@query("F28_definition_rows", sql("order_stream", f", {DEFINITIONS} SELECT d.*, entity_cnt FROM defined d LEFT JOIN counted USING (group_name, feature_name)"))
 def f28(spark, sf):
     """Definitions beside the number of entities that have a value now."""
     values = X.materialize_features(A.order_stream(spark, sf), AS_OF).groupBy("group_name", "feature_name").agg(F.count("*").alias("entity_cnt"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import AS_OF, STATES, ago, at, device_class, ip_state, rounded, time_decay
@@ -28,28 +28,45 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
 
 
-#: The events come in slices of under eight days, each of any number of files in any order.
-SLICES, SLICE_DAYS, DISORDER = 4, 7.7, "10 days"
+#: The events come in slices of the order of time, each of files in any order; between slices no row is later than
+#: the delay, so that the streams run under the few seconds that they are about.
+SLICES, DELAY = 6, "5 seconds"
+SLICE_FILE_ROWS = 500_000
 
 
-def event_stream(spark: SparkSession, sf: str, adapter=A.order_stream) -> DataFrame:
-    """The adapter's rows as a stream of files, slice after slice in the order of time, a few files at a time."""
-    folder, rows = scratch(spark), adapter(spark, sf)
-    part = F.least(F.lit(SLICES - 1), F.floor((F.unix_timestamp("event_time") - F.unix_timestamp(at(dt.datetime(2024, 1, 1)))) / (SLICE_DAYS * 86_400)))
-    for k in range(SLICES):
-        rows.filter(part == k).write.mode("append").parquet(folder)
-    schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
-
-
-def closing(adapter=A.order_stream):
-    """The adapter with a row of the year 2100 behind the others."""
-    def rows(spark: SparkSession, sf: str) -> DataFrame:
-        df = adapter(spark, sf)
-        last = df.limit(1).withColumn("event_time", F.to_timestamp(F.lit("2100-01-01 00:00:00"))).withColumn("order_id", F.lit("end"))
-        return df.unionByName(last)
+def event_files(spark: SparkSession, sf: str, adapter=A.order_stream, closed: bool = False, delayed: Column | None = None) -> tuple[str, int]:
+    """A folder with the adapter's rows as files, slice after slice, and how many files make a slice.
 
-    return rows
+    Slices are cut at quantiles of the times that there are; rows without a time come in the first. closed: a row of
+    the year 2100 comes behind them, which ends all windows before. delayed: which rows come after all others.
+    """
+    folder, rows = scratch(spark), adapter(spark, sf)
+    us = F.unix_micros("event_time")
+    found = rows.agg(F.percentile_approx(us, [k / SLICES for k in range(1, SLICES)], 10_000).alias("cuts"), F.count("*").alias("n")).first()
+    cuts = sorted(set(found.cuts or []))
+    files = max(1, found.n // SLICES // SLICE_FILE_ROWS)
+    late = F.coalesce(delayed, F.lit(False)) if delayed is not None else F.lit(False)
+    part = sum((F.coalesce((us >= c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    for k in range(len(cuts) + 1):
+        rows.filter(~late & (part == k)).repartition(files).write.mode("append").parquet(folder)
+    ends = ["2100-01-01 00:00:00"] * closed + ["2101-01-01 00:00:00"] * (delayed is not None)
+    for end in ends:
+        last = rows.limit(1).withColumn("event_time", F.to_timestamp(F.lit(end))).withColumn("order_id", F.lit("end"))
+        for _ in range(files):
+            last.coalesce(1).write.mode("append").parquet(folder)
+    if delayed is not None:
+        rows.filter(late).repartition(files).write.mode("append").parquet(folder)
+    return folder, files
+
+
+def read_files(spark: SparkSession, folder: str, files: int) -> DataFrame:
+    """The files of a folder as a stream, in the order of writing, so many at a time."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def event_stream(spark: SparkSession, sf: str, adapter=A.order_stream, closed: bool = False, delayed: Column | None = None) -> DataFrame:
+    """The adapter's rows as a stream, a slice at a time."""
+    return read_files(spark, *event_files(spark, sf, adapter, closed, delayed))
 
 
 def finished(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -71,7 +88,7 @@ def t1(spark, sf):
 
 @query("T1_minute_stats_stream", sql("order_stream", T1))
 def t1s(spark, sf):
-    return finished(spark, J.minute_statistics(event_stream(spark, sf, closing()), DISORDER))
+    return finished(spark, J.minute_statistics(event_stream(spark, sf, closed=True), DELAY, exact=True))
 
 
 T2 = f"SELECT {BUCKET.format('1 MINUTE')}, product_category, {MEASURES} FROM order_stream GROUP BY 1, 3"
@@ -84,7 +101,7 @@ def t2(spark, sf):
 
 @query("T2_category_minutes_stream", sql("order_stream", T2))
 def t2s(spark, sf):
-    return finished(spark, J.category_statistics(event_stream(spark, sf, closing()), DISORDER))
+    return finished(spark, J.category_statistics(event_stream(spark, sf, closed=True), DELAY))
 
 
 T3 = "SELECT * FROM (SELECT time_bucket(INTERVAL 5 MINUTE, event_time) AS window_start, product_category, count(*) FILTER (order_status = 'canceled')::DOUBLE / count(*) * 100.0 AS cancel_rate, count(*) AS total_orders FROM order_stream GROUP BY 1, 2) WHERE cancel_rate > 15"
@@ -97,7 +114,7 @@ def t3(spark, sf):
 
 @query("T3_cancel_alerts_stream", sql("order_stream", T3))
 def t3s(spark, sf):
-    return finished(spark, J.cancel_alerts(event_stream(spark, sf, closing()), DISORDER))
+    return finished(spark, J.cancel_alerts(event_stream(spark, sf, closed=True), DELAY))
 
 
 T4 = f"SELECT customer_id, date_trunc('hour', event_time) AS window_start, count(*) AS order_count, {GMV} AS gmv, {GMV} / count(price) AS avg_price, count(DISTINCT product_category) AS category_cnt, date_trunc('hour', event_time) + INTERVAL 1 HOUR AS feature_time FROM order_stream GROUP BY 1, 2"
@@ -111,43 +128,44 @@ def t4(spark, sf):
 @query("T4_customer_features_stream", sql("order_stream", T4))
 def t4s(spark, sf):
     """Categories of a customer's hour are few, so their estimate is exact here."""
-    return finished(spark, J.customer_features(event_stream(spark, sf, closing()), DISORDER))
+    return finished(spark, J.customer_features(event_stream(spark, sf, closed=True), DELAY))
 
 
 @query("T5_running_user_features", sql("order_stream", f"SELECT customer_id, count(*) AS order_count, {money_sql('price')} AS gmv, max(event_time) AS last_time FROM order_stream GROUP BY 1"))
 def t5(spark, sf):
     """The last row of each customer that the stateful stream gives."""
-    rows = finished(spark, J.running_user_features(event_stream(spark, sf), DISORDER, ttl_ms=365 * 86_400_000), "update")
+    rows = finished(spark, J.running_user_features(event_stream(spark, sf), DELAY, ttl_ms=365 * 86_400_000), "update")
     return rows.groupBy("customer_id").agg(F.max_by(F.struct("order_count", "gmv", "last_time"), "order_count").alias("r")).select("customer_id", "r.*")
 
 
 @query("T6_orders_with_payments", sql("order_stream payments", "SELECT o.order_id, coalesce(p.payment_type, '') AS payment_type, coalesce(p.payment_value, 0.0::DOUBLE) AS payment_value FROM order_stream o LEFT JOIN payments p ON o.order_id = p.order_id AND p.event_time >= o.event_time AND p.event_time <= o.event_time + INTERVAL 1 HOUR"))
 def t6(spark, sf):
-    pay = event_stream(spark, sf, lambda s, d: closing(A.payments)(s, d))
-    both = J.orders_with_payments(event_stream(spark, sf, closing()), pay, DISORDER)
+    pay = event_stream(spark, sf, A.payments, closed=True)
+    both = J.orders_with_payments(event_stream(spark, sf, closed=True), pay, DELAY)
     return finished(spark, both).filter("order_id <> 'end'").select("order_id", "payment_type", "payment_value")
 
 
 @query("T7_replay", sql("order_stream", f"SELECT date_trunc('hour', event_time) AS hour_start, product_category, state, count(DISTINCT order_id) AS order_cnt, {GMV} AS total_gmv, count(*) FILTER (order_status = 'canceled') AS cancel_cnt FROM order_stream GROUP BY 1, 2, 3"))
 def t7(spark, sf):
-    folder = scratch(spark)
-    stream = event_stream(spark, sf)
-    J.replay(stream, "job-1", f"{folder}/hours", f"{folder}/c1")
-    J.replay(stream, "job-2", f"{folder}/hours", f"{folder}/c2")  # again from the start: the same rows
-    return J.replayed_hours(spark, f"{folder}/hours")
+    """Three replays into one table, their batches cut in three ways: the hours are those of one."""
+    out, (folder, files) = scratch(spark), event_files(spark, sf)
+    for n, (job, at_once) in enumerate((("job-9", files), ("job-10", 2 * files), ("job-11", 100 * files))):
+        J.replay(read_files(spark, folder, at_once), job, f"{out}/hours", f"{out}/{job}", version=n)
+    return J.replayed_hours(spark, f"{out}/hours")
 
 
-@query("T8_late_rows", sql("order_stream", "SELECT CAST(event_time AS DATE) AS day, count(*) AS order_cnt FROM order_stream GROUP BY 1"))
+@query("T8_late_rows", sql("order_stream", "SELECT CAST(event_time AS DATE) AS day, count(*) AS order_cnt FROM order_stream WHERE _kafka_offset % 10 <> 3 GROUP BY 1"))
 def t8(spark, sf):
-    """Days of a stream whose rows are out of order by less than the delay: none is late."""
-    g = J.late(event_stream(spark, sf, closing()), DISORDER).groupBy(F.window("event_time", "1 day").alias("w")).agg(F.count("*").alias("order_cnt"))
-    return finished(spark, g.select(F.to_date("w.start").alias("day"), "order_cnt"))
+    """Days of a stream of which every tenth row comes after the watermark has passed all days: those rows are dropped."""
+    stream = event_stream(spark, sf, closed=True, delayed=F.col("_kafka_offset") % 10 == 3)
+    g = J.late(stream, DELAY).groupBy(F.window("event_time", "1 day").alias("w")).agg(F.count("*").alias("order_cnt"))
+    return finished(spark, g.select(F.to_date("w.start").alias("day"), "order_cnt")).filter("day < DATE '2100-01-01'")
 
 
 @query("T9_stream_dedup", sql("order_stream", "SELECT order_id, price FROM order_stream"))
 def t9(spark, sf):
     twice = lambda s, d: A.order_stream(s, d).unionByName(A.order_stream(s, d))
-    return finished(spark, J.deduplicated(event_stream(spark, sf, twice), ["order_id"], DISORDER).select("order_id", "price"))
+    return finished(spark, J.deduplicated(event_stream(spark, sf, twice), ["order_id"], DELAY).select("order_id", "price"))
 
 
 @query("T10_restart", sql("order_stream", "SELECT count(*) AS rows, count(DISTINCT order_id) AS orders FROM order_stream"))
@@ -162,7 +180,7 @@ def t10(spark, sf):
 @query("T11_replay_job", sql("order_stream", "SELECT 'job-1' AS job_id, 'done' AS status, count(*) AS processed FROM order_stream"))
 def t11(spark, sf):
     folder = scratch(spark)
-    q = J.replay(event_stream(spark, sf), "job-1", f"{folder}/hours", f"{folder}/checkpoint")
+    q = J.replay(event_stream(spark, sf), "job-1", f"{folder}/hours", f"{folder}/checkpoint", version=1)
     return J.replay_job_row(spark, q, "job-1").select("job_id", "status", "processed")
 
 
@@ -210,7 +228,7 @@ def s6(spark, sf):
 def s7(spark, sf):
     """Hours of a stream in update mode, merged by window: later states of a window replace earlier ones."""
     folder = scratch(spark)
-    stats = J.minute_statistics(event_stream(spark, sf), DISORDER, "1 hour").drop("unique_customers", "top_category").withColumn("day", F.to_date("window_start"))
+    stats = J.minute_statistics(event_stream(spark, sf), DELAY, "1 hour").drop("unique_customers", "top_category").withColumn("day", F.to_date("window_start"))
     J.run_available(stats, J.upsert_sink(f"{folder}/hours", ["window_start", "day"], ["order_cnt"], "day"), f"{folder}/checkpoint", "update")
     return spark.read.parquet(f"{folder}/hours").drop("day")
 
@@ -272,10 +290,10 @@ def k1(spark, sf):
 
 @query("K2_cosine_top_k", f"""SELECT query_id, CAST(rank AS INT) AS rank, vec_id, {rounded_sql('distance', 6)} AS distance FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
-        SELECT q.vec_id AS query_id, r.vec_id, 1.0 - list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 3""")
+        SELECT q.vec_id AS query_id, r.vec_id, 1.0 - list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 3""")
 def k2(spark, sf):
     e = A.table(spark, sf, "embeddings")
-    return T.cosine_top_k(e, e.filter("vec_id % 50 = 0")).withColumn("distance", rounded(F.col("distance"), 6))
+    return T.cosine_top_k(e, e.filter("vec_id % 20 = 0")).withColumn("distance", rounded(F.col("distance"), 6))
 
 
 @query("A22_sessions", sql("chat_sessions", "SELECT session_id, arg_min(content, turn_index) FILTER (role = 'user') AS first_question, count(*) AS turns, count(*) FILTER (role = 'user') AS questions, min(turn_index) AS first_turn FROM chat_sessions GROUP BY 1"))

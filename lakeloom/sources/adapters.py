@@ -128,12 +128,13 @@ def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query's text names the tables it reads and the one it fills."""
+    """A query's text names the tables it reads and the one it fills; some hold comments, views and two statements."""
     e = table(spark, sf_dir, "events")
     n, u = F.col("event_id"), F.col("user_id")
     name = lambda layer, k: F.concat(F.lit(layer), F.lit(".t"), k.cast("string"))
     sql = (
         F.when(n % 11 == 0, F.lit("  SYSTEM FLUSH LOGS"))
+        .when(n % 13 == 0, F.concat(F.lit("-- copied FROM ods.t9\nCREATE MATERIALIZED VIEW "), name("mv", u % 3), F.lit(" TO "), name("dws", u % 6), F.lit(" AS SELECT * FROM /* JOIN ods.t8 */ "), name("DWD", n % 8), F.lit("; INSERT INTO "), name("ads", u % 4), F.lit(" SELECT * FROM "), name("dws", n % 6), F.lit(" JOIN system.parts")))
         .when(n % 2 == 0, F.concat(F.lit("INSERT INTO "), name("dwd", u % 8), F.lit(" SELECT * FROM "), name("ods", u % 5), F.lit(" JOIN "), name("ods", 1 + u % 7), F.lit(" USING (id)")))
         .otherwise(F.concat(F.lit("INSERT INTO "), name("dws", u % 6), F.lit(" SELECT count(*) FROM "), name("dwd", n % 8)))
     )
@@ -236,6 +237,7 @@ CTE: dict[str, str] = {
     "query_log": """query_log AS (
         SELECT ts AS query_time, CAST(floor(value * 20) AS BIGINT) AS duration_ms,
             CASE WHEN event_id % 11 = 0 THEN '  SYSTEM FLUSH LOGS'
+                WHEN event_id % 13 = 0 THEN '-- copied FROM ods.t9' || chr(10) || 'CREATE MATERIALIZED VIEW mv.t' || (user_id % 3) || ' TO dws.t' || (user_id % 6) || ' AS SELECT * FROM /* JOIN ods.t8 */ DWD.t' || (event_id % 8) || '; INSERT INTO ads.t' || (user_id % 4) || ' SELECT * FROM dws.t' || (event_id % 6) || ' JOIN system.parts'
                 WHEN event_id % 2 = 0 THEN 'INSERT INTO dwd.t' || (user_id % 8) || ' SELECT * FROM ods.t' || (user_id % 5) || ' JOIN ods.t' || (1 + user_id % 7) || ' USING (id)'
                 ELSE 'INSERT INTO dws.t' || (user_id % 6) || ' SELECT count(*) FROM dwd.t' || (event_id % 8) END AS query_sql,
             event_id * 100 AS read_rows, event_id * 6400 AS read_bytes

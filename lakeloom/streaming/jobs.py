@@ -21,8 +21,9 @@ def late(stream: DataFrame, delay: str = "5 seconds", time: str = "event_time")
     return stream.withWatermark(time, delay) if stream.isStreaming else stream
 
 
-def minute_statistics(orders: DataFrame, delay: str = "5 seconds", window: str = "1 minute") -> DataFrame:
-    return layers.minute_stats(late(orders, delay), window)
+def minute_statistics(orders: DataFrame, delay: str = "5 seconds", window: str = "1 minute", exact: bool | None = None) -> DataFrame:
+    """Customers are counted exactly in batch and estimated on a stream, whose state would hold all of them, unless exact says else."""
+    return layers.minute_stats(late(orders, delay), window, exact=not orders.isStreaming if exact is None else exact)
 
 
 def category_statistics(orders: DataFrame, delay: str = "5 seconds", window: str = "1 minute") -> DataFrame:
@@ -129,21 +130,40 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return q
 
 
-def replay(orders: DataFrame, job_id: str, path: str, checkpoint: str) -> StreamingQuery:
-    """The stream from its start, by hour, category and state, merged into a table by key: replaying twice is replaying once."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = layers.hourly_by_dimension(batch).withColumns({"replay_job_id": F.lit(job_id), "_batch": F.lit(batch_id), "hour_date": F.to_date("hour_start")})
-        # parts of an hour that come in several batches add up: each batch is a row of its own until read
-        upsert_sink(path, ["hour_start", "product_category", "state", "_batch"], ["replay_job_id"], "hour_date")(rows, batch_id)
+REPLAYED = ("order_id", "customer_id", "product_category", "state", "order_status", "price", "event_time")
 
-    return run_available(orders, sink, checkpoint)
+
+def replay(orders: DataFrame, job_id: str, path: str, checkpoint: str, version: int) -> StreamingQuery:
+    """The stream from its start, by hour, category and state, put into a table by hour: replaying twice is replaying once.
+
+    Batches are staged as they come, each under its own id, with the columns that count; at the end the hours of
+    the job are aggregated as a whole, so that neither counts nor distinct orders depend on how batches were cut.
+    The job's hours then replace those of lower versions, and of its own earlier runs; hours of a higher
+    version stay. version: a number that later jobs have a greater one of, such as the time of their start.
+    """
+    staged = f"{path}_staged/{job_id}"
+    query = run_available(orders.select(*REPLAYED), table_sink(f"{staged}/rows"), checkpoint)
+    spark = orders.sparkSession
+    if not _exists(spark, f"{staged}/rows"):
+        return query
+    rows = layers.hourly_by_dimension(spark.read.parquet(f"{staged}/rows")).withColumns({"replay_job_id": F.lit(job_id), "version": F.lit(version).cast("long"), "hour_date": F.to_date("hour_start")})
+    rows.write.mode("overwrite").parquet(f"{staged}/hours")
+    new = spark.read.parquet(f"{staged}/hours")
+    merged = new
+    if _exists(spark, path):
+        days = [r[0] for r in new.select("hour_date").distinct().collect()]  # a value a partition
+        old = spark.read.parquet(path).filter(F.col("hour_date").isin(days) & (F.col("replay_job_id") != job_id))
+        merged = old.select(new.columns).unionByName(new)
+    owner = F.struct("version", "replay_job_id")
+    owners = merged.groupBy("hour_start").agg(F.max(owner).alias("owner"))
+    merged.join(owners, "hour_start").filter(owner == F.col("owner")).drop("owner").write.mode("overwrite").parquet(f"{staged}/merged")
+    spark.read.parquet(f"{staged}/merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_date").parquet(path)
+    return query
 
 
 def replayed_hours(spark: SparkSession, path: str) -> DataFrame:
-    """Hours of a replayed table, its batches added up. Customers of several batches count in each."""
-    return spark.read.parquet(path).groupBy("hour_start", "product_category", "state").agg(
-        F.sum("order_cnt").alias("order_cnt"), F.sum(F.col("total_gmv").cast("decimal(18,2)")).cast("double").alias("total_gmv"), F.sum("cancel_cnt").alias("cancel_cnt")
-    )
+    """Hours of a replayed table."""
+    return spark.read.parquet(path).select("hour_start", "product_category", "state", "order_cnt", "total_gmv", "cancel_cnt")
 
 
 PROGRESS = "query_id string, batch_id long, time string, input_rows long, rows_per_second double, start_offset string, end_offset string"

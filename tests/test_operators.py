@@ -84,6 +84,102 @@ def test_dedup_timeline(spark):
     assert alerts.dedup_alerts(both.limit(0)).count() == 0
 
 
+def test_dedup_is_a_plain_scan(spark):
+    """Frequent and rare fingerprints over many days, ties, repeats and null times against a scan row by row."""
+    import random
+
+    r = random.Random(5)
+    rows = [(f"{k}", r.choice("aaaabc"), T0 + dt.timedelta(seconds=r.randrange(6 * 86_400))) for k in range(1500)] + [(f"t{k}", "d", T0) for k in range(3)] + [("n", "a", None)]
+    df = spark.createDataFrame(rows, "alert_id string, fingerprint string, fired_at timestamp").repartition(7)
+    for window in (60, 900, 7200):
+        want, last = set(), {}
+        for id_, print_, time in sorted((x for x in rows if x[2]), key=lambda x: (x[1], x[2], x[0])):
+            if print_ not in last or (time - last[print_]).total_seconds() >= window:
+                last[print_] = time
+                want.add(id_)
+        assert {x.alert_id for x in alerts.dedup_alerts(df, window).collect()} == want
+
+
+def test_silence(spark):
+    a = spark.createDataFrame([("1", "s", "cpu_load"), ("2", "s", "disk"), ("3", "t", "cpu"), ("4", None, "x"), ("5", "u", None)], "alert_id string, source string, metric_name string")
+    rule = lambda *rows: spark.createDataFrame([(x, y, T0 + dt.timedelta(days=d)) for x, y, d in rows], "source string, metric string, expires_at timestamp")
+    left = lambda rules: sorted(r.alert_id for r in alerts.silence(a, rules, at(T0)).collect())
+    assert left(rule(("s", "cpu", 1), ("t", "", -1))) == ["2", "3", "4", "5"]
+    assert left(rule(("", "cpu", 1))) == ["2", "4", "5"] and left(rule(("", "", 1))) == [] and left(rule(("u", "", 1), ("s", "k", 1))) == ["1", "3", "4"]
+
+
+def test_gate_counts_by_action(spark):
+    at_ = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    rows = [("a", "high", at_(0)), ("a", "high", at_(30)), ("b", "high", at_(31)), ("a", "high", at_(60)), ("a", "high", at_(121)), ("a", "critical", at_(300))]
+    df = spark.createDataFrame([(x, y, t, 1, 0) for x, y, t in rows], "action_type string, risk_level string, log_time timestamp, allowed int, dry_run int")
+    got = {(r.action_type, r.log_time): (r.recent, r.may_run) for r in alerts.gate_actions(df).collect()}
+    assert [got[x, t] for x, _, t in rows] == [(0, 1), (1, 0), (0, 1), (2, 0), (0, 1), (0, 0)]
+
+
+def test_replay_under_any_cut(spark, tmp_path):
+    """Orders that several batches share count once, whatever the batches and the job; a later job replaces its hours."""
+    schema = "order_id string, customer_id string, product_category string, state string, order_status string, price double, event_time timestamp"
+    row = lambda n, price=1.0: (str(n), "c", "k", "s", "created", price, T0 + dt.timedelta(minutes=n % 90))
+    for k in range(5):
+        spark.createDataFrame([row(n) for n in range(k, 60)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda files: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{tmp_path}/in")
+    want = {(r.hour_start, r.order_cnt, r.total_gmv) for r in L.hourly_by_dimension(spark.read.schema(schema).parquet(f"{tmp_path}/in")).collect()}
+    for version, (job, files) in enumerate((("job-9", 1), ("job-10", 2), ("job-11", 100), ("job-9", 1))):
+        jobs.replay(stream(files), job, f"{tmp_path}/t", f"{tmp_path}/{job}-{version}", version)
+        got = jobs.replayed_hours(spark, f"{tmp_path}/t").collect()
+        assert {(r.hour_start, r.order_cnt, r.total_gmv) for r in got} == want and len(got) == len(want)
+    jobs.replay(stream(3).withColumn("price", F.lit(0.0)), "older", f"{tmp_path}/t", f"{tmp_path}/older", -1)
+    assert {(r.hour_start, r.order_cnt, r.total_gmv) for r in jobs.replayed_hours(spark, f"{tmp_path}/t").collect()} == want
+    jobs.replay(stream(3).withColumn("price", F.lit(0.0)), "newer", f"{tmp_path}/t", f"{tmp_path}/newer", 99)
+    assert {r.total_gmv for r in jobs.replayed_hours(spark, f"{tmp_path}/t").collect()} == {0.0}
+
+
+def test_cosine_top_k_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(60, 8))
+    x[7] = x[3]
+    rows = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(60)] + [(80, [0.0] * 8), (81, None), (82, [1.0])], "vec_id long, embedding array<float>")
+    got = text.cosine_top_k(rows, rows.filter("vec_id % 20 = 0"), 3, block_rows=7).collect()
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    for q in (0, 20, 40):
+        best = sorted((1 - float(u[k] @ u[q]), k) for k in range(60) if k != q)[:3]
+        mine = sorted((r.rank, r.vec_id, r.distance) for r in got if r.query_id == q)
+        assert [m[1] for m in mine] == [k for _, k in best] and all(abs(m[2] - d) < 1e-9 for m, (d, _) in zip(mine, best))
+    assert {r.query_id for r in got} == {0, 20, 40}
+
+
+def test_hour_baselines(spark):
+    rows = [(1.0, T0 - dt.timedelta(hours=h), "c", "x") for h in (0.5, 23.5, 24.5)]
+    orders = spark.createDataFrame(rows, "price double, event_time timestamp, customer_id string, order_status string")
+    assert [L.hour_and_baseline(orders, T0, legacy).first().base_orders for legacy in (False, True)] == [1, 2]
+
+
+def test_topic_options(spark, monkeypatch):
+    """The Kafka source asks for the topic from its start and reads the value's JSON; no broker is needed to see that."""
+    seen = {}
+
+    class Reader:
+        def format(self, x):
+            seen["format"] = x
+            return self
+
+        def option(self, k, v):
+            seen[k] = v
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(b'{"order_id":"1","price":2}',), (b"{broken",)], "value binary")
+
+    class Session:
+        readStream = Reader()
+
+    got = landing.topic_stream(Session(), "host:9092", "orders", landing.ORDER_JSON, "order_id").collect()
+    assert [r.order_id for r in got] == ["1"]
+    assert seen == {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "subscribe": "orders", "startingOffsets": "earliest"}
+
+
 def test_severities(spark):
     df = spark.createDataFrame([("P3",), ("P2",), ("P1",), ("P4",)], "s string")
     assert [r.r for r in df.select(raised(F.col("s")).alias("r")).collect()] == ["P2", "P1", "P1", "P4"]
@@ -101,23 +197,28 @@ def test_lineage_chain(spark):
     root = lineage.impact(pairs).filter("node = 'kafka.orders'").first()
     assert (root.descendants, root.score, root.severity) == (4, 0.4, "P2")
     assert lineage.downstream(edges, "ads.hourly").count() == 0
+    assert {r.node for r in lineage.downstream(edges, "kafka.orders", 3).collect()} == set(chain[1:4]) and {r.node for r in lineage.upstream(edges, "ads.hourly", 9).collect()} == set(chain[:4])
     loop = edges.unionByName(spark.createDataFrame([("ads.hourly", "kafka.orders")], edges.schema))
     assert lineage.closure(loop).count() == 20
     assert lineage.closure(edges.limit(0)).count() == 0
 
 
 def test_edges_of_sql(spark):
-    log = spark.createDataFrame([("INSERT INTO a.b SELECT 1 FROM c.d x JOIN e ON 1",), ("SELECT * FROM z",), ("DROP TABLE q",), (None,)], "query_sql string")
-    assert {tuple(r) for r in lineage.edges_of_sql(log).collect()} == {("c.d", "a.b"), ("e", "a.b")}
+    texts = [
+        "INSERT INTO a.b SELECT 1 FROM c.d x JOIN e ON 1", "SELECT * FROM z.z", "DROP TABLE q", None, "-- INSERT INTO n.o SELECT * FROM n.p\nSELECT 1 /* FROM x.y\n */ FROM k.l", "insert into table A.B select * from system.parts join a.b on 1 join E.f using (x)",
+        "CREATE OR REPLACE VIEW v.v AS SELECT * FROM c.d; CREATE TABLE IF NOT EXISTS m.t AS SELECT * FROM v.v JOIN c.d USING (x)", "CREATE MATERIALIZED VIEW m.v TO m.t AS SELECT to_date(x) FROM c.e", "ALTER TABLE c.d MOVE TO q.q",
+    ]
+    log = spark.createDataFrame([(x,) for x in texts], "query_sql string")
+    assert {tuple(r) for r in lineage.edges_of_sql(log).collect()} == {("c.d", "a.b"), ("e.f", "a.b"), ("c.d", "v.v"), ("v.v", "m.t"), ("c.d", "m.t"), ("c.e", "m.v"), ("m.v", "m.t")}
 
 
 def test_point_in_time(spark):
-    h = spark.createDataFrame([("u", "f", 1.0, T0, 1), ("u", "f", 2.0, T0, 2), ("u", "f", 3.0, T0 + dt.timedelta(days=20), 3), ("u", "g", 9.0, T0 + dt.timedelta(days=1), 1), (None, "f", 5.0, T0, 1)], "entity_id string, feature_name string, feature_value double, feature_time timestamp, version int")
-    labels = [("u", T0 - dt.timedelta(seconds=1)), ("u", T0), ("u", T0), ("u", T0 + dt.timedelta(days=19)), ("u", T0 + dt.timedelta(days=20)), ("v", T0), (None, None)]
+    h = spark.createDataFrame([("u", "f", 1.0, T0, 1), ("u", "f", 2.0, T0, 2), ("u", "f", 3.0, T0 + dt.timedelta(days=20), 3), ("u", "g", 9.0, T0 + dt.timedelta(days=1), 1), (None, "f", 5.0, T0, 1), ("u", "f", 7.0, None, 9)], "entity_id string, feature_name string, feature_value double, feature_time timestamp, version int")
+    labels = [("u", T0 - dt.timedelta(seconds=1)), ("u", T0), ("u", T0), ("u", T0 + dt.timedelta(days=19)), ("u", T0 + dt.timedelta(days=20)), ("v", T0), (None, None), (None, T0 + dt.timedelta(days=1)), ("u", None), ("u", None)]
     df = spark.createDataFrame(labels, "entity_id string, event_time timestamp")
     got = sorted((str(r.event_time), r.entity_id or "", r.f, r.g) for r in asof.point_in_time(df, h, ["f", "g"]).collect())
     assert got == sorted([
-        (str(labels[0][1]), "u", None, None), (str(T0), "u", 2.0, None), (str(T0), "u", 2.0, None), (str(labels[3][1]), "u", 2.0, 9.0), (str(labels[4][1]), "u", 3.0, 9.0), (str(T0), "v", None, None), ("None", "", None, None),
+        (str(labels[0][1]), "u", None, None), (str(T0), "u", 2.0, None), (str(T0), "u", 2.0, None), (str(labels[3][1]), "u", 2.0, 9.0), (str(labels[4][1]), "u", 3.0, 9.0), (str(T0), "v", None, None), ("None", "", None, None), (str(labels[7][1]), "", None, None), ("None", "u", None, None), ("None", "u", None, None),
     ])
     ttl = asof.point_in_time(df, h, ["f"], ttl_seconds=86_400).filter("event_time > '2024-01-10'").collect()
     assert sorted((r.f or 0) for r in ttl) == [0, 3.0]
@@ -163,9 +264,10 @@ def test_columns(spark):
 def test_chunks():
     assert text.chunk_text("") == [] and text.chunk_text("a\n\n b ") == ["a\n\nb"]
     long = "x" * 1000
-    assert [len(c) for c in text.chunk_text(long)] == [400, 400, 360]
-    three = text.chunk_text("a" * 300 + "\n\n" + "b" * 90 + "\n\n" + "c" * 200)
+    assert [len(c) for c in text.chunk_text(long)] == [400, 400, 360, 40]
+    three = text.chunk_text("a" * 300 + "\n\n" + "b" * 90 + "\n \t\n" + "c" * 200)
     assert three == ["a" * 300 + "\n\n" + "b" * 90, "b" * 80 + "\n\n" + "c" * 200]
+    assert text.chunk_text("a\r\n\r\nb\n\n" + "c" * 401 + "\n\nd") == ["a\n\nb", "c" * 400, "c" * 81, "d"]
 
 
 def test_landing(spark):
