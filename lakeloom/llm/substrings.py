@@ -30,7 +30,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ class RepeatParams:
     #: Bytes of text that a task should hold about.
     task_bytes: int = 32_000_000
     #: Suffixes that a group should hold at most, and hashed prefixes that are counted at each length.
-    group_suffixes: int = 1_000_000
+    group_suffixes: int = 2_000_000
     buckets: int = 1 << 14
     #: Bytes of a window's hash that travel.
     print_bytes: int = 6
@@ -66,17 +65,10 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-@dataclass
 class Words:
     """The words of some texts, one after the other."""
 
-    hashes: np.ndarray  # of each word
-    ends: np.ndarray  # of each text, in words
-    codes: np.ndarray  # of each word: its place in the dictionary
-    dictionary: list[bytes]
-
-    @classmethod
-    def of(cls, texts: pa.Array) -> Words:
+    def __init__(self, texts: pa.Array):
         lists = pc.ascii_split_whitespace(texts)
         flat, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
@@ -84,24 +76,57 @@ class Words:
         if not some.all():  # white space at either end of a text leaves an empty string
             bounds = np.append(0, np.cumsum(some))[bounds]
             flat = flat.filter(pa.array(some))
-        coded = flat.dictionary_encode()
-        own = coded.dictionary.cast(pa.binary()).to_pylist()
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in own], dtype=np.uint64)
-        codes = coded.indices.to_numpy()
-        return cls(hashes[codes] if len(codes) else hashes, bounds[1:], codes, own)
+        self.flat, self.ends, self.n = flat, bounds[1:], len(flat)  # ends: of each text, in words
+        at, data = flat.buffers()[1:] if self.n else (None, None)
+        #: where each word begins in the bytes of all, and the end of the last
+        self.at = np.frombuffer(at, dtype=np.int32)[flat.offset : flat.offset + self.n + 1].astype(np.int64) if self.n else np.zeros(1, dtype=np.int64)
+        self.data = np.frombuffer(data, dtype=np.uint8) if self.n else np.zeros(0, dtype=np.uint8)
+
+    def hashes(self, step: int = 200_000) -> np.ndarray:
+        """64 bits of each word: a polynomial in its bytes, mixed with its length."""
+        out = np.zeros(self.n, dtype=np.uint64)
+        size = np.diff(self.at)
+        powers = np.multiply.accumulate(np.full(int(size.max(initial=0)) + 1, C))
+        for a in range(0, self.n, step):  # a word has eight numbers of eight bytes for each of its own here
+            own = size[a : a + step]
+            begin = self.at[a : a + len(own)] - self.at[a]
+            data = self.data[self.at[a] : self.at[a] + int(own.sum())]
+            place = np.arange(len(data)) - np.repeat(begin, own)
+            out[a : a + step] = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[place], begin)
+        return mix(out, size.astype(np.uint64))
+
+    def same(self, one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+        """Whether the n words from one position are those from another."""
+        codes = self.flat.dictionary_encode().indices.to_numpy()
+        out = np.ones(len(one), dtype=bool)
+        for k in range(n):
+            out &= codes[one + k] == codes[other + k]
+        return out
 
     def digests(self, starts: list[int], sizes: list[int]) -> list[bytes]:
-        """128 bits of the words of some passages."""
-        word = self.dictionary.__getitem__
-        return [hashlib.blake2b(b" ".join(map(word, self.codes[a : a + n].tolist())), digest_size=16).digest() for a, n in zip(starts, sizes)]
+        """128 bits of the words of some passages: of their bytes and their lengths."""
+        out = []
+        for a, n in zip(starts, sizes):
+            at = self.at[a : a + n + 1]
+            h = hashlib.blake2b(self.data[at[0] : at[-1]].tobytes(), digest_size=16)
+            h.update(np.diff(at).tobytes())
+            out.append(h.digest())
+        return out
+
+    def joined(self, keep: np.ndarray) -> pa.Array:
+        """Each text's words that are kept, joined by one space."""
+        total = np.append(0, np.cumsum(keep))
+        kept = self.flat.filter(pa.array(keep)) if not keep.all() else self.flat
+        lists = pa.LargeListArray.from_arrays(pa.array(total[np.append(0, self.ends)], pa.int64()), kept)
+        return pc.binary_join(lists, " ")
 
     def prefixes(self, window: int) -> Iterator[tuple[int, np.ndarray]]:
         """(length, hashes of so many words from each position) for lengths 1, 2, 4, ... and last the window.
 
         Positions too near the end of all words are missing from the end of an array.
         """
-        powers, k = {1: self.hashes}, 1
-        yield 1, self.hashes
+        powers, k = {1: self.hashes()}, 1
+        yield 1, powers[1]
         while 2 * k < window:
             h = powers[k]
             powers[2 * k] = h = mix(h[: max(0, len(h) - k)], h[k:])
@@ -110,7 +135,7 @@ class Words:
         whole, have = powers[k], k
         while have < window:
             k = max(x for x in powers if x <= window - have)
-            n = max(0, len(self.hashes) - have - k + 1)
+            n = max(0, self.n - have - k + 1)
             whole, have = mix(whole[:n], powers[k][have : have + n]), have + k
         yield window, whole
 
@@ -125,13 +150,17 @@ class Words:
 
 def first_and_later(prints: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of windows that are the first of their kind here, of those that aren't, and of the first for each of these."""
-    order = np.argsort(prints, kind="stable")
+    if not len(prints):
+        return starts, starts, starts
+    order = np.argsort(prints)
     run = prints[order]
     new = np.ones(len(run), dtype=bool)
     new[1:] = run[1:] != run[:-1]
-    firsts = order[new]
-    of_later = firsts[np.cumsum(new) - 1][~new] if len(run) else firsts
-    return starts[np.sort(firsts)], starts[order[~new]], starts[of_later]
+    begin = np.flatnonzero(new)
+    firsts = np.minimum.reduceat(order, begin)
+    first_of = np.repeat(firsts, np.diff(np.append(begin, len(order))))
+    later = order != first_of
+    return starts[np.sort(firsts)], starts[order[later]], starts[first_of[later]]
 
 
 def shrink(*columns: np.ndarray) -> bytes:
@@ -172,7 +201,7 @@ def prefix_counts(docs: DataFrame, params: RepeatParams) -> tuple[dict[int, np.n
             # a batch can be long: its arrays are held for one slice at a time
             cuts = np.unique(np.searchsorted(np.cumsum(bytes_), np.arange(0, bytes_.sum() + params.chunk_bytes, params.chunk_bytes), side="left").clip(0, len(bytes_)))
             for a, b in zip(cuts, [*cuts[1:], len(bytes_)]):
-                words = Words.of(batch.column(0).slice(a, b - a))
+                words = Words(batch.column(0).slice(a, b - a))
                 starts = words.starts(params.window)
                 suffixes += len(starts)
                 for length, h in words.prefixes(params.window) if len(starts) else ():
@@ -236,7 +265,7 @@ def sorted_chunk(t: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Array, pa.Array]
 def chunk_leaves(params: RepeatParams, prefixes: Prefixes) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         _, ids, _, texts = sorted_chunk(t)
-        words = Words.of(texts)
+        words = Words(texts)
         starts = words.starts(params.window)
         levels = list(words.prefixes(params.window))
         prints = levels[-1][1]
@@ -296,7 +325,7 @@ def maximal_repeats(params: RepeatParams) -> Callable[[pa.Table, pa.Table], pa.T
             new[1:] = (np.diff(at) != 1) | (np.diff(of_at) != 1) | (np.diff(of_chunk) != 0)
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(at))) + params.window - 1
-            digests = Words.of(sorted_chunk(docs)[3]).digests(at[first].tolist(), size.tolist())
+            digests = Words(sorted_chunk(docs)[3]).digests(at[first].tolist(), size.tolist())
             out = [np.full(len(first), docs.column("chunk")[0].as_py()), at[first], of_chunk[first], of_at[first], size, digests]
         names = ("chunk", "at", "of_chunk", "of_at", "n", "digest")
         return pa.table({x: pa.array(c, pa.binary() if x == "digest" else pa.int64()) for x, c in zip(names, out)})
@@ -308,48 +337,37 @@ def differing(docs: pa.Table, asked: pa.Table) -> pa.Table:
     """Of the passages of a chunk that repeats were found of those whose words have another digest."""
     if not asked.num_rows:
         return asked
-    own = Words.of(sorted_chunk(docs)[3]).digests(asked.column("of_at").to_pylist(), asked.column("n").to_pylist())
+    own = Words(sorted_chunk(docs)[3]).digests(asked.column("of_at").to_pylist(), asked.column("n").to_pylist())
     return asked.filter(pa.array([x != y for x, y in zip(own, asked.column("digest").to_pylist())], pa.bool_()))
 
 
 def cut_chunk(params: RepeatParams, spans: bool, texts_too: bool, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         docs, _, ids, texts = sorted_chunk(docs)
-        words = Words.of(texts)
+        words = Words(texts)
         starts = words.starts(params.window)
         *_, (_, prints) = words.prefixes(params.window)
         _, later, first = first_and_later(prints[starts], starts)
-        same = np.ones(len(later), dtype=bool)
-        for k in range(params.window):
-            same &= words.codes[later + k] == words.codes[first + k]
+        same = words.same(later, first, params.window)
         far = replies(found)[0]
         for at, n in zip(found.column("at").to_pylist(), found.column("n").to_pylist()):
             if at is not None:  # a repeat whose words differ
                 far = far[(far < at) | (far > at + n - params.window)]
         begin = np.unique(np.concatenate([later[same], far]).astype(np.int64))
-        marks = np.zeros(len(words.hashes) + 1, dtype=np.int32)
+        marks = np.zeros(words.n + 1, dtype=np.int32)
         np.add.at(marks, begin, 1)
         np.add.at(marks, begin + params.window, -1)
         gone = np.cumsum(marks)[:-1] > 0
         begins = np.append(0, words.ends[:-1])
-        n_words, n_removed, digests, kept, where = [], [], [], [], []
         total = np.append(0, np.cumsum(gone))
-        for k, (a, b) in enumerate(zip(begins.tolist(), words.ends.tolist())):
-            text = texts[k].as_py()
-            own = text.encode().split()
-            removed = int(total[b] - total[a])
-            if removed:
-                stay = np.flatnonzero(~gone[a:b])
-                own = [own[i] for i in stay.tolist()]
-            joined = b" ".join(own)
-            n_words.append(b - a)
-            n_removed.append(removed)
-            digests.append(hashlib.sha256(joined).hexdigest())
-            if texts_too:
-                kept.append(joined.decode() if removed else text)
-            if spans:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b], [0]]))).tolist() if removed else []
-                where.append([{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2])])
+        n_words, n_removed = words.ends - begins, total[words.ends] - total[begins]
+        joined = words.joined(~gone)
+        digests = [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined.cast(pa.large_binary() if pa.types.is_large_string(joined.type) else pa.binary())]
+        kept = [a.as_py() if n else b.as_py() for n, a, b in zip(n_removed.tolist(), joined, texts)] if texts_too else []
+        where = []
+        for a, b, removed in zip(begins.tolist(), words.ends.tolist(), n_removed.tolist()) if spans else ():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b], [0]]))).tolist() if removed else []
+            where.append([{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2])])
         out = {"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if texts_too:
             out["kept_text"] = pa.array(kept, pa.string())

@@ -168,7 +168,7 @@ def test_substring_groups_fit(limit):
     hot = b"one long sentence that starts every second text of this corpus and so has very many suffixes under one prefix and goes on "
     texts = [text] + [hot + b"%d " % k + b" ".join(b"x%d" % x for x in r.integers(0, 10**9, 30)) for k in range(300)]
     params = substrings.RepeatParams(group_suffixes=limit, buckets=512)
-    words = substrings.Words.of(pa.array([t.decode() for t in texts]))
+    words = substrings.Words(pa.array([t.decode() for t in texts]))
     starts, levels = words.starts(20), list(words.prefixes(20))
     counts = {n: np.bincount((h[starts] % np.uint64(512)).astype(np.int64), minlength=512) for n, h in levels if n < 20}
     prefixes = substrings.Prefixes.of(counts, len(starts), params)
