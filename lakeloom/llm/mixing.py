@@ -106,12 +106,13 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tupl
 def mix(docs: DataFrame, **params: object) -> DataFrame:
     """docs in training order, each as often as the mix takes it, with its ``position`` in [0, 1].
 
-    A document is found again by its id and a hash of its row, so ids may repeat or be null.
+    A document is found again by two hashes of its whole row, so ids may repeat or be null, and rows that are equal in
+    all columns each have their place in the plan. A column of docs named position is replaced. Map columns aren't
+    hashed.
     """
-    keyed = docs.withColumn("mix_key", row_key("source", "text", *(c for c in docs.columns if c not in ("doc_id", "source", "text"))))
-    plan = materialize(plan_mix(keyed, **params, carry=("mix_key",)).select(F.col("doc_id").alias("planned_id"), F.col("mix_key").alias("planned_key"), "positions"), "plan")
-    if plan.groupBy("planned_id", "planned_key").count().filter("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["doc_id", "mix_key"])  # each of equal rows has its place in the plan
-    plan = plan.select("planned_id", "planned_key", F.explode("positions").alias("position"))
-    both = keyed.join(plan, keyed.doc_id.eqNullSafe(plan.planned_id) & (keyed.mix_key == plan.planned_key))
-    return both.orderBy("position", "doc_id", "mix_key").drop("planned_id", "planned_key", "mix_key")
+    plain = sorted(c for c, kind in docs.dtypes if "map<" not in kind)
+    keyed = docs.withColumns({"_key": row_key(*plain), "_key2": F.xxhash64(row_key(*plain), *reversed(plain), F.lit(2))})
+    plan = materialize(plan_mix(keyed, **params, carry=("_key", "_key2")).select("_key", "_key2", F.explode("positions").alias("_position")), "plan")
+    both = keyed.dropDuplicates(["_key", "_key2"]).join(plan, ["_key", "_key2"])
+    ordered = both.orderBy("_position", "doc_id", "_key").drop("_key", "_key2")
+    return ordered.select(*(c for c in docs.columns if c != "position"), F.col("_position").alias("position"))

@@ -6,17 +6,19 @@ out overfull draws a denser sample of its own and is cut again. Inside its range
 many bytes stand before it in key order, and the shard is cut from that: shards differ by one record's
 bytes at most, whatever the sample was, so reruns agree.
 
-Hot text: its copies differ in id, so boundaries fall among them like anywhere else. The text is read
-once; what is shuffled and sorted after that is a few numbers a record. The driver sees totals, splitters
+Hot text: its copies differ in id, so boundaries fall among them like anywhere else; rows that are equal in text
+and id are one record with a count until their slots are dealt out, in blocks. The text is read once; what is shuffled and sorted after that is a few numbers a record. The driver sees totals, splitters
 (``max_ranges`` at most) and one row a shard.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, row_key, text_or_empty
 
 LOWEST = -(2**63)
 
@@ -61,25 +63,26 @@ def range_of(splitters: list[tuple[int, int]]) -> Column:
     return F.when(coarse == 0, 0).otherwise(first + F.size(F.filter(F.slice(array(splitters), first + 1, F.lit(width)), lambda x: x <= me)))
 
 
-def cut_ranges(keys: DataFrame, rows: int, total: int, *, min_ranges: int, rows_per_range: int, max_ranges: int, per_part: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """keys with their range ``r``, and (r, bytes_before, rows_before) for each range."""
+def cut_ranges(keys: DataFrame, rows: int, total: int, *, min_ranges: int, rows_per_range: int, max_ranges: int, per_part: int) -> tuple[DataFrame, DataFrame]:
+    """keys with their range ``r``, and (r, bytes_before, rows_before) for each range.
+
+    A range with over twice its share of records or of bytes is cut again, as long as that gives new boundaries: what
+    it ends with are single keys. Where they fall changes how even the work is, not the result.
+    """
     parts = min(max_ranges, max(min_ranges, -(-rows // rows_per_range)))
     splitters = sample_splitters(keys, parts, total, per_part)
-    for _ in range(rounds):
+    while parts > 1:
         ranged = keys.withColumn("r", range_of(splitters))
-        sizes = {x.r: x for x in ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-        full = {r: -(-2 * max(x.n * parts, 1) // max(rows, 1)) for r, x in sizes.items() if x.n > 2 * rows / parts}
-        if not full:
-            break
-        more: list[tuple[int, int]] = []
-        for r, pieces in full.items():  # few: they hold over twice their share
-            more += sample_splitters(ranged.filter(F.col("r") == r), pieces, sizes[r].bytes, per_part)
-        if not set(more) - set(splitters):
+        sizes = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("keys")).collect()  # a row a range
+        over = lambda x: max(x.keys * parts / rows, x.bytes * parts / max(total, 1))
+        full = [x for x in sizes if x.keys > 1 and over(x) > 2]
+        more = {y for x in full for y in sample_splitters(ranged.filter(F.col("r") == x.r), math.ceil(2 * over(x)), x.bytes, per_part)}
+        if len(splitters) + len(more) > 2 * max_ranges or not more - set(splitters):
             break
         splitters = sorted({*splitters, *more})
     ranged = keys.withColumn("r", range_of(splitters))
     earlier = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).select(
+    bases = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.sum("n").alias("n")).select(
         "r",
         F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"),
@@ -87,50 +90,57 @@ def cut_ranges(keys: DataFrame, rows: int, total: int, *, min_ranges: int, rows_
     return ranged, bases
 
 
-def assign_shards(
-    docs: DataFrame, shards: int = 40, *, overhead: int = 16, rows_per_range: int = 2_000_000, max_ranges: int = 8192, per_part: int = 64, rounds: int = 2
-) -> DataFrame:
+#: Equal rows whose slots one task deals out at once.
+BLOCK = 100_000
+
+
+def assign_shards(docs: DataFrame, shards: int = 40, *, overhead: int = 16, rows_per_range: int = 2_000_000, max_ranges: int = 8192, per_part: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, law ("bytes"), shard, slot and grown_shard (null) of each record.
 
     A null text has no bytes and the CRC of an empty one; a null doc_id sorts first. Repeated rows each get
     a slot of their own. With fewer records than shards some shards stay empty; an empty table gives no
-    rows. Other columns play no part.
+    rows. The long columns in carry are handed on, other columns play no part.
     """
     text = text_or_empty()
-    keys = materialize(
-        docs.select(
-            F.col("doc_id").cast("long"),
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"),
-            (F.octet_length(text) + overhead).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            text_key(text).alias("key"),
-        ),
-        "keys",
-    )
-    all_ = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    ranged, bases = cut_ranges(keys, all_.n, all_.bytes, min_ranges=2 * shards, rows_per_range=rows_per_range, max_ranges=max_ranges, per_part=per_part, rounds=rounds)
-    inside = Window.partitionBy("r").orderBy("key", "id", "size", "text_crc32")
-    before = F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    one = [F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("each"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key(text).alias("key"), *carry]
+    names = ["doc_id", "each", "text_crc32", "key", *carry]
+    keys = docs.select(*one).groupBy(*names).agg(F.count("*").alias("n"))
+    keys = materialize(keys.withColumns({"id": F.coalesce("doc_id", F.lit(LOWEST)), "size": F.col("each") * F.col("n")}), "keys")
+    all_ = keys.agg(F.count("*").alias("keys"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    ranged, bases = cut_ranges(keys, all_["keys"], all_.bytes, min_ranges=2 * shards, rows_per_range=rows_per_range, max_ranges=max_ranges, per_part=per_part)
+    inside = Window.partitionBy("r").orderBy("key", "id", "each", "text_crc32", *carry).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("bytes_before") + F.sum("size").over(inside) - F.col("size")
+    first = F.col("rows_before") + F.sum("n").over(inside) - F.col("n")
+    placed = ranged.join(F.broadcast(bases), "r").withColumns({"before": before, "first": first})  # a row a range, max_ranges and their cuts at most
+    # a record of many equal rows is dealt out in blocks, and each block into its rows
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))
+    dealt = placed.withColumn("block", blocks)
+    copies = F.explode(F.sequence(F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1))
+    dealt = dealt.withColumn("copy", copies)
+    at = F.col("before") + F.col("copy") * F.col("each")
     placed = materialize(
-        ranged.join(F.broadcast(bases), "r")  # a row a range, max_ranges and their cuts at most
-        .withColumn("n", F.col("rows_before") + F.row_number().over(inside) - 1)
-        .withColumn("shard", F.least(F.lit(shards - 1), F.floor((2 * before + F.col("size")) * shards / F.lit(2 * max(all_.bytes, 1)))).cast("int"))
-        .select("doc_id", "size", "text_crc32", "shard", "n"),
+        dealt.withColumn("shard", F.least(F.lit(shards - 1), F.floor((2 * at + F.col("each")) * shards / F.lit(2 * max(all_.bytes, 1)))).cast("int"))
+        .select("doc_id", F.col("each").alias("size"), "text_crc32", "shard", (F.col("first") + F.col("copy")).alias("at"), *carry),
         "placed",
     )
-    starts = placed.groupBy("shard").agg(F.min("n").alias("start"))
+    starts = placed.groupBy("shard").agg(F.min("at").alias("start"))
     return placed.join(F.broadcast(starts), "shard").select(  # a row a shard
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("n") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carry
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, **params: int) -> None:
     """Writes docs as Parquet under path, one folder a shard, its records in slot order.
 
-    Ids have to be unique here, as records are found by their id again. A shard is written by as many tasks
-    as its slots fill, so that no task holds a whole shard.
+    A record is found again by two hashes of its whole row, so ids may repeat or be null; rows that are equal in all
+    columns are written as often as they come. Columns of docs named shard or slot are written as shard_ and slot_. A
+    shard is written by as many tasks as its slots fill, so that no task holds a whole shard. Map columns aren't
+    hashed.
     """
-    placed = assign_shards(docs, shards, **params).select("doc_id", "shard", "slot")
-    piece = F.floor(F.col("slot") / 100_000)
-    out = docs.join(placed, "doc_id").withColumn("piece", piece)
-    out.repartition("shard", "piece").sortWithinPartitions("shard", "slot").drop("piece").write.partitionBy("shard").parquet(path)
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    keyed = docs.withColumns({"_key": row_key(*plain), "_key2": F.xxhash64(row_key(*plain), *reversed(plain), F.lit(2))})
+    placed = assign_shards(keyed, shards, carry=("_key", "_key2"), **params).select("_key", "_key2", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    out = keyed.dropDuplicates(["_key", "_key2"]).join(placed, ["_key", "_key2"]).drop("_key", "_key2")
+    out = out.withColumnsRenamed({c: f"{c}_" for c in ("shard", "slot") if c in docs.columns}).withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
+    piece = F.floor(F.col("slot") / BLOCK)
+    out.repartition("shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

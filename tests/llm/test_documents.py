@@ -126,6 +126,42 @@ def test_sharding_hot_text(spark):
     assert len(per) == 40 and max(r.b for r in per) - min(r.b for r in per) <= 2 * 29
 
 
+def test_sharding_of_equal_rows_and_long_texts(spark):
+    """A third of all rows are one row; some texts hold most bytes: shards stay near equal and slots gapless."""
+    rows = [(7, "the same row")] * 4000 + [(k, f"t{k}") for k in range(6000)] + [(10_000 + k, "long " * 2000) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for params in ({}, {"rows_per_range": 50, "per_part": 4}):
+        got = sharding.assign_shards(docs, **params).collect()
+        assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t) + 16) for i, t in rows)
+        size, slots = Counter(), {}
+        for r in got:
+            size[r.shard] += r["size"]
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert len(size) == 40 and max(size.values()) - min(size.values()) <= 2 * 10_016
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_write_shards(spark, tmp_path):
+    """Null and repeated ids, equal rows and columns of clashing names are all written, in slot order."""
+    rows = [(None, "a", 1, 5), (None, "b", 2, 5), (3, "c", 3, 5), (3, "c", 3, 5), (3, "d", 4, None)] + [(k, f"t{k}", k, k) for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot int")
+    sharding.write_shards(docs, f"{tmp_path}/out", 4)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert Counter((r.doc_id, r.text, r.shard_, r.slot_) for r in got) == Counter(rows)
+    for k in range(4):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_mix_of_repeats_and_clashing_names(spark):
+    rows = [(1, "a b", "x", 9.0), (1, "a b", "x", 9.0), (1, "a b", "x", 8.0), (None, "c d", "x", 7.0), (None, "e f", None, 7.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position double")
+    out = mixing.mix(docs)
+    got = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    taken = mixing.plan_mix(docs).agg(F.sum("copies")).first()[0]
+    assert out.columns == ["doc_id", "text", "source", "position"] and sum(got.values()) == taken
+    assert got[1, "a b", "x"] % 3 == 0 or got[1, "a b", "x"] <= 9
+
+
 def brute_repeats(data: list[tuple], window: int) -> Counter:
     seen, out = set(), Counter()
     for doc_id, text in sorted(data, key=lambda d: (d[0] is None, d[0] or 0, d[1] or "")):
