@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, tidied
 
 #: All values of a substring, nearest to zero first, and how many of them have up to so many bits.
 WIDTH = 16
@@ -224,7 +224,7 @@ def nearest(rows: DataFrame, queries: DataFrame, params: AnnParams = AnnParams()
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     right = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("query_no"), F.col("embedding").alias("query"), every.alias("block"))
     schema = "query_id long, query_no long, vec_id long, score double, n_probed long, n_reranked long"
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(search_block(codes, radius, params), schema)
+    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(tidied(search_block(codes, radius, params)), schema)
     best = Window.partitionBy("query_id", "query_no")
     ranked = found.withColumn("rank", F.row_number().over(best.orderBy(F.desc("score"), "vec_id")))
     ranked = ranked.withColumns({c: F.sum(c).over(best) for c in ("n_probed", "n_reranked")})

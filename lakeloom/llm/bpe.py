@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from .common import WHITE, map_batches, text_or_empty
 
 #: Bytes that a task's table of words may take, about; what an entry takes beside its strings.
-TABLE_LIMIT, ENTRY = 100_000_000, 350
+TABLE_LIMIT, ENTRY = 56_000_000, 350
 #: Texts of characters under this one have the same cases and letters in Python as in the library.
 COMMON = "\u0250"
 OTHER_SPLITS = regex.compile("[\x1c-\x1f]")
@@ -237,7 +237,7 @@ class Encoder:
             yield b"".join(ids), " ".join(tokens)
 
 
-def spans(sizes: list[int], limit: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def spans(sizes: list[int], limit: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Cuts a batch where its texts pass so many bytes: one index spans what is new in each part."""
     start = size = 0
     for n, own in enumerate(sizes):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_batches, materialize, text_or_empty
+from .common import SPACES, map_batches, materialize, release, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 #: Character classes of the histogram, in order: those of all scripts, then letters by script.
@@ -341,5 +341,6 @@ def keep_good(docs: DataFrame, params: QualityParams = QualityParams()) -> DataF
             found = references_of(own, langs, batch.column(width) if batch.num_columns > width else None, cache)
             keep = pa.array([verdict(t.as_py() or "", ref, marks, params)[6] for t, ref in zip(batch.column(text), found)], pa.bool_())
             yield batch.select(range(width)).filter(keep)
+        release()
 
     return with_entries(docs, references).mapInArrow(run, docs.schema)

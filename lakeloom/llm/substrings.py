@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shuffle_partitions, text_or_empty
+from .common import map_batches, shuffle_partitions, text_or_empty, tidied
 
 NO_ID = 2**63 - 1  # stands for a null doc_id, which comes last
 #: Odd constants of the mixing function.
@@ -44,11 +44,11 @@ A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1656
 @dataclass(frozen=True)
 class RepeatParams:
     window: int = 20
-    chunk_bytes: int = 4_000_000
+    chunk_bytes: int = 3_000_000
     #: Bytes of text that a task should hold about.
     task_bytes: int = 32_000_000
     #: Suffixes that a group should hold at most, and hashed prefixes that are counted at each length.
-    group_suffixes: int = 2_000_000
+    group_suffixes: int = 1_500_000
     buckets: int = 1 << 14
     #: Bytes of a window's hash that travel.
     print_bytes: int = 6
@@ -395,15 +395,15 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), *, sp
     dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(chunks))).repartition(parts, "chunk")
     of_chunk = dealt.groupBy("chunk")
-    leaves = of_chunk.applyInArrow(chunk_leaves(params, prefixes), "group long, chunk long, leaves binary").repartition(parts, "group")
-    found = leaves.groupBy("group").applyInArrow(repeated_leaves, "chunk long, found binary").repartition(parts, "chunk")
-    repeats = of_chunk.cogroup(found.groupBy("chunk")).applyInArrow(maximal_repeats(params), "chunk long, at long, of_chunk long, of_at long, n long, digest binary").repartition(parts, "of_chunk")
+    leaves = of_chunk.applyInArrow(tidied(chunk_leaves(params, prefixes)), "group long, chunk long, leaves binary").repartition(parts, "group")
+    found = leaves.groupBy("group").applyInArrow(tidied(repeated_leaves), "chunk long, found binary").repartition(parts, "chunk")
+    repeats = of_chunk.cogroup(found.groupBy("chunk")).applyInArrow(tidied(maximal_repeats(params)), "chunk long, at long, of_chunk long, of_at long, n long, digest binary").repartition(parts, "of_chunk")
     passage = ["of_chunk", "of_at", "n", "digest"]
     asked = repeats.select(passage).distinct()  # a passage repeated in very many chunks is asked for once
-    wrong = of_chunk.cogroup(asked.groupBy("of_chunk")).applyInArrow(differing, "of_chunk long, of_at long, n long, digest binary")
+    wrong = of_chunk.cogroup(asked.groupBy("of_chunk")).applyInArrow(tidied(differing), "of_chunk long, of_at long, n long, digest binary")
     wrong = repeats.join(wrong, passage, "left_semi").select("chunk", F.lit(None).cast("binary").alias("found"), "at", "n")
     none = F.lit(None).cast("long")
     replies_ = found.withColumns({"at": none, "n": none}).unionByName(wrong).repartition(parts, "chunk")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + ", removed_spans array<struct<start: long, end: long>>" * spans
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return of_chunk.cogroup(replies_.groupBy("chunk")).applyInArrow(cut_chunk(params, spans, texts, carry), schema)
+    return of_chunk.cogroup(replies_.groupBy("chunk")).applyInArrow(tidied(cut_chunk(params, spans, texts, carry)), schema)
