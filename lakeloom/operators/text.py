@@ -51,22 +51,24 @@ def chunks(docs: DataFrame, id_column: str, text_column: str, size: int = 400, o
     return rows.select(F.col("id").alias(id_column), F.posexplode("parts").alias("chunk_no", "chunk"))
 
 
-def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int = 3, block_rows: int = 8192) -> DataFrame:
+def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int = 3, block_rows: int = 8192, block_queries: int = 8192) -> DataFrame:
     """query_id, rank, vec_id and cosine distance of each query's k nearest rows; ties go to the smaller id.
 
-    A stated set of queries meets all rows, exactly: rows are dealt into blocks by a hash of the id, queries visit
-    every block, and a block's distances are a product of matrices, of which each query's best k go on. So neither
-    side has to fit into a broadcast, but the work is queries times rows: for large sets an index is the way. A row
-    of the query's own id is no candidate. Null and zero vectors, and those of another length than most, take no part.
+    A stated set of queries meets all rows, exactly: rows and queries are dealt into blocks by a hash of the id, each
+    block of queries visits every block of rows, and of a query's distances there the best k go on. So a task holds
+    one block of each however many there are, but the work is queries times rows: for large sets an index is the
+    way. A row of the query's own id is no candidate. Null and zero vectors, and those of another length than most, take no part.
     """
     some = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND exists(embedding, x -> x <> 0) AND forall(embedding, x -> x IS NOT NULL)")
     r, q = some(rows), some(queries)
     most = r.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     d, n = (most[0].d, most[0].n) if most else (0, 0)
-    blocks = max(1, -(-n // block_rows))
-    r = r.filter(F.size("embedding") == d).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
-    q = q.filter(F.size("embedding") == d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), every)
+    r, q = r.filter(F.size("embedding") == d), q.filter(F.size("embedding") == d)
+    blocks, turns = max(1, -(-n // block_rows)), max(1, -(-q.count() // block_queries))
+    part = lambda of: F.pmod(F.xxhash64("vec_id"), F.lit(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+    r = r.withColumn("block", part(blocks)).withColumn("turn", each(turns))
+    q = q.withColumn("turn", part(turns)).withColumn("block", each(blocks)).withColumnsRenamed({"vec_id": "query_id", "embedding": "query"})
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         x = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
@@ -83,7 +85,7 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int = 3, block_rows: in
                 out += ((query_id, int(ids[b]), float(distance[b])) for b in best if np.isfinite(distance[b]))
         return pa.table(dict(zip(("query_id", "vec_id", "distance"), map(pa.array, zip(*out), (pa.int64(), pa.int64(), pa.float64()))))) if out else EMPTY
 
-    found = r.groupBy("block").cogroup(q.groupBy("block")).applyInArrow(run, "query_id long, vec_id long, distance double")
+    found = r.groupBy("block", "turn").cogroup(q.groupBy("block", "turn")).applyInArrow(run, "query_id long, vec_id long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

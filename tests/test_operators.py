@@ -140,7 +140,7 @@ def test_cosine_top_k_in_blocks(spark):
     x = np.random.default_rng(1).normal(size=(60, 8))
     x[7] = x[3]
     rows = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(60)] + [(80, [0.0] * 8), (81, None), (82, [1.0])], "vec_id long, embedding array<float>")
-    got = text.cosine_top_k(rows, rows.filter("vec_id % 20 = 0"), 3, block_rows=7).collect()
+    got = text.cosine_top_k(rows, rows.filter("vec_id % 20 = 0"), 3, block_rows=7, block_queries=2).collect()
     u = x.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1)[:, None]
     for q in (0, 20, 40):
