@@ -10,8 +10,9 @@ is touched.
 
 The radius is the smallest that holds ``recall`` of the true neighbours, among all rows, of a bounded sample of
 queries; those are found by one pass over all rows. Where fewer than ``k`` codes of a block lie within it, the
-radius widens step by step. Rows are dealt into blocks of about ``block_rows`` by a hash of the id; each block is
-indexed once, where it lies, and all queries visit it; each sends its best ``k`` on, which are merged by query.
+radius widens step by step. Rows are dealt into blocks of about ``block_rows`` by a hash; each block is
+indexed where it lies, and all queries visit it, in blocks of about ``block_queries``, so a task holds one block of
+each however many there are; each sends its best ``k`` on, which are merged by query.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class AnnParams:
     recall: float = 0.94
     rounds: int = 30
     block_rows: int = 16384
+    block_queries: int = 32768
 
 
 @dataclass(frozen=True)
@@ -219,12 +221,14 @@ def nearest(rows: DataFrame, queries: DataFrame, params: AnnParams = AnnParams()
     own = np.array([r.vec_id for r in drawn] or [0])
     codes = fit(sample, params.rounds)
     radius = fit_radius(rows, codes, sample[: params.sample_queries], own[: params.sample_queries], params)
-    blocks = max(1, -(-n // params.block_rows))
-    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    right = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("query_no"), F.col("embedding").alias("query"), every.alias("block"))
+    blocks, turns = max(1, -(-n // params.block_rows)), max(1, -(-queries.count() // params.block_queries))
+    part = lambda of, *columns: F.pmod(F.xxhash64(*columns), F.lit(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+    left = rows.withColumn("block", part(blocks, "vec_id", "embedding")).withColumn("turn", each(turns))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("query_no"), F.col("embedding").alias("query"))
+    right = asked.withColumn("turn", part(turns, "query_id", "query_no")).withColumn("block", each(blocks))
     schema = "query_id long, query_no long, vec_id long, score double, n_probed long, n_reranked long"
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(tidied(search_block(codes, radius, params)), schema)
+    found = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(tidied(search_block(codes, radius, params)), schema)
     best = Window.partitionBy("query_id", "query_no")
     ranked = found.withColumn("rank", F.row_number().over(best.orderBy(F.desc("score"), "vec_id")))
     ranked = ranked.withColumns({c: F.sum(c).over(best) for c in ("n_probed", "n_reranked")})

@@ -196,11 +196,11 @@ def vectors(n: int, d: int = 16) -> list[tuple]:
 SCHEMA = "vec_id long, embedding array<float>, label string, score double, rank int"
 
 
-@pytest.mark.parametrize(("n", "block"), [(500, 8192), (500, 64), (9, 4)])
-def test_nearest(spark, n, block):
+@pytest.mark.parametrize(("n", "block", "asked"), [(500, 8192, 32768), (500, 64, 32768), (9, 4, 32768), (500, 64, 3)])
+def test_nearest(spark, n, block, asked):
     data = vectors(n)
     df = spark.createDataFrame(data, SCHEMA)
-    got = ann.nearest(df, df.filter("vec_id % 20 = 0"), ann.AnnParams(block_rows=block)).collect()
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0"), ann.AnnParams(block_rows=block, block_queries=asked)).collect()
     good = [(k, np.array(v, dtype=np.float64)) for k, v, *_ in data[:n]]
     hits = total = 0
     for q, x in good[::20]:
