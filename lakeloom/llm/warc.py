@@ -4,10 +4,10 @@ A revisit record says that a page had not changed (status 304). It is joined as-
 the latest earlier full response; its validators have to agree with that response, whose headers then take
 over what a 304 may update.
 
-The as-of join has two levels. Inside a (URL, day) a window finds the latest earlier response; for each
-(URL, day) with responses their latest one is aggregated, combined on the map side, and carried over the
-days of the URL. A URL with very many captures is so spread over its days. Payloads don't move: records
-carry digests.
+The as-of join has two levels. Inside a (URL, hour) a window finds the latest earlier response; for each
+(URL, hour) the latest one is aggregated, combined on the map side, and carried over the hours of the URL. A URL
+with very many captures is so spread over its hours, and records without URL or time, which find nothing, are
+spread by their id. Payloads don't move: records carry digests.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def merged(stored: Column, update: Column) -> Column:
     return F.array_sort(F.concat(F.filter(low(stored), lambda x: ~F.array_contains(names, x["name"])), new))
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
+def resolve_revisits(records: DataFrame, bucket_seconds: int = 3_600) -> DataFrame:
     """One row for each revisit (status 304): its response, outcome, payload digest and merged headers.
 
     records: columns of ``RECORD``. outcome: "resolved", "mismatch" (the latest earlier response has
@@ -64,17 +64,21 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     none, the time of last modification does; a revisit without validators agrees with anything. Of
     responses of one time the one of the largest record_id counts; one of the revisit's own time isn't
     earlier. Records without URL or time are orphans. Repeated revisits give repeated rows; other columns
-    play no part. An empty table gives no rows.
+    play no part. An empty table gives no rows. bucket_seconds: the span that one window covers of a URL; it
+    changes how even the work is, not the result.
     """
     rows = records.select("record_id", "url", "ts", "status", "etag", "last_modified", "digest", "length", "headers").filter("status in (200, 304)")
-    rows = rows.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("day", F.floor(F.col("ts") / DAY))
-    full = F.when((F.col("status") == 200) & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "length", "headers"))
-    inside = Window.partitionBy("canonical_url", "day").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("canonical_url", canonical_url(F.col("url")))
+    known = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    apart = F.lit(-(2**60)) - F.pmod(F.xxhash64("record_id"), F.lit(4096))  # no bucket of a time
+    rows = rows.withColumn("bucket", F.when(known, F.floor(F.col("ts") / bucket_seconds)).otherwise(apart))
+    full = F.when((F.col("status") == 200) & known, F.struct("ts", "record_id", "etag", "last_modified", "digest", "length", "headers"))
+    inside = Window.partitionBy("canonical_url", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.max(full).over(inside)).filter("status = 304")
-    days = rows.groupBy("canonical_url", "day").agg(F.max(full).alias("latest"))
-    before = Window.partitionBy("canonical_url").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select("canonical_url", "day", F.max("latest").over(before).alias("carried"))
-    found = near.join(carried, ["canonical_url", "day"], "left").withColumn("response", F.coalesce("near", "carried"))
+    buckets = rows.filter(known).groupBy("canonical_url", "bucket").agg(F.max(full).alias("latest"))
+    before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select("canonical_url", "bucket", F.max("latest").over(before).alias("carried"))
+    found = near.join(carried, ["canonical_url", "bucket"], "left").withColumn("response", F.coalesce("near", "carried"))
     r = F.col("response")
     by_tag = plain_tag(F.col("etag")) == plain_tag(r["etag"])
     by_time = F.col("last_modified") == r["last_modified"]

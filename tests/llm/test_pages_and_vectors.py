@@ -184,6 +184,19 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1, 3_600, 10**9])
+def test_revisits_find_the_latest_response(spark, bucket):
+    """Whatever a window spans, a revisit finds what a plain scan of its URL's responses finds; without a URL nothing."""
+    r = np.random.default_rng(9)
+    rows = [(k, [None, "a.com", "b.com/y"][r.integers(3)], None if r.random() < 0.1 else int(r.integers(0, 20_000)), 200 if r.random() < 0.5 else 304, None, None, f"d{k}", 1, []) for k in range(300)]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD), bucket).collect()
+    assert len(got) == sum(x[3] == 304 for x in rows)
+    for x in got:
+        _, url, ts, *_ = rows[x.record_id]
+        before = [(y[2], y[0]) for y in rows if y[3] == 200 and None not in (url, ts, y[1], y[2]) and y[1] == url and y[2] < ts]
+        assert x.response_id == (max(before)[1] if before else None) and x.outcome == ("resolved" if before else "orphan")
+
+
 def vectors(n: int, d: int = 16) -> list[tuple]:
     r = np.random.default_rng(5)
     x = r.normal(size=(n, d)).astype(np.float32)
