@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, mixing, quality, sharding, simhash, substrings, token_counts, warc
+from . import ann, bpe, conversations, decontaminate, html_text, mixing, quality, runs, sharding, simhash, substrings, token_counts, warc
 from .common import table
 
 
@@ -60,6 +60,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), present="present")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.greatest_run(runs.find_runs(runs.damage(table(spark, sf_dir, "documents")), digests=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_conversations": op11_conversations,
+    "op12_decontamination": op12_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP7_SQL = r"""
@@ -138,4 +153,18 @@ SELECT record_id, url, canonical_url, outcome,
 FROM judged
 """
 
-ORACLE: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL}
+OP12_SQL = r"""
+WITH lowered AS (SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + 9], ' ') AS words FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+starts AS (SELECT nr, size, i, array_to_string(w[i : i + size - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM lowered, sizes WHERE len(w) >= size)),
+found AS (SELECT nr, i, s.size, item_id FROM starts s JOIN windows USING (size, words)),
+hits AS (SELECT nr, count(DISTINCT at) AS n_hit FROM (SELECT nr, unnest(range(i, i + size)) AS at FROM (SELECT DISTINCT nr, i, size FROM found)) GROUP BY nr),
+named AS (SELECT nr, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT nr, item_id FROM found) GROUP BY nr)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN hits USING (nr) LEFT JOIN named USING (nr)
+"""
+
+ORACLE: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op12_decontamination": OP12_SQL}
