@@ -161,7 +161,7 @@ windows AS (
 sizes AS (SELECT DISTINCT size FROM windows),
 starts AS (SELECT nr, size, i, array_to_string(w[i : i + size - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM lowered, sizes WHERE len(w) >= size)),
 found AS (SELECT nr, i, s.size, item_id FROM starts s JOIN windows USING (size, words)),
-hits AS (SELECT nr, count(DISTINCT at) AS n_hit FROM (SELECT nr, unnest(range(i, i + size)) AS at FROM (SELECT DISTINCT nr, i, size FROM found)) GROUP BY nr),
+hits AS (SELECT nr, count(DISTINCT word) AS n_hit FROM (SELECT nr, unnest(range(i, i + size)) AS word FROM (SELECT DISTINCT nr, i, size FROM found)) GROUP BY nr),
 named AS (SELECT nr, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT nr, item_id FROM found) GROUP BY nr)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered LEFT JOIN hits USING (nr) LEFT JOIN named USING (nr)
