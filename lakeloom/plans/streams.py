@@ -1,6 +1,7 @@
 """Queries of streams, storage and text.
 
-Streams run over the given events as files, to their end; a row far in the future closes the last window.
+Streams run over the given events as files, to their end; a row far in the future closes the last window. A row without a
+time belongs to no window, hour or day, in batch and stream alike.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from ..functions.columns import AS_OF, STATES, ago, at, device_class, ip_state,
 from ..operators import layers as L
 from ..operators import text as T
 from ..sources import adapters as A
-from ..sources import landing, storage
+from ..sources import landing, storage, topic
 from ..sources.adapters import money_sql, rounded_sql, sql
 from ..streaming import jobs as J
+from ..streaming import progress, state
 from .layers import GMV, NOW, raw_orders, raw_payments
 from .registry import query
 
@@ -78,7 +80,7 @@ def finished(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Da
 
 BUCKET = "time_bucket(INTERVAL {0}, event_time) AS window_start, time_bucket(INTERVAL {0}, event_time) + INTERVAL {0} AS window_end"
 MEASURES = f"count(*) AS order_cnt, {GMV} AS total_gmv, {GMV} / count(*) AS avg_price, count(*) FILTER (order_status = 'canceled') AS cancel_cnt"
-T1 = f"SELECT {BUCKET.format('1 MINUTE')}, {MEASURES}, count(DISTINCT customer_id) AS unique_customers, arg_min(product_category, (-n, product_category)) AS top_category FROM (SELECT *, count(*) OVER (PARTITION BY time_bucket(INTERVAL 1 MINUTE, event_time), product_category) AS n FROM order_stream WHERE price >= 0) GROUP BY 1"
+T1 = f"SELECT {BUCKET.format('1 MINUTE')}, {MEASURES}, count(DISTINCT customer_id) AS unique_customers, arg_min(product_category, (-n, product_category)) AS top_category FROM (SELECT *, count(*) OVER (PARTITION BY time_bucket(INTERVAL 1 MINUTE, event_time), product_category) AS n FROM order_stream WHERE price >= 0 AND event_time IS NOT NULL) GROUP BY 1"
 
 
 @query("T1_minute_stats", sql("order_stream", T1))
@@ -91,7 +93,7 @@ def t1s(spark, sf):
     return finished(spark, J.minute_statistics(event_stream(spark, sf, closed=True), DELAY, exact=True))
 
 
-T2 = f"SELECT {BUCKET.format('1 MINUTE')}, product_category, {MEASURES} FROM order_stream GROUP BY 1, 3"
+T2 = f"SELECT {BUCKET.format('1 MINUTE')}, product_category, {MEASURES} FROM order_stream WHERE event_time IS NOT NULL GROUP BY 1, 3"
 
 
 @query("T2_category_minutes", sql("order_stream", T2))
@@ -104,7 +106,7 @@ def t2s(spark, sf):
     return finished(spark, J.category_statistics(event_stream(spark, sf, closed=True), DELAY))
 
 
-T3 = "SELECT * FROM (SELECT time_bucket(INTERVAL 5 MINUTE, event_time) AS window_start, product_category, count(*) FILTER (order_status = 'canceled')::DOUBLE / count(*) * 100.0 AS cancel_rate, count(*) AS total_orders FROM order_stream GROUP BY 1, 2) WHERE cancel_rate > 15"
+T3 = "SELECT * FROM (SELECT time_bucket(INTERVAL 5 MINUTE, event_time) AS window_start, product_category, count(*) FILTER (order_status = 'canceled')::DOUBLE / count(*) * 100.0 AS cancel_rate, count(*) AS total_orders FROM order_stream WHERE event_time IS NOT NULL GROUP BY 1, 2) WHERE cancel_rate > 15"
 
 
 @query("T3_cancel_alerts", sql("order_stream", T3))
@@ -117,7 +119,7 @@ def t3s(spark, sf):
     return finished(spark, J.cancel_alerts(event_stream(spark, sf, closed=True), DELAY))
 
 
-T4 = f"SELECT customer_id, date_trunc('hour', event_time) AS window_start, count(*) AS order_count, {GMV} AS gmv, {GMV} / count(price) AS avg_price, count(DISTINCT product_category) AS category_cnt, date_trunc('hour', event_time) + INTERVAL 1 HOUR AS feature_time FROM order_stream GROUP BY 1, 2"
+T4 = f"SELECT customer_id, date_trunc('hour', event_time) AS window_start, count(*) AS order_count, {GMV} AS gmv, {GMV} / count(price) AS avg_price, count(DISTINCT product_category) AS category_cnt, date_trunc('hour', event_time) + INTERVAL 1 HOUR AS feature_time FROM order_stream WHERE event_time IS NOT NULL GROUP BY 1, 2"
 
 
 @query("T4_customer_features", sql("order_stream", T4))
@@ -145,16 +147,16 @@ def t6(spark, sf):
     return finished(spark, both).filter("order_id <> 'end'").select("order_id", "payment_type", "payment_value")
 
 
-@query("T7_replay", sql("order_stream", f"SELECT date_trunc('hour', event_time) AS hour_start, product_category, state, count(DISTINCT order_id) AS order_cnt, {GMV} AS total_gmv, count(*) FILTER (order_status = 'canceled') AS cancel_cnt FROM order_stream GROUP BY 1, 2, 3"))
+@query("T7_replay", sql("order_stream", f"SELECT date_trunc('hour', event_time) AS hour_start, product_category, state, count(DISTINCT order_id) AS order_cnt, {GMV} AS total_gmv, count(*) FILTER (order_status = 'canceled') AS cancel_cnt FROM order_stream WHERE event_time IS NOT NULL GROUP BY 1, 2, 3"))
 def t7(spark, sf):
-    """Three replays into one table, their batches cut in three ways: the hours are those of one."""
+    """Four replays into one table, the last two by one job, their batches cut in four ways: the hours are those of one."""
     out, (folder, files) = scratch(spark), event_files(spark, sf)
-    for n, (job, at_once) in enumerate((("job-9", files), ("job-10", 2 * files), ("job-11", 100 * files))):
-        J.replay(read_files(spark, folder, at_once), job, f"{out}/hours", f"{out}/{job}", version=n)
+    for n, (job, at_once) in enumerate((("job-9", files), ("job-10", 2 * files), ("job-11", files), ("job-11", 100 * files))):
+        J.replay(read_files(spark, folder, at_once), job, f"{out}/hours", f"{out}/checkpoint-{n}", version=n)
     return J.replayed_hours(spark, f"{out}/hours")
 
 
-@query("T8_late_rows", sql("order_stream", "SELECT CAST(event_time AS DATE) AS day, count(*) AS order_cnt FROM order_stream WHERE _kafka_offset % 10 <> 3 GROUP BY 1"))
+@query("T8_late_rows", sql("order_stream", "SELECT CAST(event_time AS DATE) AS day, count(*) AS order_cnt FROM order_stream WHERE _kafka_offset % 10 <> 3 AND event_time IS NOT NULL GROUP BY 1"))
 def t8(spark, sf):
     """Days of a stream of which every tenth row comes after the watermark has passed all days: those rows are dropped."""
     stream = event_stream(spark, sf, closed=True, delayed=F.col("_kafka_offset") % 10 == 3)
@@ -210,6 +212,164 @@ def s2(spark, sf):
 TEXT_TIME = "yyyy-MM-dd HH:mm:ss"
 
 
+#: A topic of the given orders: partition by id, two appends, cut at a time.
+PARTITIONS, CUT = 3, "2024-01-20 00:00:00"
+PART = f"_kafka_offset % {PARTITIONS}"
+
+
+def order_topic(spark: SparkSession, sf: str) -> tuple[str, list]:
+    """An empty topic, and two functions that append the orders before the cut and those from it on."""
+    path, rows = f"{scratch(spark)}/orders", A.order_stream(spark, sf)
+    topic.create(path, PARTITIONS, batch_rows=5_000)
+    json = rows.select(F.col("event_time").alias("timestamp"), F.to_json(F.struct(*[c for c in rows.columns])).alias("value"), "_kafka_offset", "event_time")
+    before = F.col("event_time") < F.lit(CUT).cast("timestamp")
+    return path, [lambda p=p: topic.publish(json.filter(p), path, PART, ["_kafka_offset"]) for p in (before, ~before)]
+
+
+def decoded(stream: DataFrame) -> DataFrame:
+    orders = landing.parsed(stream, landing.ORDER_JSON, "order_id")
+    return orders.select("order_id", "product_category", "price")
+
+
+@query("S1_topic_earliest", sql("order_stream", "SELECT order_id, product_category, price FROM order_stream"))
+def s1_earliest(spark, sf):
+    """A topic from its start, stopped in the middle and started again: every order once."""
+    path, (first, second) = order_topic(spark, sf)
+    out = scratch(spark)
+    sink = J.table_sink(f"{out}/rows")
+    first()
+    run = lambda: J.until_head(decoded(topic.read_topic(spark, path, group="all", maxOffsetsPerTrigger=50_000)), f"{out}/checkpoint", sink)
+    run()
+    second()
+    run()
+    return spark.read.parquet(f"{out}/rows/*")
+
+
+@query("S1_topic_latest", sql("order_stream", f"SELECT order_id, product_category, price FROM order_stream WHERE event_time >= TIMESTAMP '{CUT}'"))
+def s1_latest(spark, sf):
+    """A stream that starts at the end of a topic: only what comes later."""
+    path, (first, second) = order_topic(spark, sf)
+    out = scratch(spark)
+    first()
+    J.until_head(decoded(topic.read_topic(spark, path, startingOffsets="latest")), f"{out}/checkpoint", J.table_sink(f"{out}/rows"), meanwhile=second)
+    return spark.read.parquet(f"{out}/rows/*")
+
+
+@query("S1_topic_offsets", sql("order_stream", f"SELECT order_id, part AS partition, nr AS \"offset\" FROM (SELECT order_id, CAST(_kafka_offset % {PARTITIONS} AS INT) AS part, row_number() OVER (PARTITION BY _kafka_offset % {PARTITIONS} ORDER BY event_time >= TIMESTAMP '{CUT}', _kafka_offset) - 1 AS nr FROM order_stream) WHERE nr >= 100 * part"))
+def s1_offsets(spark, sf):
+    """A topic as a table, from an offset of its own in each partition."""
+    path, appends = order_topic(spark, sf)
+    for append in appends:
+        append()
+    topic.register(spark)
+    rows = spark.read.format("lakeloom_topic").options(path=path, startingOffsets='{"0": 0, "1": 100, "2": 200}').load()
+    return rows.select(F.from_json("value", landing.ORDER_JSON)["order_id"].alias("order_id"), "partition", "offset")
+
+
+@query("S2_payment_topic", sql("payments", "SELECT payment_id, payment_type, payment_value FROM payments"))
+def s2_topic(spark, sf):
+    """Payments through a topic, in batches of bounded size."""
+    path, rows, out = f"{scratch(spark)}/payments", A.payments(spark, sf), scratch(spark)
+    topic.create(path, PARTITIONS)
+    number = F.col("payment_id").cast("long")
+    topic.publish(rows.select(F.col("event_time").alias("timestamp"), F.to_json(F.struct(*rows.columns)).alias("value"), number.alias("nr")), path, f"nr % {PARTITIONS}", ["nr"])
+    most = max(1, sum(topic.head(path).values()) // 3)
+    paid = landing.parsed(topic.read_topic(spark, path, group="payments", maxOffsetsPerTrigger=most), landing.PAYMENT_JSON, "payment_id").select("payment_id", "payment_type", "payment_value")
+    J.until_head(paid, f"{out}/checkpoint", J.table_sink(f"{out}/rows"))
+    return spark.read.parquet(f"{out}/rows/*")
+
+
+@query("L12_stream_lag", sql("order_stream", f"SELECT 'orders-landing' AS consumer_group, CAST(_kafka_offset % {PARTITIONS} AS INT) AS partition_id, count(*) FILTER (event_time < TIMESTAMP '{CUT}') AS current_offset, count(*) AS log_end_offset, count(*) FILTER (event_time >= TIMESTAMP '{CUT}') AS lag FROM order_stream GROUP BY 2"))
+def l12_stream(spark, sf):
+    """The lag of a running query by partition, from what it reports: it stands at the first append's end when the second one comes."""
+    path, (first, second) = order_topic(spark, sf)
+    out, log = scratch(spark), progress.ProgressLog(f"{scratch(spark)}/progress")
+    first()
+    spark.streams.addListener(log)
+    try:
+        J.until_head(decoded(topic.read_topic(spark, path)), f"{out}/checkpoint", J.table_sink(f"{out}/rows"), name="orders-landing")
+        progress.settled(spark)
+    finally:
+        spark.streams.removeListener(log)
+    second()
+    return progress.lag(spark, log.folder, path).drop("query_id")
+
+
+#: Customers' orders, each with the number of absences of over a day before it.
+ABSENCES = """SELECT *, sum(CASE WHEN event_time - before > INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY event_time, order_id) AS absences FROM (
+    SELECT *, lag(event_time) OVER (PARTITION BY customer_id ORDER BY event_time, order_id) AS before FROM order_stream WHERE event_time IS NOT NULL)"""
+
+
+@query("T5_totals_since_absence", sql("order_stream", f"""SELECT order_id, customer_id, count(*) OVER w AS order_count, CAST(sum(CAST(price AS DECIMAL(18,2))) OVER w AS DOUBLE) AS gmv,
+    count(*) OVER (PARTITION BY customer_id ORDER BY event_time RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS hour_count
+    FROM ({ABSENCES}) WINDOW w AS (PARTITION BY customer_id, absences ORDER BY event_time, order_id ROWS UNBOUNDED PRECEDING)"""))
+def t5_absence(spark, sf):
+    """Running totals that end with a day's absence, from a stream in slices of time."""
+    with state.rocksdb(spark):
+        return finished(spark, state.running_totals(event_stream(spark, sf, closed=True), DELAY)).filter("order_id <> 'end'")
+
+
+@query("T5_state_left", sql("order_stream", f"""SELECT customer_id, n AS order_count, last_time FROM (
+    SELECT customer_id, count(*) AS n, max(event_time) AS last_time, row_number() OVER (PARTITION BY customer_id ORDER BY absences DESC) AS nr FROM ({ABSENCES}) GROUP BY customer_id, absences)
+    WHERE nr = 1 AND date_trunc('milliseconds', last_time) + INTERVAL 1 DAY > date_trunc('milliseconds', (SELECT max(event_time) FROM order_stream)) - INTERVAL 5 SECOND"""))
+def t5_state(spark, sf):
+    """What the store holds when the stream has ended: customers who were away for a day have no state left."""
+    out = scratch(spark)
+    with state.rocksdb(spark):
+        J.run_available(state.running_totals(event_stream(spark, sf), DELAY), J.table_sink(f"{out}/rows"), f"{out}/checkpoint")
+    left = state.state_left(spark, f"{out}/checkpoint")
+    return left.select("key.customer_id", "value.order_count", F.timestamp_micros("value.last_micros").alias("last_time"))
+
+
+def failing(spark: SparkSession, *points: str) -> str:
+    """A folder that asks a sink to fail once at each of the points, such as before-1."""
+    folder = f"{scratch(spark)}/faults"
+    for p in points:
+        topic.write_json(f"{folder}/{p}.json", {})
+    return folder
+
+
+@query("T10_commit", sql("order_stream", "SELECT count(*) AS rows, count(DISTINCT order_id) AS orders, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS gmv, 4 AS failures FROM order_stream"))
+def t10_commit(spark, sf):
+    """A stream that fails twice between write and commit, and twice behind its commit, and is started anew each time: every order once."""
+    out, faults = scratch(spark), failing(spark, "before-0", "before-2", "after-1", "after-3")
+    topic.register(spark)
+    files = event_files(spark, sf)
+    run = lambda: J.until_head(read_files(spark, *files).select("order_id", "price"), f"{out}/checkpoint", path=f"{out}/orders", faults=faults)
+    _, failures = J.recovering(run)
+    rows = topic.committed(spark, f"{out}/orders", "order_id string, price double")
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct("order_id").alias("orders"), F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("gmv")).withColumn("failures", F.lit(failures))
+
+
+@query("S7_topic_sink", sql("order_stream", "SELECT order_id, product_category, price FROM order_stream"))
+def s7_topic(spark, sf):
+    """Orders of a stream appended to a topic, with failures before and behind the append: every order once, offsets without gaps."""
+    path, out, faults = f"{scratch(spark)}/orders", scratch(spark), failing(spark, "before-1", "after-2")
+    topic.create(path, PARTITIONS)
+    files = event_files(spark, sf)
+    stream = read_files(spark, *files)
+    rows = stream.select(F.col("event_time").alias("timestamp"), F.to_json(F.struct(*stream.columns)).alias("value"), "_kafka_offset")
+    J.recovering(lambda: J.until_head(rows, f"{out}/checkpoint", J.topic_sink(path, PART, ["_kafka_offset"], "orders", faults)))
+    topic.register(spark)
+    return decoded(spark.read.format("lakeloom_topic").options(path=path).load())
+
+
+#: The database of S7_jdbc_sink: on a cluster ``lakeloom.jdbc.url`` has to name one that all executors reach.
+LOCAL_DATABASE = "jdbc:derby:memory:lakeloom{};create=true"
+
+
+@query("S7_jdbc_sink", sql("order_stream", f"SELECT {BUCKET.format('1 HOUR')}, {MEASURES} FROM order_stream WHERE price >= 0 AND event_time IS NOT NULL GROUP BY 1"))
+def s7_jdbc(spark, sf):
+    """Hours of a stream in update mode, merged into a database's table by window; one batch fails before and one behind its transaction."""
+    url = spark.conf.get("lakeloom.jdbc.url", None) or LOCAL_DATABASE.format(uuid.uuid4().hex)
+    out, faults = scratch(spark), failing(spark, "before-1", "after-2")
+    files = event_files(spark, sf)
+    stats = J.minute_statistics(read_files(spark, *files), DELAY, "1 hour").drop("unique_customers", "top_category")
+    sink = J.jdbc_sink(url, "hours", ["window_start"], "hours", faults)
+    J.recovering(lambda: J.until_head(stats, f"{out}/checkpoint", sink, mode="update"))
+    return spark.read.jdbc(url, "hours")
+
+
 @query("S5_land_minute_stats", sql("order_stream", "SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS window_start, count(*) AS order_cnt FROM order_stream GROUP BY 1 HAVING count(*) % 5 <> 0"))
 def s5(spark, sf):
     """Statistics with times as texts, of which every fifth count has a broken one."""
@@ -224,7 +384,7 @@ def s6(spark, sf):
     return landing.land_wide(wide).select("order_id", "event_time", "event_date", "payment_type")
 
 
-@query("S7_aggregate_sink", sql("order_stream", f"SELECT {BUCKET.format('1 HOUR')}, {MEASURES} FROM order_stream WHERE price >= 0 GROUP BY 1"))
+@query("S7_aggregate_sink", sql("order_stream", f"SELECT {BUCKET.format('1 HOUR')}, {MEASURES} FROM order_stream WHERE price >= 0 AND event_time IS NOT NULL GROUP BY 1"))
 def s7(spark, sf):
     """Hours of a stream in update mode, merged by window: later states of a window replace earlier ones."""
     folder = scratch(spark)

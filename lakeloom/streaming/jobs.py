@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.columns import canceled, ratio
 from ..operators import features, layers
 from ..operators.versioned import latest_version
+from ..sources import topic
 
 
 def late(stream: DataFrame, delay: str = "5 seconds", time: str = "event_time") -> DataFrame:
@@ -123,6 +125,91 @@ def table_sink(path: str, mode: str = "append") -> Callable[[DataFrame, int], No
     return write
 
 
+def topic_sink(path: str, partition: str, order: list[str], writer: str, faults: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends rows (timestamp, value) to a topic, each batch once: a head names the batch it is of."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if any(h["writer"] == writer and h["batch"] == batch_id for h in topic.heads(path)):
+            return
+        topic.fault({"faults": faults}, "before", batch_id)
+        topic.publish(batch, path, partition, order, writer, batch_id)
+        topic.fault({"faults": faults}, "after", batch_id)
+
+    return write
+
+
+def jdbc_sink(url: str, table: str, keys: list[str], writer: str, faults: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges a batch into a database's table by key, each batch once.
+
+    Tasks write their rows to a table of the batch; then one transaction merges it and notes the batch in ``lakeloom_commits``,
+    so a batch that failed before has changed nothing, and one that is repeated after it does nothing. The
+    database has to know MERGE.
+    """
+    quoted = lambda c: f'"{c}"'
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+        try:
+            connection.setAutoCommit(False)
+            statement = connection.createStatement()
+            known = connection.getMetaData().getTables(None, None, "LAKELOOM_COMMITS", None).next()
+            if not known:
+                statement.executeUpdate("CREATE TABLE lakeloom_commits (writer VARCHAR(200), batch BIGINT, PRIMARY KEY (writer, batch))")
+                connection.commit()
+            found = statement.executeQuery(f"SELECT count(*) FROM lakeloom_commits WHERE writer = '{writer}' AND batch = {batch_id}")
+            found.next()
+            if found.getInt(1):
+                return
+            connection.commit()
+            batch.limit(0).write.mode("append").jdbc(url, table)
+            batch.write.mode("overwrite").jdbc(url, f"{table}_batch")
+            topic.fault({"faults": faults}, "before", batch_id)
+            rest = [c for c in batch.columns if c not in keys]
+            on = " AND ".join(f"t.{quoted(k)} = b.{quoted(k)}" for k in keys)
+            update = ", ".join(f"{quoted(c)} = b.{quoted(c)}" for c in rest)
+            names = ", ".join(map(quoted, batch.columns))
+            values = ", ".join(f"b.{quoted(c)}" for c in batch.columns)
+            statement.executeUpdate(f"MERGE INTO {table} t USING {table}_batch b ON {on} WHEN MATCHED THEN UPDATE SET {update} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})")
+            statement.executeUpdate(f"INSERT INTO lakeloom_commits VALUES ('{writer}', {batch_id})")
+            connection.commit()
+            topic.fault({"faults": faults}, "after", batch_id)
+        finally:
+            connection.rollback()
+            connection.close()
+
+    return write
+
+
+def until_head(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append", name: str | None = None, meanwhile: Callable[[], None] | None = None, **options: str) -> StreamingQuery:
+    """Runs a stream until it has all there is, in as many batches as its source cuts, then stops it.
+
+    sink: a foreachBatch function; without one, path: of a ``lakeloom_staged`` sink. meanwhile: called when the stream stands at the head; what
+    it adds is processed too.
+    """
+    w = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
+    w = w.foreachBatch(sink) if sink else w.format("lakeloom_staged").options(path=path, **options)
+    q = (w.queryName(name) if name else w).start()
+    try:
+        q.processAllAvailable()
+        if meanwhile:
+            meanwhile()
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return q
+
+
+def recovering(run: Callable[[], StreamingQuery], most: int = 10) -> tuple[StreamingQuery, int]:
+    """Starts a query anew until it ends well; gives it and how often it failed."""
+    for failures in range(most):
+        try:
+            return run(), failures
+        except StreamingQueryException:
+            pass
+    return run(), most
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what there is, then stops. The checkpoint makes a restart go on where it ended."""
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
@@ -133,31 +220,63 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 REPLAYED = ("order_id", "customer_id", "product_category", "state", "order_status", "price", "event_time")
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a query's checkpoint gives it: the same after a restart, another under a new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
+
+
 def replay(orders: DataFrame, job_id: str, path: str, checkpoint: str, version: int) -> StreamingQuery:
     """The stream from its start, by hour, category and state, put into a table by hour: replaying twice is replaying once.
 
-    Batches are staged as they come, each under its own id, with the columns that count; at the end the hours of
-    the job are aggregated as a whole, so that neither counts nor distinct orders depend on how batches were cut.
-    The job's hours then replace those of lower versions, and of its own earlier runs; hours of a higher
-    version stay. version: a number that later jobs have a greater one of, such as the time of their start.
+    Batches are staged as they come, by the run (the checkpoint's query id) and under their own id, with the columns
+    that count; at the end the hours of this run are aggregated as a whole, so that neither sums, counts nor distinct orders
+    depend on how batches were cut or on what an earlier run of the job had staged, which is removed. A run that
+    was broken off goes on where it ended if it is started with its checkpoint, and from the start with a new one.
+    The job's hours then replace those of lower versions and all of its own earlier runs; hours of a higher
+    version stay. version: a number that later jobs have a greater one of, such as the time of their start. Orders without a time
+    belong to no hour. A run without any rows leaves the table as it is.
     """
-    staged = f"{path}_staged/{job_id}"
-    query = run_available(orders.select(*REPLAYED), table_sink(f"{staged}/rows"), checkpoint)
-    spark = orders.sparkSession
-    if not _exists(spark, f"{staged}/rows"):
+    spark, staged = orders.sparkSession, f"{path}_staged/{job_id}"
+
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{staged}/rows/{query_id(batch.sparkSession, checkpoint)}/batch={batch_id}")
+
+    query = run_available(orders.select(*REPLAYED).filter("event_time IS NOT NULL"), stage, checkpoint)
+    run = f"{staged}/rows/{query.id}"
+    if not _exists(spark, run):
         return query
-    rows = layers.hourly_by_dimension(spark.read.parquet(f"{staged}/rows")).withColumns({"replay_job_id": F.lit(job_id), "version": F.lit(version).cast("long"), "hour_date": F.to_date("hour_start")})
+    rows = layers.hourly_by_dimension(spark.read.parquet(run)).withColumns({"replay_job_id": F.lit(job_id), "version": F.lit(version).cast("long"), "hour_date": F.to_date("hour_start")})
     rows.write.mode("overwrite").parquet(f"{staged}/hours")
     new = spark.read.parquet(f"{staged}/hours")
-    merged = new
+    merged, own_days = new, set()
     if _exists(spark, path):
-        days = [r[0] for r in new.select("hour_date").distinct().collect()]  # a value a partition
-        old = spark.read.parquet(path).filter(F.col("hour_date").isin(days) & (F.col("replay_job_id") != job_id))
+        table = spark.read.parquet(path)
+        days_of = lambda df: {r[0] for r in df.select("hour_date").distinct().collect()}  # noqa: E731  # a value a partition
+        own_days = days_of(table.filter(F.col("replay_job_id") == job_id))
+        old = table.filter(F.col("hour_date").isin(sorted(own_days | days_of(new))) & (F.col("replay_job_id") != job_id))
         merged = old.select(new.columns).unionByName(new)
     owner = F.struct("version", "replay_job_id")
     owners = merged.groupBy("hour_start").agg(F.max(owner).alias("owner"))
     merged.join(owners, "hour_start").filter(owner == F.col("owner")).drop("owner").write.mode("overwrite").parquet(f"{staged}/merged")
-    spark.read.parquet(f"{staged}/merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_date").parquet(path)
+    ready = spark.read.parquet(f"{staged}/merged")
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_date").parquet(path)
+    for day in own_days - {r[0] for r in ready.select("hour_date").distinct().collect()}:  # only an earlier run had hours there
+        remove_folder(spark, f"{path}/hour_date={day}")
+    for other in folders(spark, f"{staged}/rows"):
+        if other != str(query.id):
+            remove_folder(spark, f"{staged}/rows/{other}")
     return query
 
 
