@@ -78,7 +78,8 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 def running_totals(orders: DataFrame, delay: str = "5 seconds", ttl_ms: int = DAY_MS, by_events: bool = True) -> DataFrame:
     """A stream of orders with ``RunningTotals``; start it inside ``rocksdb``. Orders without a time or a customer have no totals.
 
-    The sort is of one customer's orders in one batch.
+    The sort is of one customer's orders in one batch. By the machine's clock there is always another batch to come, so such
+    a query ends when it is stopped, or by a trigger of one batch.
     """
     timed = orders.filter("event_time IS NOT NULL AND customer_id IS NOT NULL")
     timed = timed.withWatermark("event_time", delay) if by_events else timed

@@ -174,8 +174,9 @@ def test_store_ends_idle_state(spark, tmp_path):
         time.sleep(wait)
         stream = order_files(spark, folder, [(k, "c", 1.0, 10 + k)])
         with state.rocksdb(spark):
-            q = J.run_available(state.running_totals(stream, ttl_ms=3_000, by_events=False), J.table_sink(f"{tmp_path}/out"), c)
-        assert q.exception() is None
+            totals = state.running_totals(stream, ttl_ms=3_000, by_events=False)
+            q = totals.writeStream.foreachBatch(J.table_sink(f"{tmp_path}/out")).option("checkpointLocation", c).trigger(once=True).start()
+        assert q.awaitTermination(60) and q.exception() is None
         counts = {r.order_id: r.order_count for r in spark.read.parquet(f"{tmp_path}/out/*").collect()}
     assert counts == {"o0": 1, "o1": 1}
 
