@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The reference time of all registered queries: the end of the given events.
@@ -90,3 +90,11 @@ def hours_apart(start: Column, end: Column) -> Column:
     """Hour boundaries between two times, as a warehouse's date difference counts them."""
     hour = lambda t: F.unix_timestamp(F.date_trunc("hour", t))
     return F.floor((hour(end) - hour(start)) / 3600)
+
+
+def settle(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Ends the lineage of a round in spark.checkpoint.dir; where that is unset, in a folder beside the warehouse's tables."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lakeloom-checkpoints")
+    return df.checkpoint()

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import SEVERITIES, ago, fingerprint, ratio, worst_first
+from ..functions.columns import SEVERITIES, ago, fingerprint, ratio, settle, worst_first
 
 #: (metric, operator, threshold, severity) of the threshold rules.
 THRESHOLDS = [
@@ -101,50 +98,51 @@ def by_severity(alerts: DataFrame) -> DataFrame:
     return alerts.orderBy(worst_first(F.col("severity")), "fingerprint")
 
 
+DAY_US = 86_400_000_000
+
+
 def dedup_alerts(alerts: DataFrame, window_seconds: int = 900) -> DataFrame:
     """Alerts that pass: those of a fingerprint within the window of the last one that passed are dropped.
 
-    What passes depends on what passed before, but an alert a window or more behind the one before it passes in any
-    case. Fingerprints are cut there, so that a frequent one is scanned in many tasks; where the cuts lie is found
-    inside (fingerprint, day), with the last time and the last cut of earlier days carried over. In a piece the
-    scan goes from one that passes to the next by bisection. Null times don't pass.
+    What passes depends on what passed before, so each time of a fingerprint gets a pointer to the next that would pass
+    after it: the first at or behind the window's end. Pointers are doubled, each round joining those of the round before with
+    themselves, until none leads on; then what lies on the way from a fingerprint's first time is marked from the
+    longest jumps to the shortest. All joins are by fingerprint and time, so a frequent fingerprint is spread over all tasks, and rounds
+    are the logarithm of the most alerts of one that pass.
+
+    Of alerts of one time the one of the smallest id passes. Null times don't pass; null fingerprints are one fingerprint.
+    """
+    spark, width = alerts.sparkSession, window_seconds * 1_000_000
+    named = alerts.filter("fired_at IS NOT NULL").withColumns({"_f": F.coalesce(F.concat(F.lit("="), "fingerprint"), F.lit("")), "_us": F.unix_micros("fired_at")})
+    if width <= 0:
+        return named.select(*alerts.columns)
+    times = named.select("_f", "_us").distinct()
+    jumps = [settle(spark, next_times(times, width))]
+    while jumps[-1].filter("_next IS NOT NULL").limit(1).count():
+        here = jumps[-1]
+        there = here.select("_f", F.col("_us").alias("_next"), F.col("_next").alias("_onward"))
+        jumps.append(settle(spark, here.join(there, ["_f", "_next"], "left").select("_f", "_us", F.col("_onward").alias("_next"))))
+    passed = times.groupBy("_f").agg(F.min("_us").alias("_us"))
+    for jump in reversed(jumps[:-1]):
+        passed = settle(spark, passed.unionByName(passed.join(jump, ["_f", "_us"]).filter("_next IS NOT NULL").select("_f", F.col("_next").alias("_us"))))
+    first = F.row_number().over(Window.partitionBy("_f", "_us").orderBy("alert_id"))
+    return named.join(passed, ["_f", "_us"], "left_semi").withColumn("_nr", first).filter("_nr = 1").select(*alerts.columns)
+
+
+def next_times(times: DataFrame, width: int) -> DataFrame:
+    """_f, _us and _next: the first of the fingerprint's times at or behind _us + width, null if there is none.
+
+    Times and the ends of their windows are merged in order inside (fingerprint, day); what a day lacks comes from a window over
+    one row for each (fingerprint, day).
     """
-    day, kind = F.to_date("fired_at"), alerts.schema
-    rows = alerts.filter("fired_at IS NOT NULL").withColumns({"_day": day, "_us": F.unix_micros("fired_at")})
-    width = window_seconds * 1_000_000
-    inside = Window.partitionBy("fingerprint", "_day").orderBy("_us", "alert_id")
-    whole = rows.withColumn("_before", F.lag("_us").over(inside))
-    days = rows.groupBy("fingerprint", "_day").agg(F.max("_us").alias("_last"), F.min("_us").alias("_first"))
-    earlier = Window.partitionBy("fingerprint").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_carried", F.max("_last").over(earlier)).select("fingerprint", "_day", "_carried")
-    whole = whole.join(days, ["fingerprint", "_day"]).withColumn("_before", F.coalesce("_before", "_carried"))
-    cut = F.when(F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= width), F.col("_us"))
-    whole = whole.withColumn("_cut", cut)
-    last_cut = whole.groupBy("fingerprint", "_day").agg(F.max("_cut").alias("_last_cut"))
-    last_cut = last_cut.withColumn("_old_cut", F.max("_last_cut").over(earlier)).select("fingerprint", "_day", "_old_cut")
-    running = F.max("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    pieces = whole.withColumn("_piece", running).join(last_cut, ["fingerprint", "_day"]).withColumn("_piece", F.coalesce("_piece", "_old_cut"))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, passed = None, None
-        for batch in batches:
-            keep = []
-            keys, times = list(zip(batch["fingerprint"], batch["_piece"])), batch["_us"].to_numpy()
-            ends = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]] + [len(keys)] * bool(keys)
-            start = 0
-            for end in ends:
-                if keys[start] != current:
-                    current, passed = keys[start], None
-                at = start if passed is None else start + int(np.searchsorted(times[start:end], passed + width))
-                while at < end:
-                    keep.append(at)
-                    passed = times[at]
-                    at = start + int(np.searchsorted(times[start:end], passed + width))
-                start = end
-            yield batch.iloc[keep][kind.names]
-
-    columns = [*kind.names, "_us", "_piece"]
-    return pieces.select(*columns).repartition("fingerprint", "_piece").sortWithinPartitions("fingerprint", "_piece", "_us", "alert_id").mapInPandas(scan, kind)
+    both = times.select("_f", F.explode(F.array(F.struct(F.col("_us").alias("at"), F.col("_us").alias("time"), F.lit(None).cast("long").alias("of")), F.struct((F.col("_us") + width).alias("at"), F.lit(None).cast("long").alias("time"), F.col("_us").alias("of")))).alias("x"))
+    both = both.select("_f", "x.*").withColumn("day", F.floor(F.col("at") / DAY_US))
+    days = both.groupBy("_f", "day").agg(F.min("time").alias("first"))
+    later = F.min("first").over(Window.partitionBy("_f").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("later", later).select("_f", "day", "later")
+    inside = F.min("time").over(Window.partitionBy("_f", "day").orderBy(F.desc("at"), F.col("of").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("own", inside).filter("of IS NOT NULL").join(days, ["_f", "day"])
+    return found.select("_f", F.col("of").alias("_us"), F.coalesce("own", "later").alias("_next"))
 
 
 def silence(alerts: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ago, raised
+from ..functions.columns import ago, raised, settle
 
 
 #: Databases whose tables are no part of lineage.
@@ -45,7 +45,10 @@ def reached(edges: DataFrame, node: str, here: str, there: str, depth: int) -> D
     """(node, depth) of what up to so many edges lead to; each at its least depth, the start apart."""
     out = edges.filter(F.col(here) == node).select(F.col(there).alias("node")).filter(F.col("node") != node).distinct().withColumn("depth", F.lit(1))
     for n in range(2, depth + 1):
+        out = settle(edges.sparkSession, out) if n > 2 else out
         ends = out.filter(F.col("depth") == n - 1).select(F.col("node").alias(here))
+        if n > 2 and not ends.limit(1).count():
+            break
         step = edges.join(ends, here).select(F.col(there).alias("node")).filter(F.col("node") != node).distinct()
         out = out.unionByName(step.join(out.select("node"), "node", "left_anti").withColumn("depth", F.lit(n)))
     return out
@@ -64,28 +67,23 @@ def downstream(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """All (ancestor, descendant) pairs of different nodes.
 
-    Each round joins the pairs with themselves, so paths double in length and rounds are few; distinct pairs
-    stay, so cycles end.
+    Round r knows the pairs of walks of up to 2**r edges, and apart from them those of exactly 2**r. Only the first are
+    joined with the second, never with themselves: so each new pair comes from one cut of its walk, not from all
+    of them, and a chain costs what its pairs are. Of the second only pairs that were new in their round stay, as parts of shortest
+    walks are shortest walks; so cycles end. Rounds are the logarithm of the longest of these.
     """
     spark = edges.sparkSession
-    pairs = _settle(spark, edges.select(F.col("source").alias("ancestor"), F.col("target").alias("descendant")).distinct())
-    n = pairs.count()
+    exact = settle(spark, edges.select("source", "target").filter("source <> target").distinct())
+    pairs = exact.select(F.col("source").alias("ancestor"), F.col("target").alias("descendant"))
     while True:
-        onward = pairs.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
-        longer = pairs.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant"))
-        shorter, before = pairs, n
-        pairs = _settle(spark, pairs.unionByName(longer).distinct())
-        n = pairs.count()
-        shorter.unpersist()
-        if n == before:
-            return pairs.filter("ancestor <> descendant")
-
-
-def _settle(spark, df: DataFrame) -> DataFrame:
-    """Ends the lineage of a round: by a checkpoint where a folder is set, else in memory and on disk."""
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return df.checkpoint()
-    return df.persist()
+        step = exact.select(F.col("source").alias("descendant"), F.col("target").alias("next"))
+        longer = pairs.join(step, "descendant").select("ancestor", F.col("next").alias("descendant")).filter("ancestor <> descendant").distinct()
+        new = settle(spark, longer.join(pairs, ["ancestor", "descendant"], "left_anti"))
+        if not new.limit(1).count():
+            return pairs
+        pairs = settle(spark, pairs.unionByName(new))
+        onward = exact.select(F.col("source").alias("target"), F.col("target").alias("next"))
+        exact = settle(spark, exact.join(onward, "target").select("source", F.col("next").alias("target")).filter("source <> target").distinct().join(new.select(F.col("ancestor").alias("source"), F.col("descendant").alias("target")), ["source", "target"], "left_semi"))
 
 
 def impact(pairs: DataFrame) -> DataFrame:

@@ -316,3 +316,28 @@ def test_empty_inputs(spark, sf):
     none = A.order_stream(spark, sf).limit(0)
     for df in (L.hourly_sales(none), L.category_ranking(none), L.minute_stats(none), L.state_ranks(none), L.gmv_share(none), features.materialize_features(none, AS_OF), quality.repair(none), stats.drift_report(A.feature_history(spark, sf).limit(0), at(AS_OF))):
         assert df.count() == 0
+
+
+def test_steady_alerts_are_spread(spark):
+    """A fingerprint that fires each minute for forty days: every fifteenth passes, and no Python runs."""
+    rows = spark.range(40 * 1440).select(F.col("id").cast("string").alias("alert_id"), F.lit(None).cast("string").alias("fingerprint"), F.timestamp_seconds(F.col("id") * 60).alias("fired_at"))
+    out = alerts.dedup_alerts(rows)
+    assert out.agg(F.count("*"), F.sum(F.col("alert_id").cast("long") % 15)).first()[:] == (40 * 96, 0)
+    assert "Python" not in out._jdf.queryExecution().toString() and "MapInPandas" not in out._jdf.queryExecution().toString()
+    assert alerts.dedup_alerts(rows, 0).count() == 40 * 1440
+
+
+def test_closure_of_chains_and_cycles(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "source string, target string")
+    chain = lineage.closure(pairs([(f"{k}", f"{k + 1}") for k in range(400)]))
+    assert chain.count() == 400 * 401 // 2
+    cycle = lineage.closure(pairs([(f"{k}", f"{(k + d) % 60}") for k in range(60) for d in (0, 1, 7)]))
+    assert cycle.count() == 60 * 59
+    import random
+
+    r = random.Random(4)
+    edges = [(f"{r.randrange(25)}", f"{r.randrange(25)}") for _ in range(30)]
+    want = {e for e in edges}
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    assert {tuple(x) for x in lineage.closure(pairs(edges)).collect()} == {(a, b) for a, b in want if a != b}
