@@ -5,7 +5,7 @@ For every element: characters per tag, adjusted by the share of its characters a
 main text; the least density on its path to the body is the threshold. Beside that element, going up, parts
 of its kind that reach the threshold and text that stands next to it belong to it as well. Inside it, boxes under
 the threshold, or half the density of the whole (comments, notices, share bars), and lists of links are left out
-again.
+again, the latter unless they hold most of its text; how linked a list has to be grows with the links of the text around it.
 
 Tags and roles that can't be an article's text (menus, page headers and footers, form controls, hidden
 parts) are left out; density is computed before that. Words of class or id are weak evidence: a box named
@@ -22,8 +22,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,22 +55,23 @@ WORDS = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "commentlist respond reply replies responses feedback thread disqus discussion widget widgets toolbar pagination pager copyright disclaimer skip hidden banner".split()
 )
+#: Those of them that an article's own section may bear.
+AMBIGUOUS = frozenset("alert disclaimer discussion feedback notice related respond response responses reply replies social thread".split())
 FILLERS = frozenset("area bar block box buttons card container content entry form group header holder icons inner item items left line links list message outer panel posts right row section text title top unit wrap wrapper zone".split())
 #: Those of them that count for a paragraph or heading, which else belongs to the text around it.
 TEXT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted cookie cookies consent gdpr newsletter share copyright skip hidden".split())
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: What stands in the run of an article's text, beside its other boxes.
 BLOCKS = TEXTS | frozenset("ul ol dl table figure".split())
+RICH = frozenset("ul ol dl table pre figure section article blockquote".split())
 ANCHORS = TEXTS | {"section"}  # their ids are made of titles
 MODIFIERS = frozenset("has no not with without".split())  # a class that starts so tells of the page, not of the part
 #: A part with fewer characters than these is short.
 SHORT = 200
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|xmp|noembed|noframes)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)",
-    re.S | re.I,
-)
-CLOSED = re.compile(r"(?:-->|</(?:script|style|noscript|template|textarea|title|iframe|svg|xmp|noembed|noframes)\s*+>|^<[!?](?!--)[^>]*+>)\Z", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)", re.S | re.I)
+#: Elements whose content isn't text. Without an end the first hold the rest of the page, the others nothing.
+SWALLOWING = frozenset("script style template textarea title".split())
+RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in (*SWALLOWING, *"noscript iframe svg xmp noembed noframes".split())}
 OPEN = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"""(?<![a-z-])([a-z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)")
@@ -145,20 +148,30 @@ class Page:
         def highest(names: frozenset | set | tuple) -> int:
             return max((at_of[x][-1] for x in names if at_of[x]), default=0)
 
-        for m in TOKEN.finditer(source, 0, limit):
+        endless: set[str] = set()  # names of raw elements that nothing ends any more
+        while m := TOKEN.search(source, end, limit):
             if m.start() > end and not hidden:
                 self.text(source[end : m.start()], stack[-1], bool(at_of["a"]), pieces)
             end = m.end()
-            name = m[3]
+            name = m[2]
             if not name:
-                if end == limit and not CLOSED.search(m[0]):
-                    end = len(source)  # a comment or a script that nothing ends
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    end = len(source)  # a comment that nothing ends
                 continue
             name = name.lower()
+            if name in RAW and not m[1]:
+                if name in SWALLOWING or not m[0].endswith("/>"):
+                    close_tag = None if name in endless else RAW[name].search(source, end)
+                    if close_tag:
+                        end = close_tag.end()
+                    else:
+                        endless.add(name)
+                        end = len(source) if name in SWALLOWING else end
+                continue
             inline = name in INLINE
             if not inline:
                 flush()
-            if m[2]:
+            if m[1]:
                 at = at_of[name][-1] if at_of[name] else 0
                 bar = (block_at[-1] if block_at else 0) if inline else 0 if name in ("html", *REGIONS) else highest(REGIONS)
                 if at > bar:
@@ -177,9 +190,9 @@ class Page:
                     if at_of["p"] and at_of["p"][-1] > holder:
                         close(at_of["p"][-1])
                 else:
-                    open_ = [x for e in (*ends, "p") for x in at_of[e] if x > holder]
-                    if open_:
-                        close(min(open_))
+                    over = [at_of[e][n] for e in (*ends, "p") if (n := bisect_right(at_of[e], holder)) < len(at_of[e])]
+                    if over:
+                        close(min(over))
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
@@ -190,7 +203,7 @@ class Page:
             if not inline:
                 block_at.append(len(stack))
             stack.append(node)
-            rest = m[4][:-1]
+            rest = m[3][:-1]
             in_article = bool(at_of["article"] or at_of["main"])
             if name in DROPPED or name == "header" and not in_article:
                 self.dropped.add(node)
@@ -260,6 +273,9 @@ class Page:
                 own[k] = all_ - link + sum(own[c] for c in below)
                 links[k] = link + sum(links[c] for c in below)
         self.own, self.links = own, links
+        for k, hint in self.hint.items():
+            if hint == 2 and self.tag[k] in ("section", "div") and self.doubtful(k):
+                self.hint[k] = 1
         told_of = [k for k in sorted(self.hint) if not gone[k] and (self.hint[k] == 2 or own[k] < SHORT or 2 * links[k] > own[k])]
         outside, end = own[0], 0
         for k in told_of:
@@ -289,11 +305,20 @@ class Page:
                 gone[x] = True
         return gone
 
+    def doubtful(self, k: int) -> bool:
+        """Whether a box's telling words are of a kind that sections bear too, and it holds paragraphs of text as these do, not boxes."""
+        words = {w.lower() for w in WORD.findall(self.kind[k])}
+        return not words & (WORDS - AMBIGUOUS) and 2 * sum(self.chars[c] for c in self.children[k] if self.tag[c] in BLOCKS) > self.chars[k]
+
+    def linked(self, k: int, whole: int) -> bool:
+        """Whether a part is links in the main, for a text that has itself so many of them."""
+        return 2 * self.link_chars[k] * self.chars[whole] > self.chars[k] * (self.chars[whole] + self.link_chars[whole])
+
     def alike(self, k: int, best: int) -> bool:
         """Whether a part beside the best one is of the article as well: of its kind, or text in its run."""
         if self.tag[k] in BLOCKS:
-            return 2 * self.link_chars[k] <= self.chars[k]
-        if self.tag[k] != self.tag[best] or self.kind[k] != self.kind[best] or 2 * self.link_chars[k] > self.chars[k]:
+            return not self.linked(k, best)
+        if self.tag[k] != self.tag[best] or self.kind[k] != self.kind[best] or self.linked(k, best):
             return False
         return self.tag[k] == "section" or self.density[k] >= max(self.floor, self.density[best] / 2) and 8 * self.own[k] >= self.own[best]
 
@@ -323,23 +348,28 @@ class Page:
         """Leaves out boxes under the threshold and lists of links inside a part."""
         k, end = part + 1, self.last[part]
         floor = max(self.floor, self.density[part] / 2)
-        rich = {"ul", "ol", "dl", "table", "pre", "figure", "section", "article", "blockquote"}
+        links: list[int] = []
         while k <= end:
             if gone[k] or not self.chars[k]:
                 k = self.last[k] + 1 if gone[k] else k + 1
                 continue
             tag = self.tag[k]
-            linked = self.link_tags[k] > 2 and 2 * self.link_chars[k] > self.chars[k]
-            out = linked and tag in ("ul", "ol", "div", "p", "table", "section")
-            if not out and tag == "div" and self.density[k] < floor and 4 * self.own[k] < self.own[part]:
+            if self.link_tags[k] > 2 and tag in ("ul", "ol", "div", "p", "table", "section") and self.linked(k, part):
+                links.append(k)
+                k = self.last[k] + 1
+                continue
+            out = False
+            if tag == "div" and self.density[k] < floor and 4 * self.own[k] < self.own[part]:
                 kin = any(self.tag[x] == "div" and self.kind[x] == self.kind[k] and self.density[x] >= floor for x in self.siblings(k))
-                out = not kin and rich.isdisjoint(self.tag[k + 1 : self.last[k] + 1])
+                out = not kin and self.rich[self.last[k] + 1] == self.rich[k + 1]
             if out:
-                for x in range(k, self.last[k] + 1):
-                    gone[x] = True
+                gone[k : self.last[k] + 1] = [True] * (self.last[k] + 1 - k)
                 k = self.last[k] + 1
             else:
                 k += 1
+        if 2 * sum(self.chars[x] for x in links) <= self.chars[part]:  # else the links are the text
+            for x in links:
+                gone[x : self.last[x] + 1] = [True] * (self.last[x] + 1 - x)
 
     def siblings(self, k: int) -> list[int]:
         """The two nearest elements before and after, so that the work stays linear."""
@@ -352,6 +382,8 @@ class Page:
         self.measure()
         gone = self.leave_out()
         self.place = {k: n for c in self.children for n, k in enumerate(c)}
+        #: How many elements before each one hold text in boxes of their own.
+        self.rich = [0, *accumulate(t in RICH for t in self.tag)]
         chosen = [False] * len(self.tag)
         for part in self.parts(gone):
             self.boxes(part, gone)

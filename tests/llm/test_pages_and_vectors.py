@@ -284,3 +284,43 @@ def test_no_vectors(spark):
     assert ann.nearest(df, df).count() == 0
     zero = spark.createDataFrame([(0, [0.0, 0.0], "l", 0.0, 1)], SCHEMA)
     assert ann.nearest(zero, zero).count() == 0
+
+
+def article(*parts: str) -> str:
+    return f"<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>About</a></li></ul></nav><article><h1>The title</h1>{''.join(parts)}</article><footer>Contact</footer></body></html>"
+
+
+PARAGRAPHS = [f"<p>Paragraph {k} of the article holds a sentence or two of plain text, long enough to count as such.</p>" for k in range(5)]
+
+
+@pytest.mark.parametrize("linked", range(8))
+def test_link_rich_articles_stay(linked):
+    words = [[f"<a href='/w{k}'>word{k}</a>" if k % 7 < linked else f"plain{k}" for k in range(i, i + 42)] for i in range(0, 336, 42)]
+    text = html_text.main_text(article(*(f"<p>{' '.join(w)}.</p>" for w in words)))
+    assert text.count("\n") == 8 and all(f"{kind}{k}" in text for k in range(336) for kind in [("word" if k % 7 < linked else "plain")])
+    assert "Home" not in text and "Contact" not in text
+
+
+@pytest.mark.parametrize("before", ["<svg class='icon'/>", "<svg><path d='x'/></svg>", "<iframe src='x'>", "<iframe src='x'/>", "<noscript/>", "<noscript>Enable scripts</noscript>"])
+def test_elements_that_nothing_ends(before):
+    assert html_text.main_text(before + article(*PARAGRAPHS)) == html_text.main_text(article(*PARAGRAPHS)) != ""
+    assert html_text.main_text(article(before, *PARAGRAPHS)) == html_text.main_text(article(*PARAGRAPHS))
+
+
+@pytest.mark.parametrize("name", ["discussion", "feedback", "responses", "disclaimer", "alert"])
+def test_sections_with_doubtful_names(name):
+    """Paragraphs of text stay; boxes of comments under the same name go, as do comments by name."""
+    own = f"<section class='{name}'><h2>More of it</h2>{''.join(PARAGRAPHS).replace('Paragraph', 'Passage')}</section>"
+    assert html_text.main_text(article(*PARAGRAPHS, own)).count("Passage") == 5
+    boxes = "".join(f"<div class='c'><b>User {k}</b><p>I think that this is a good text, thank you.</p></div>" for k in range(3))
+    assert "thank you" not in html_text.main_text(article(*PARAGRAPHS, f"<section class='{name}'>{boxes}</section>"))
+    assert "thank you" not in html_text.main_text(article(*PARAGRAPHS, f"<section class='comments'>{boxes}</section>"))
+
+
+@pytest.mark.parametrize("one", ["<ul><li>", "<table><tr><td>", "<div>", "<svg>", "<iframe>", "<p>", "<dl><dt>", "<section class='discussion'>"])
+def test_nested_elements_take_linear_time(one):
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text("<body>" + one * 20_000 + "some text, a sentence of words.")
+    assert time.perf_counter() - start < 4
