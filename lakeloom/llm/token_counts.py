@@ -31,7 +31,7 @@ RULES = ("first", "last", "majority")
 
 #: Runs of white space that are encoded apart, and the end of patterns under which that is right: such a run
 #: is one part up to its last character, which goes with what follows, or up to its end at the end of a text.
-LONG_WHITE = re.compile(f"[{WHITE}]{{10000,}}")
+LONG_WHITE = re.compile(f"[{WHITE}]{{100,}}")
 CUTS_WHITE = r"|\s+(?!\S)|\s+"
 
 

@@ -517,3 +517,17 @@ def test_quality_verdicts_are_those_of_the_definition(spark):
         assert x.kept == (not x.base_failed and not far)
         verdicts[x.kept] += 1
     assert verdicts[True] > 50 and verdicts[False] > 5
+
+
+def test_token_counts_of_many_runs_of_white_space():
+    """Runs below, at and above the length from which they are encoded apart; many long ones take time in proportion."""
+    import time
+
+    encoder = token_counts.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for n in (1, 2, 98, 99, 100, 101, 102, 250):
+        for run in (" " * n, "\n" * n, " \n\t" * n, "\u3000" * n):
+            for text in (run, "a" + run, run + "b", f"a{run}b {run}\n'll{run}", f"1{run}é{run}."):
+                assert encoder.encode(text) == encoder.parts.encode_ordinary(text)
+    start = time.perf_counter()
+    assert len(encoder.encode(("x" + " " * 9_999) * 100)) > 100
+    assert time.perf_counter() - start < 5
