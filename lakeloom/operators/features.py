@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ago, at, canceled, hours_apart, money, ratio, rounded
@@ -218,6 +218,37 @@ def user_statistics(orders: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def seller_statistics(orders: DataFrame, as_of: Column) -> DataFrame:
+    """GMV and orders of each seller's last seven days, and the products they have sold; refunds and ratings have no source data."""
+    recent = F.col("event_time") >= ago(as_of, days=7)
+    return orders.filter(F.col("event_time") < as_of).groupBy("seller_id").agg(
+        F.coalesce(F.sum(F.when(recent, F.col("price").cast("decimal(18,2)"))).cast("double"), F.lit(0.0)).alias("gmv_7d"),
+        F.count_distinct(F.when(recent, F.col("order_id"))).alias("order_cnt_7d"), F.count_distinct("product_id").alias("sku_cnt"),
+    )
+
+
+def category_statistics(orders: DataFrame, as_of: Column, share: float = 0.8, buckets: int = 64) -> DataFrame:
+    """Mean price of each category, and how many of its sellers, the largest first, make up so much of its GMV.
+
+    Sellers are summed first. Their running sum has two levels: a category's sellers are dealt into buckets by the logarithm of
+    their GMV, buckets are summed in order, and the running sum inside a bucket starts from those above it; so a category of
+    very many sellers isn't sorted by one task. Views and conversion have no source data.
+    """
+    gmv = F.sum(F.col("price").cast("decimal(18,2)"))
+    sellers = orders.filter(F.col("event_time") < as_of).groupBy("product_category", "seller_id").agg(F.coalesce(gmv, F.lit(0).cast("decimal(28,2)")).alias("gmv"), F.count("price").alias("n"))
+    # larger sums have smaller buckets; equal sums share one
+    bucket = F.greatest(F.lit(0), F.lit(buckets) - F.floor(F.log2(F.greatest(F.col("gmv").cast("double"), F.lit(0.0)) + 1) * 2).cast("int"))
+    sellers = sellers.withColumn("bucket", bucket)
+    sums = sellers.groupBy("product_category", "bucket").agg(F.sum("gmv").alias("sum"))
+    of = Window.partitionBy("product_category")
+    sums = sums.withColumns({"total": F.sum("sum").over(of), "before": F.coalesce(F.sum("sum").over(of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).drop("sum")
+    same = F.col("s.product_category").eqNullSafe(F.col("b.product_category")) & (F.col("s.bucket") == F.col("b.bucket"))
+    placed = sellers.alias("s").join(sums.alias("b"), same).select("s.*", "b.total", "b.before")
+    inside = F.sum("gmv").over(Window.partitionBy("product_category", "bucket").orderBy(F.desc("gmv"), "seller_id").rowsBetween(Window.unboundedPreceding, 0))
+    top = placed.withColumn("above", F.col("before") + inside - F.col("gmv"))
+    return top.groupBy("product_category").agg(ratio(F.sum("gmv").cast("double"), F.sum("n")).alias("avg_price"), F.count_if(F.col("above") < F.lit(share).cast("decimal(4,3)") * F.col("total")).alias("top_seller_cnt"))
+
+
 def registry_overview(history: DataFrame, contracts: DataFrame) -> DataFrame:
     """Features of each group: all, those under contract, and the last update."""
     names = history.groupBy("group_name", "feature_name").agg(F.max("computed_at").alias("t")).join(contracts.select("group_name", "feature_name", F.lit(1).alias("c")), ["group_name", "feature_name"], "left")
