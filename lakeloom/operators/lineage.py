@@ -6,35 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ago, raised, settle
+from .sqltext import effects, visible
 
 
 #: Databases whose tables are no part of lineage.
 SYSTEM = ("system", "information_schema")
-NAME = r"([A-Za-z_]\w*\.[A-Za-z_]\w*)"
 
 
 def statements(log: DataFrame, text: str = "query_sql") -> DataFrame:
-    """One row a statement of the texts, comments taken out."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/", " "), r"--[^\n]*", "")
-    return log.select(F.explode(F.split(plain, ";")).alias("statement")).filter(F.trim("statement") != "")
+    """One row a statement of the distinct texts, comments and strings taken out."""
+    return log.select(text).distinct().select(F.explode(F.split(visible(F.col(text)), ";")).alias("statement")).filter(F.trim("statement") != "")
 
 
-def edges_of_sql(log: DataFrame, text: str = "query_sql") -> DataFrame:
-    """(source, target) of the statements in some texts, names in lower case.
+def edges_of_sql(log: DataFrame, text: str = "query_sql", default: str | None = None) -> DataFrame:
+    """(source, target) of the statements in some texts, names in lower case as database.table.
 
-    What stands behind FROM or JOIN feeds the table that the statement inserts into, and the view or table that it
-    creates; a materialized view feeds the table behind its TO. Only names of database.table count, those of the
-    system apart. Texts may hold comments and several statements.
+    What a statement reads feeds the table that it inserts or merges into, and the view or table that it
+    creates; a materialized view feeds the table behind its TO. Names that a WITH gives aren't tables, nor is what stands in
+    strings and comments; names may be quoted; one without a database is of the default one, or doesn't count if there is none;
+    of one with a catalog the last two parts count. Tables of the system are left out. Texts may hold several statements; null ones hold none.
     """
-    first = lambda pattern: F.lower(F.nullif(F.regexp_extract("statement", rf"(?i)\b{pattern}\s+{NAME}", 1), F.lit("")))
-    kind = lambda what: rf"create\s+(?:or\s+replace\s+)?{what}(?:\s+if\s+not\s+exists)?"
-    rows = statements(log, text).select(
-        F.transform(F.regexp_extract_all("statement", F.lit(rf"(?i)\b(?:from|join)\s+{NAME}"), F.lit(1)), F.lower).alias("sources"),
-        first(r"insert\s+into(?:\s+table)?").alias("filled"), first(kind(r"(?:materialized\s+)?view")).alias("view"), first(kind("table")).alias("made"),
-        F.when(F.col("statement").rlike(rf"(?i)\b{kind('materialized view')}"), first("to")).alias("written"),
-    )
-    created = F.coalesce("view", "made")
-    targets = F.array_distinct(F.array_compact(F.array("filled", created)))
+    home = F.lit(f"{default}.") if default else F.lit(None).cast("string")
+    full = lambda c: F.when(F.instr(c, ".") > 0, F.substring_index(c, ".", -2)).otherwise(F.concat(home, F.translate(c, '"', "")))
+    rows = statements(log, text).select(effects(F.col("statement")).alias("e")).select(F.transform("e.sources", full).alias("sources"), *(full(F.col(f"e.{c}")).alias(c) for c in ("filled", "made", "view", "written")))
+    targets = F.array_distinct(F.array_compact(F.array("filled", F.coalesce("view", "made"))))
     pairs = rows.select(F.explode(targets).alias("target"), "sources").select(F.explode("sources").alias("source"), "target")
     pairs = pairs.unionByName(rows.select(F.col("view").alias("source"), F.col("written").alias("target")))
     ours = lambda c: ~F.substring_index(c, ".", 1).isin(*SYSTEM)

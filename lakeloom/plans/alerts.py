@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import AS_OF, ago, at, worst_first
+from ..functions.columns import AS_OF, ago, at, settle, worst_first
 from ..operators import alerts as R
 from ..operators import layers as L
 from ..operators import lineage as N
@@ -165,7 +165,8 @@ ALERTED = "alerted AS (SELECT alert_id, severity, CASE WHEN CAST(alert_id AS BIG
 
 
 def edges(spark, sf):
-    return N.edges_of_sql(A.query_log(spark, sf))
+    """The edges of the log, found once for all that the query does with them."""
+    return settle(spark, N.edges_of_sql(A.query_log(spark, sf)))
 
 
 @query("L11_lineage_enrichment", sql("alert_events query_log", f", {EDGES}, {ALERTED}, n AS (SELECT source AS t, count(*) AS n FROM edges GROUP BY 1) SELECT alert_id, coalesce(n, 0) AS downstream_cnt, CASE WHEN coalesce(n, 0) >= 3 AND severity = 'P3' THEN 'P2' WHEN coalesce(n, 0) >= 3 AND severity = 'P2' THEN 'P1' ELSE severity END AS severity FROM alerted LEFT JOIN n USING (t)"))

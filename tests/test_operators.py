@@ -341,3 +341,22 @@ def test_closure_of_chains_and_cycles(spark):
     while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
         want |= more
     assert {tuple(x) for x in lineage.closure(pairs(edges)).collect()} == {(a, b) for a, b in want if a != b}
+
+
+def test_edges_of_real_statements(spark):
+    """Names of WITH, subqueries, quotes, strings, comments, functions and names without a database."""
+    cases = {
+        "INSERT INTO dws.a WITH x AS (SELECT * FROM ods.b), y AS (SELECT * FROM x JOIN ods.c USING (id)) SELECT * FROM y, x": {("ods.b", "dws.a"), ("ods.c", "dws.a")},
+        "INSERT INTO a SELECT 'FROM ods.z; it''s', \"FROM\" FROM \"ods\".\"B c\" -- JOIN ods.y\n JOIN `ods`.`d` ON 1 = 1 /* FROM ods.w; */": {("ods.b c", "default.a"), ("ods.d", "default.a")},
+        "CREATE OR REPLACE VIEW v.a AS SELECT * FROM (SELECT * FROM ods.b WHERE id IN (SELECT id FROM ods.c)) q LEFT JOIN LATERAL (SELECT 1 FROM ods.d) ON true": {("ods.b", "v.a"), ("ods.c", "v.a"), ("ods.d", "v.a")},
+        "CREATE TABLE IF NOT EXISTS m.a AS SELECT extract(day FROM t), trim(both 'x' FROM s) FROM ods.b b, ods.c WHERE x IS DISTINCT FROM y GROUP BY a, ods.q": {("ods.b", "m.a"), ("ods.c", "m.a")},
+        "INSERT OVERWRITE TABLE m.a (k, v) SELECT * FROM numbers(10) JOIN cat.ods.b UNION ALL SELECT * FROM ods.c ORDER BY 1, 2": {("ods.b", "m.a"), ("ods.c", "m.a")},
+        "MERGE INTO m.a t USING ods.s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = s.v": {("ods.s", "m.a")},
+        "CREATE MATERIALIZED VIEW mv.a TO m.b AS SELECT * FROM ods.c; INSERT INTO m.d SELECT * FROM m.b": {("ods.c", "mv.a"), ("mv.a", "m.b"), ("m.b", "m.d")},
+        "INSERT INTO m.a SELECT * FROM (WITH x AS (SELECT 1 FROM ods.b) SELECT * FROM x) JOIN x": {("ods.b", "m.a"), ("default.x", "m.a")},
+        "INSERT INTO m.a WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n FROM r JOIN ods.e) SELECT * FROM r": {("ods.e", "m.a")},
+        "SELECT * FROM ods.b; DELETE FROM ods.c; SYSTEM FLUSH LOGS; INSERT INTO m.a SELECT * FROM system.parts": set(),
+    }
+    for sql, want in cases.items():
+        got = {tuple(r) for r in lineage.edges_of_sql(spark.createDataFrame([(sql,), (None,)], "query_sql string"), default="default").collect()}
+        assert got == want, sql
