@@ -10,9 +10,10 @@ node of that depth is a run of equal leaves; its earliest leaf stands for it. Th
 positions whose earliest leaves are consecutive too are one maximal repeat of a passage that stands earlier.
 
 Leaves are told apart by 48 bits of a hash of their window, so each maximal repeat is verified on its words: where
-the repeat is found and where the earlier passage stands, a 128-bit digest of all its words is taken, and a
-repeat whose digests differ is dropped (so a word stays that should go only if a window in a repeat shares its
-48 bits with an earlier, different one of the group). Inside a chunk words themselves are compared.
+the repeat is found and where the earlier passage stands, a 128-bit digest of all its words is taken. Where
+digests differ, a node holds windows of several kinds: all leaves of the passage's nodes are told apart anew, by
+128-bit digests of their words, and each kind keeps its own earliest leaf. There are few such nodes or none, and
+without any that step reads nothing. Inside a chunk words themselves are compared.
 
 What moves: documents are dealt once, by a hash of the id, into chunks of about ``chunk_bytes``; a chunk
 first folds its own repeats, so that a passage, word or copy however frequent sends one leaf a chunk; the
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, shuffle_partitions, text_or_empty, tidied
@@ -333,12 +334,42 @@ def maximal_repeats(params: RepeatParams) -> Callable[[pa.Table, pa.Table], pa.T
     return run
 
 
-def differing(docs: pa.Table, asked: pa.Table) -> pa.Table:
-    """Of the passages of a chunk that repeats were found of those whose words have another digest."""
-    if not asked.num_rows:
-        return asked
-    own = Words(sorted_chunk(docs)[3]).digests(asked.column("of_at").to_pylist(), asked.column("n").to_pylist())
-    return asked.filter(pa.array([x != y for x, y in zip(own, asked.column("digest").to_pylist())], pa.bool_()))
+def doubtful_nodes(params: RepeatParams, prefixes: Prefixes) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(group, print) of the windows of a chunk's passages whose words have another digest than the repeat found of them."""
+    mask = np.uint64(2 ** (8 * params.print_bytes) - 1)
+
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        group = prints = np.zeros(0, dtype=np.int64)
+        if asked.num_rows:
+            words = Words(sorted_chunk(docs)[3])
+            passages = list(zip(asked.column("of_at").to_pylist(), asked.column("n").to_pylist()))
+            own = words.digests(*map(list, zip(*passages)))
+            wrong = [np.arange(at, at + n - params.window + 1) for (at, n), x, y in zip(passages, own, asked.column("digest").to_pylist()) if x != y]
+            if wrong:
+                starts = np.unique(np.concatenate(wrong))
+                levels = list(words.prefixes(params.window))
+                group, prints = prefixes.groups_of(levels, starts, params.window), (levels[-1][1][starts] & mask).view(np.int64)
+        return pa.table({"group": pa.array(group, pa.int64()), "print": pa.array(prints, pa.int64())})
+
+    return run
+
+
+def leaves_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Of packed leaves (chunk, leaves, prints) those with one of the prints."""
+    for batch in batches:
+        for chunk, leaves, wanted in zip(*(batch.column(k) for k in range(3))):
+            prints, ids, positions = unpack(leaves.as_py())
+            hit = np.isin(prints.view(np.int64), wanted.values.to_numpy())
+            yield {"chunk": np.full(hit.sum(), chunk.as_py()), "id": ids[hit], "at": positions[hit]}
+
+
+def window_digests(params: RepeatParams) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        at = asked.column("at").to_pylist()
+        digests = Words(sorted_chunk(docs)[3]).digests(at, [params.window] * len(at)) if at else []
+        return pa.table({c: asked.column(c) for c in ("chunk", "id", "at")} | {"digest": pa.array(digests, pa.binary())})
+
+    return run
 
 
 def cut_chunk(params: RepeatParams, spans: bool, texts_too: bool, carry: tuple[str, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -349,11 +380,10 @@ def cut_chunk(params: RepeatParams, spans: bool, texts_too: bool, carry: tuple[s
         *_, (_, prints) = words.prefixes(params.window)
         _, later, first = first_and_later(prints[starts], starts)
         same = words.same(later, first, params.window)
-        far = replies(found)[0]
-        for at, n in zip(found.column("at").to_pylist(), found.column("n").to_pylist()):
-            if at is not None:  # a repeat whose words differ
-                far = far[(far < at) | (far > at + n - params.window)]
-        begin = np.unique(np.concatenate([later[same], far]).astype(np.int64))
+        judged = found.select(["at", "repeats"]).drop_null()  # leaves of nodes that hold windows of several kinds
+        at = judged.column("at").to_numpy()
+        far = np.setdiff1d(replies(found)[0], at)
+        begin = np.unique(np.concatenate([later[same], far, at[judged.column("repeats").to_numpy()]]).astype(np.int64))
         marks = np.zeros(words.n + 1, dtype=np.int32)
         np.add.at(marks, begin, 1)
         np.add.at(marks, begin + params.window, -1)
@@ -393,17 +423,21 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), *, sp
     prefixes = Prefixes.of(counts, suffixes, params)
     parts = max(shuffle_partitions(docs.sparkSession), -(-size // params.task_bytes))
     dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(chunks))).repartition(parts, "chunk")
+    # neither chunk nor group is ever null: said here, joins below don't say it and find the exchanges there are
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(chunks))).filter("chunk IS NOT NULL").repartition(parts, "chunk")
     of_chunk = dealt.groupBy("chunk")
-    leaves = of_chunk.applyInArrow(tidied(chunk_leaves(params, prefixes)), "group long, chunk long, leaves binary").repartition(parts, "group")
+    leaves = of_chunk.applyInArrow(tidied(chunk_leaves(params, prefixes)), "group long, chunk long, leaves binary").filter("group IS NOT NULL").repartition(parts, "group")
     found = leaves.groupBy("group").applyInArrow(tidied(repeated_leaves), "chunk long, found binary").repartition(parts, "chunk")
     repeats = of_chunk.cogroup(found.groupBy("chunk")).applyInArrow(tidied(maximal_repeats(params)), "chunk long, at long, of_chunk long, of_at long, n long, digest binary").repartition(parts, "of_chunk")
-    passage = ["of_chunk", "of_at", "n", "digest"]
-    asked = repeats.select(passage).distinct()  # a passage repeated in very many chunks is asked for once
-    wrong = of_chunk.cogroup(asked.groupBy("of_chunk")).applyInArrow(tidied(differing), "of_chunk long, of_at long, n long, digest binary")
-    wrong = repeats.join(wrong, passage, "left_semi").select("chunk", F.lit(None).cast("binary").alias("found"), "at", "n")
-    none = F.lit(None).cast("long")
-    replies_ = found.withColumns({"at": none, "n": none}).unionByName(wrong).repartition(parts, "chunk")
+    asked = repeats.select("of_chunk", "of_at", "n", "digest").distinct()  # a passage repeated in very many chunks is asked for once
+    doubtful = of_chunk.cogroup(asked.groupBy("of_chunk")).applyInArrow(tidied(doubtful_nodes(params, prefixes)), "group long, print long")
+    several = leaves.join(doubtful.groupBy("group").agg(F.collect_set("print").alias("prints")), "group").select("chunk", "leaves", "prints")
+    several = map_batches(several, leaves_of_nodes, "chunk long, id long, at long").repartition(parts, "chunk")
+    their = dealt.join(several.select("chunk").distinct(), "chunk").groupBy("chunk").cogroup(several.groupBy("chunk"))
+    kinds = their.applyInArrow(tidied(window_digests(params)), "chunk long, id long, at long, digest binary")
+    # a kind has one leaf a chunk, and the rows of an id lie in one chunk
+    judged = kinds.select("chunk", "at", (F.col("id") > F.min("id").over(Window.partitionBy("digest"))).alias("repeats"))
+    replies_ = found.unionByName(judged, allowMissingColumns=True).repartition(parts, "chunk")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + ", removed_spans array<struct<start: long, end: long>>" * spans
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return of_chunk.cogroup(replies_.groupBy("chunk")).applyInArrow(tidied(cut_chunk(params, spans, texts, carry)), schema)
