@@ -2,8 +2,9 @@
 
 Labels and feature rows are united and ordered by time inside (entity, time bucket); a running ``last`` gives
 each label the latest value at or before its time. What the bucket itself lacks is carried over from earlier
-buckets, by a window over one row for each (entity, bucket). Rows without a key or a time find nothing: those of the
-features are left out, and labels are spread over buckets of their own.
+buckets, by a window over one row for each (entity, bucket). Both read one exchange, so labels and features are scanned
+and moved once. Rows without a key or a time find nothing: those of the features are left out, and labels are
+spread over buckets of their own.
 """
 
 from __future__ import annotations
@@ -22,24 +23,26 @@ def asof_join(
     values: expressions over right, null where a row has no such value. Ties in time go to the greatest
     ``tie``. Rows of left are kept as they are, repeated ones too; null keys or times match nothing.
     """
-    bucket = lambda t: F.floor(F.unix_timestamp(t) / bucket_seconds)
-    names = list(values)
     known = lambda time: reduce(Column.__and__, (F.col(c).isNotNull() for c in (*keys, time)))
+    # neither the struct of the keys nor the bucket is ever null, so the join below filters neither of its sides anew
+    bucket = lambda t, other: F.coalesce(F.floor(F.unix_timestamp(t) / bucket_seconds), other).alias("_b")
+    key = F.struct(*keys).alias("_key")
+    names = list(values)
     r = right.filter(known(right_time)).select(
-        *keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"),
+        key, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), bucket(right_time, F.lit(0)),
         *(F.when(v.isNotNull(), F.struct(F.col(right_time).alias("time"), v.alias("value"))).alias(f"_v{n}") for n, v in enumerate(values.values())),
-    ).withColumn("_b", bucket("_t"))
+    )
     hashed = [c for c, kind in left.dtypes if "map<" not in kind]
     apart = F.lit(-(2**40)) - F.pmod(F.xxhash64(*hashed), F.lit(4096))  # no bucket of a time
-    l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.when(known(left_time), bucket(left_time)).otherwise(apart).alias("_b"))  # noqa: E741
-    both = l.unionByName(r, allowMissingColumns=True)
-    run = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    l = left.select(key, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), bucket(F.when(known(left_time), F.col(left_time)), apart))  # noqa: E741
+    both = l.unionByName(r, allowMissingColumns=True).repartition("_key", "_b")
+    run = Window.partitionBy("_key", "_b").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumns({f"_v{n}": F.last(f"_v{n}", ignorenulls=True).over(run) for n in range(len(names))}).filter("_side = 1")
     # buckets of labels count too, though they add no value: what earlier ones hold is carried to each of them
-    latest = both.filter(F.col("_b") > -(2**39)).groupBy(*keys, "_b").agg(*(F.max_by(f"_v{n}", F.when(F.col(f"_v{n}").isNotNull(), F.struct("_t", "_tie"))).alias(f"_v{n}") for n in range(len(names))))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = latest.select(*keys, "_b", *(F.last(f"_v{n}", ignorenulls=True).over(before).alias(f"_c{n}") for n in range(len(names))))
-    out = seen.join(carried, [*keys, "_b"], "left")
+    latest = both.groupBy("_key", "_b").agg(F.count("_row").alias("_labels"), *(F.max_by(f"_v{n}", F.when(F.col(f"_v{n}").isNotNull(), F.struct("_side", "_t", "_tie"))).alias(f"_v{n}") for n in range(len(names))))
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = latest.select("_key", "_b", "_labels", *(F.last(f"_v{n}", ignorenulls=True).over(before).alias(f"_c{n}") for n in range(len(names)))).filter("_labels > 0").drop("_labels")
+    out = seen.join(carried, ["_key", "_b"], "left")
     return out.select("_row.*", *(F.coalesce(f"_v{n}", f"_c{n}").alias(name) for n, name in enumerate(names)))
 
 

@@ -224,6 +224,21 @@ def test_point_in_time(spark):
     assert sorted((r.f or 0) for r in ttl) == [0, 3.0]
 
 
+def test_asof_reads_each_side_once(spark, sf):
+    found = asof.point_in_time(A.feature_labels(spark, sf), A.feature_history(spark, sf), ["amount", "items"])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 2 and plan.count("ReusedExchange") == 1
+
+
+def test_asof_null_keys_and_times(spark):
+    """A null in one of two keys finds nothing, not even a feature row that has it too; nor does a label without a time."""
+    left = spark.sql("SELECT * FROM VALUES (1, 'a', TIMESTAMP '2024-03-01', 1), (1, null, TIMESTAMP '2024-03-01', 2), (1, 'a', null, 3), (null, null, null, 4), (1, 'a', TIMESTAMP '2024-03-01', 1) AS t(k, m, at, n)")
+    right = spark.sql("SELECT * FROM VALUES (1, 'a', TIMESTAMP '2024-01-01', 5.0D, 1), (1, 'a', TIMESTAMP '2024-01-01', 6.0D, 2), (1, null, TIMESTAMP '2024-01-01', 7.0D, 3), (1, 'a', null, 8.0D, 4) AS t(k, m, since, x, v)")
+    got = asof.asof_join(left, right, ["k", "m"], "at", "since", {"x": F.col("x")}, "v").select("n", "x.value").collect()
+    assert sorted((r.n, r.value) for r in got) == [(1, 6.0), (1, 6.0), (2, None), (3, None), (4, None)]
+
+
 def test_no_value_from_the_future(spark, sf):
     found = asof.asof_join(A.feature_labels(spark, sf), A.feature_history(spark, sf), ["entity_id"], "event_time", "feature_time", {"x": F.col("feature_value")}, "version", bucket_seconds=3600)
     assert found.count() == A.feature_labels(spark, sf).count()
