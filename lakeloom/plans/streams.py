@@ -429,12 +429,23 @@ def s12(spark, sf):
     return storage.read_where(spark, f"{sf}/lineitem.parquet", "l_shipdate < TIMESTAMP '1996-01-01' AND l_quantity > 40")
 
 
-@query("S13_generated_orders")
+def generated_sql() -> str:
+    who, sale = (lambda field, n, salt=salt: storage.drawn_sql("event_id", 7, salt, field, n) for salt in ("who", "sale"))
+    paid = lambda field, n: storage.drawn_sql("order_id", 7, "paid", field, n)
+    return f"""SELECT *, {storage.PAYMENT_TYPES}[{paid(0, len(storage.PAYMENT_TYPES))} + 1] AS payment_type, price + freight_value AS payment_value, CAST({paid(1, 12)} + 1 AS INT) AS installments, event_time + to_seconds({paid(2, 300)}) AS paid_time FROM (
+        SELECT *, {rounded_sql("price * 0.1::DOUBLE", 2)} AS freight_value FROM (
+        SELECT 'O' || format('{{:012X}}', event_id) AS order_id, 'PAY' || format('{{:012X}}', event_id) AS payment_id, 'C' || format('{{:05}}', {who(0, 100_000)}) AS customer_id, 'P' || format('{{:06}}', {who(1, 1_000_000)}) AS product_id,
+            {storage.CATEGORIES}[{who(2, len(storage.CATEGORIES))} + 1] AS product_category, 'S' || format('{{:04}}', {who(3, 10_000)}) AS seller_id, ({sale(0, 100_000)} + 100)::DOUBLE / 100 AS price,
+            CASE WHEN {sale(1, 100)} < 8 THEN 'canceled' WHEN {sale(1, 100)} < 80 THEN 'delivered' ELSE 'shipped' END AS order_status, CAST({sale(2, 27)} AS VARCHAR) AS state,
+            TIMESTAMP '2023-01-01' + to_seconds({sale(3, 730 * 86_400)}) AS event_time, event_id // 50000000 AS _batch_id FROM events))"""
+
+
+@query("S13_generated_orders", generated_sql())
 def s13(spark, sf):
-    """Synthetic rows, one for each given event."""
+    """Synthetic orders with their payments, one for each given event."""
     ids = A.table(spark, sf, "events").select(F.col("event_id").alias("id"))
     o, p = storage.generated_orders(ids, 7, dt.datetime(2023, 1, 1)), storage.generated_payments(ids, 7, dt.datetime(2023, 1, 1))
-    return o.join(p.select("payment_id", "order_id", "payment_type", "payment_value"), "order_id")
+    return o.join(p.withColumnRenamed("event_time", "paid_time"), "order_id")
 
 
 @query("S14_missing_batches", sql("order_stream", "SELECT order_id, _kafka_offset // 1000 AS _batch_id FROM order_stream WHERE _kafka_offset // 1000 % 2 = 1"))
@@ -443,11 +454,30 @@ def s14(spark, sf):
     return storage.missing_batches(rows, rows.filter("_batch_id % 2 = 0"))
 
 
-@query("K1_chunks")
+def chunks_sql(text: str) -> str:
+    """Paragraphs folded from the left: what is held, and the chunks that are done."""
+    blank, white = "chr(10) || chr(10)", "E' \\t\\n\\x0b\\f\\r'"
+    some = lambda x: f"list_filter([{x}], lambda y: y <> '')"
+    return f"""SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS chunk_no, unnest(parts) AS chunk FROM (SELECT doc_id, r.done || {some("r.held")} AS parts FROM (
+        SELECT doc_id, list_reduce(list_transform(paragraphs, lambda x: {{'held': x, 'done': []::VARCHAR[]}}), lambda a, x: CASE
+            WHEN length(a.held) + length(x.held) <= 400 THEN {{'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || {blank} || x.held END, 'done': a.done}}
+            WHEN length(x.held) > 400 THEN {{'held': '', 'done': a.done || {some("a.held")} || list_filter(list_transform(range(0, length(x.held), 320), lambda b: substr(x.held, b + 1, 400)), lambda y: trim(y, {white}) <> '')}}
+            ELSE {{'held': trim("right"(a.held, 80) || {blank} || x.held, {white}), 'done': a.done || {some("a.held")}}} END, {{'held': '', 'done': []::VARCHAR[]}}) AS r
+        FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({text}, '\\n\\s*\\n'), lambda x: trim(x, {white})), lambda x: x <> '') AS paragraphs FROM documents WHERE {text} IS NOT NULL)))"""
+
+
+@query("K1_chunks", chunks_sql("text"))
 def k1(spark, sf):
     return T.chunks(A.table(spark, sf, "documents"), "doc_id", "text")
 
 
+@query("K1_packed_paragraphs", chunks_sql("regexp_replace(text, '([.!?]) ', '\\1' || chr(10) || chr(10), 'g')"))
+def k1_packed(spark, sf):
+    """Each sentence is a paragraph, so that chunks hold several and overlap."""
+    docs = A.table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", "([.!?]) ", "$1\n\n"))
+    return T.chunks(docs, "doc_id", "text")
+
+
 @query("K2_cosine_top_k", f"""SELECT query_id, CAST(rank AS INT) AS rank, vec_id, {rounded_sql('distance', 6)} AS distance FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
         SELECT q.vec_id AS query_id, r.vec_id, 1.0 - list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 3""")

@@ -69,25 +69,40 @@ def append_once(spark: SparkSession, batch: DataFrame, path: str) -> int:
 CATEGORIES = "electronics fashion home beauty sports toys books garden".split()
 
 
+def drawn(key: str, seed: int, salt: str, field: int, n: int) -> Column:
+    """A number under n for each key: the field-th 32 bits (from 0 to 3) of a digest of key, seed and salt, modulo n."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(salt)).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1 + 8 * field, 8), 16, 10).cast("long"), F.lit(n))
+
+
+def drawn_sql(key: str, seed: int, salt: str, field: int, n: int) -> str:
+    return f"(CAST('0x' || substr(md5({key} || ':{seed}:{salt}'), {1 + 8 * field}, 8) AS BIGINT) % {n})"
+
+
+#: How payments are made.
+PAYMENT_TYPES = "credit_card boleto voucher debit_card".split()
+
+
 def generated_orders(ids: DataFrame, seed: int, start: dt.datetime, days: int = 730, per_batch: int = 50_000_000) -> DataFrame:
-    """Synthetic orders of a column ``id``: every field is a hash of (id, seed), so reruns agree and parts can be made anywhere."""
-    h = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(n))
-    pick = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), (h(salt, len(values)) + 1).cast("int"))
-    price = (h("price", 100_000) + 100) / 100
+    """Synthetic orders of a column ``id``: every field is drawn from a digest of (id, seed), so reruns agree, in any
+    engine that has MD5, and parts can be made anywhere."""
+    who, sale = (lambda field, n, salt=salt: drawn("id", seed, salt, field, n) for salt in ("who", "sale"))
+    pick = lambda values, at_: F.element_at(F.array(*map(F.lit, values)), (at_ + 1).cast("int"))
+    price, status = (sale(0, 100_000) + 100) / 100, sale(1, 100)
     return ids.select(
-        F.concat(F.lit("O"), F.lpad(F.hex("id"), 12, "0")).alias("order_id"), F.concat(F.lit("C"), F.lpad(h("customer", 100_000).cast("string"), 5, "0")).alias("customer_id"),
-        F.concat(F.lit("P"), F.lpad(h("product", 1_000_000).cast("string"), 6, "0")).alias("product_id"), pick("category", CATEGORIES).alias("product_category"),
-        F.concat(F.lit("S"), F.lpad(h("seller", 10_000).cast("string"), 4, "0")).alias("seller_id"), price.alias("price"), rounded(price * 0.1, 2).alias("freight_value"),
-        F.when(h("status", 100) < 8, "canceled").when(h("status", 100) < 80, "delivered").otherwise("shipped").alias("order_status"), h("state", 27).cast("string").alias("state"),
-        F.timestamp_add("SECOND", h("time", days * 86_400).cast("int"), at(start)).alias("event_time"), F.floor(F.col("id") / per_batch).alias("_batch_id"),
+        F.concat(F.lit("O"), F.lpad(F.hex("id"), 12, "0")).alias("order_id"), F.concat(F.lit("C"), F.lpad(who(0, 100_000).cast("string"), 5, "0")).alias("customer_id"),
+        F.concat(F.lit("P"), F.lpad(who(1, 1_000_000).cast("string"), 6, "0")).alias("product_id"), pick(CATEGORIES, who(2, len(CATEGORIES))).alias("product_category"),
+        F.concat(F.lit("S"), F.lpad(who(3, 10_000).cast("string"), 4, "0")).alias("seller_id"), price.alias("price"), rounded(price * 0.1, 2).alias("freight_value"),
+        F.when(status < 8, "canceled").when(status < 80, "delivered").otherwise("shipped").alias("order_status"), sale(2, 27).cast("string").alias("state"),
+        F.timestamp_add("SECOND", sale(3, days * 86_400).cast("int"), at(start)).alias("event_time"), F.floor(F.col("id") / per_batch).alias("_batch_id"),
     )
 
 
 def generated_payments(ids: DataFrame, seed: int, start: dt.datetime, days: int = 730) -> DataFrame:
     """One payment for each generated order, from the same ids, so that the two join."""
     o = generated_orders(ids.select("id"), seed, start, days)
-    n = F.xxhash64("order_id", F.lit(seed))
+    paid = lambda field, n: drawn("order_id", seed, "paid", field, n)
     return o.select(
-        F.concat(F.lit("PAY"), F.substring("order_id", 2, 12)).alias("payment_id"), "order_id", F.element_at(F.array(*map(F.lit, ["credit_card", "boleto", "voucher", "debit_card"])), (F.pmod(n, F.lit(4)) + 1).cast("int")).alias("payment_type"),
-        (F.col("price") + F.col("freight_value")).alias("payment_value"), (F.pmod(n, F.lit(12)) + 1).cast("int").alias("installments"), F.timestamp_add("SECOND", F.pmod(n, F.lit(300)).cast("int"), F.col("event_time")).alias("event_time"),
+        F.concat(F.lit("PAY"), F.substring("order_id", 2, 12)).alias("payment_id"), "order_id", F.element_at(F.array(*map(F.lit, PAYMENT_TYPES)), (paid(0, len(PAYMENT_TYPES)) + 1).cast("int")).alias("payment_type"),
+        (F.col("price") + F.col("freight_value")).alias("payment_value"), (paid(1, 12) + 1).cast("int").alias("installments"), F.timestamp_add("SECOND", paid(2, 300).cast("int"), F.col("event_time")).alias("event_time"),
     )

@@ -51,3 +51,16 @@ def test_sql_twin(spark, sf, name):
 def test_runs(spark, sf, name):
     df = plans.QUERIES[name](spark, sf)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_chunks_of_mixed_paragraphs(spark, tmp_path):
+    """Null, empty and blank texts, paragraphs under, at and over the size, and repeated rows, against the twin's fold."""
+    a, b = "word " * 30, "x" * 400
+    texts = [None, "", " \n\n \n\n", "one", "a\n\nb\n \t\nc", f"{a}\n\n{a}\n\n{a}\n\nend", f"{b}\n\n{b}", f"short\n\n{b}y\n\nend", f"{b}{b}{b}\n\n{a}\n\n{a}", f"{'z' * 399}\n\n1\n\n2", f"{' ' * 500}é{'ü' * 900}", f"{a}\n\n{a}\n\n{a}\n\nend"]
+    rows = [(k % 11, t) for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO d VALUES (?, ?)", rows)
+    con.execute(f"COPY d TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    for name in ("K1_chunks", "K1_packed_paragraphs"):
+        assert differences(plans.QUERIES[name](spark, str(tmp_path)), plans.ORACLE[name], str(tmp_path)) == []
