@@ -2,7 +2,7 @@
 
 Records get a key (a hash of the text, then the id), so that equal texts are neighbours. A size-weighted
 sample of the keys gives quantile boundaries; records are range-partitioned by them, and a range that turns
-out overfull draws a denser sample of its own and is cut again. Inside its range each record then knows how
+out overfull draws a denser sample of its own and is cut again, all such ranges in one job. Inside its range each record then knows how
 many bytes stand before it in key order, and the shard is cut from that: shards differ by one record's
 bytes at most, whatever the sample was, so reruns agree.
 
@@ -13,8 +13,6 @@ and id are one record with a count until their slots are dealt out, in blocks. T
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +26,29 @@ def text_key(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def sample_splitters(keys: DataFrame, parts: int, total: int, per_part: int) -> list[tuple[int, int]]:
-    """Quantile boundaries that cut keys (key, id, size) into ranges of about equal size.
+def sample_splitters(ranged: DataFrame, rows: int, total: int, parts: int, per_part: int) -> list[tuple[int, int]]:
+    """Quantile boundaries inside each overfull range of ranged (key, id, size, r), of all of them in one job.
 
-    A record enters the sample with a probability in proportion to its size (surely, if that passes 1), by
-    a hash and so alike in each run; ``parts * per_part`` records are expected.
+    A range is overfull with over twice its share of the records or of the bytes; it asks for twice as many pieces as it
+    has shares, ``parts`` at most. A record weighs its size and the mean size of its range, so that many light records
+    beside a giant are drawn too. It enters the sample with a probability in proportion to its weight (surely,
+    if that passes 1), by a hash and so alike in each run; ``per_part`` records a piece are expected. Behind a record
+    of several pieces' weight there is a boundary as well as before it.
     """
-    if parts < 2 or total <= 0:
-        return []
-    rate = F.least(F.lit(1.0), F.col("size") * F.lit(parts * per_part / total))
+    sizes = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("keys"))
+    over = F.greatest(F.col("keys") * parts / max(rows, 1), F.col("bytes") * parts / max(total, 1))
+    full = sizes.filter("keys > 1").withColumn("over", over).filter("over > 2").select("r", "bytes", (F.col("bytes") / F.col("keys")).alias("mean"), F.least(F.lit(parts), F.ceil(2 * F.col("over"))).alias("pieces"))
+    weight = F.col("size") + F.col("mean")
+    rate = F.least(F.lit(1.0), weight * F.col("pieces") * F.lit(float(per_part)) / (2 * F.col("bytes")))
     draw = F.pmod(F.xxhash64("key", "id"), F.lit(2**52)) / F.lit(float(2**52))
-    rows = keys.withColumn("rate", rate).filter(draw < F.col("rate")).select("key", "id", (F.col("size") / F.col("rate")).alias("w")).collect()
-    rows.sort(key=lambda r: (r.key, r.id))
-    step, reached, out = sum(r.w for r in rows) / parts, 0.0, []
-    for r in rows:
-        reached += r.w
-        if reached >= step * (len(out) + 1) and len(out) < parts - 1:
-            out += [(r.key, r.id)] * (not out or out[-1] < (r.key, r.id))
-    return out
+    sample = ranged.join(F.broadcast(full), "r").withColumn("rate", rate).filter(draw < F.col("rate")).withColumn("w", weight / F.col("rate"))  # a row a range
+    whole = Window.partitionBy("r")
+    order = whole.orderBy("key", "id")
+    reached = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    quantile = lambda x: F.least(F.col("pieces") - 1, F.floor(x * F.col("pieces") / F.sum("w").over(whole)))
+    passed = sample.withColumn("passed", quantile(reached) - quantile(reached - F.col("w")))
+    cut = passed.withColumn("cut", (F.col("passed") > 0) | (F.lag("passed", 1, 0).over(order) > 1)).filter("cut")
+    return [(x.key, x.id) for x in cut.select("key", "id").distinct().collect()]
 
 
 def range_of(splitters: list[tuple[int, int]]) -> Column:
@@ -66,17 +69,13 @@ def range_of(splitters: list[tuple[int, int]]) -> Column:
 def cut_ranges(keys: DataFrame, rows: int, total: int, *, min_ranges: int, rows_per_range: int, max_ranges: int, per_part: int) -> tuple[DataFrame, DataFrame]:
     """keys with their range ``r``, and (r, bytes_before, rows_before) for each range.
 
-    A range with over twice its share of records or of bytes is cut again, as long as that gives new boundaries: what
-    it ends with are single keys. Where they fall changes how even the work is, not the result.
+    At first all keys are one range. Overfull ranges are cut again, all in one pass over the keys, as long as that gives
+    new boundaries: what they end with are single keys. Where they fall changes how even the work is, not the result.
     """
     parts = min(max_ranges, max(min_ranges, -(-rows // rows_per_range)))
-    splitters = sample_splitters(keys, parts, total, per_part)
+    splitters: list[tuple[int, int]] = []
     while parts > 1:
-        ranged = keys.withColumn("r", range_of(splitters))
-        sizes = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("keys")).collect()  # a row a range
-        over = lambda x: max(x.keys * parts / rows, x.bytes * parts / max(total, 1))
-        full = [x for x in sizes if x.keys > 1 and over(x) > 2]
-        more = {y for x in full for y in sample_splitters(ranged.filter(F.col("r") == x.r), math.ceil(2 * over(x)), x.bytes, per_part)}
+        more = set(sample_splitters(keys.withColumn("r", range_of(splitters)), rows, total, parts, per_part))
         if len(splitters) + len(more) > 2 * max_ranges or not more - set(splitters):
             break
         splitters = sorted({*splitters, *more})

@@ -126,6 +126,18 @@ def test_sharding_hot_text(spark):
     assert len(per) == 40 and max(r.b for r in per) - min(r.b for r in per) <= 2 * 29
 
 
+def test_ranges_beside_a_giant_and_a_hot_key(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"), "id", (F.col("id") % 997 + 16).alias("size"), F.lit(1).alias("n"))
+    giant = keys.withColumn("size", F.when(F.col("id") == 7, F.lit(10**12)).otherwise(F.col("size")))
+    hot = keys.withColumn("key", F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("key")).cast("long"))
+    for table in (keys, giant, hot):
+        total = table.agg(F.sum("size")).first()[0]
+        ranged, bases = sharding.cut_ranges(table, 20_000, total, min_ranges=40, rows_per_range=2_000_000, max_ranges=8192, per_part=64)
+        sizes = ranged.groupBy("r").agg(F.count("*").alias("keys"), F.sum("size").alias("bytes")).collect()
+        assert all(x["keys"] == 1 or x["keys"] <= 2 * 500 and x["bytes"] <= 2 * total / 40 for x in sizes)
+        assert bases.count() == len(sizes) <= 200
+
+
 def test_sharding_of_equal_rows_and_long_texts(spark):
     """A third of all rows are one row; some texts hold most bytes: shards stay near equal and slots gapless."""
     rows = [(7, "the same row")] * 4000 + [(k, f"t{k}") for k in range(6000)] + [(10_000 + k, "long " * 2000) for k in range(20)]
