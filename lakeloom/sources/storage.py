@@ -55,13 +55,20 @@ def missing_batches(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def append_once(spark: SparkSession, batch: DataFrame, path: str) -> int:
-    """Appends what is missing, partitioned by _batch_id; gives the number of rows."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    """Loads the batches that aren't loaded yet, each as its own partition; gives the number of their rows.
+
+    A batch is loaded once its id stands in the table ``path + ".loaded"``, which is written last: what a failed run left of
+    a batch is replaced as a whole by the next. Rows without a batch id share a partition, which every run replaces.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.loaded")
     known = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    new = missing_batches(batch, spark.read.parquet(path)) if known else batch
-    n = new.count()
+    new = missing_batches(batch, spark.read.parquet(f"{path}.loaded")) if known else batch
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id").parquet(path)
+    counts = new.groupBy("_batch_id").agg(F.count("*").alias("rows")).persist()
+    n = counts.agg(F.sum("rows")).first()[0] or 0
     if n:
-        new.write.mode("append").partitionBy("_batch_id").parquet(path)
+        counts.write.mode("append").parquet(f"{path}.loaded")
+    counts.unpersist()
     return n
 
 

@@ -299,6 +299,12 @@ def test_storage(spark, tmp_path, sf):
     assert spark.read.parquet(path + "c").exceptAll(orders).count() == 0
     batch = orders.withColumn("_batch_id", F.lit(1))
     assert storage.append_once(spark, batch, path + "b") == orders.count() and storage.append_once(spark, batch, path + "b") == 0
+    halves = orders.withColumn("_batch_id", F.when(F.col("price") < 100, 1).otherwise(2))
+    halves.filter("price < 50").write.partitionBy("_batch_id").parquet(path + "d")  # a run that failed inside its first batch
+    assert storage.append_once(spark, halves.filter("_batch_id = 1"), path + "d") == halves.filter("_batch_id = 1").count()
+    assert storage.append_once(spark, halves, path + "d") == halves.filter("_batch_id = 2").count()
+    again = spark.read.parquet(path + "d").select(*halves.columns)
+    assert again.exceptAll(halves).count() == 0 and again.count() == halves.count()
     g = storage.generated_orders(spark.range(1000), 3, T0)
     assert g.exceptAll(storage.generated_orders(spark.range(1000).repartition(7), 3, T0)).count() == 0
     assert g.join(storage.generated_payments(spark.range(1000), 3, T0), "order_id").count() == 1000
