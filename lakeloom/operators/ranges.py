@@ -44,16 +44,32 @@ def blocks(ranges: DataFrame, start: str = "start", end: str = "end") -> DataFra
     return ranges.filter(inside).withColumn("_b", F.explode(F.concat(*found))).select(*ranges.columns, F.col("_b.level").alias("level"), F.col("_b.block").alias("block"))
 
 
+def covers(ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """The ranges with level and block: at most two rows each, the blocks that a range touches at its level.
+
+    A level is the bits of a block's size, the least that a range's length doesn't pass, so a block holds more than a range only
+    within a few of its lengths: who looks a number up still has to compare it with both ends. The same ranges as in ``blocks`` cover nothing.
+    """
+    n = F.col(end).cast("long") - F.col(start)
+    inside = (F.col(start) <= F.col(end)) & (F.col(start) >= 0) & (F.col(end) < 1 << 32)
+    leveled = ranges.filter(inside).withColumn("level", F.when(n == 0, 0).otherwise(F.length(F.bin(n))))
+    touched = F.expr(f"sequence(shiftright(cast(`{start}` AS long), level), shiftright(cast(`{end}` AS long), level))")
+    return leveled.withColumn("block", F.explode(touched)).select(*ranges.columns, "level", "block")
+
+
 def enclosing(rows: DataFrame, number: Column, ranges: DataFrame, value: str, start: str = "start", end: str = "end") -> DataFrame:
     """Rows with the value of the smallest range that holds their number (ties: least start, then value), null if none does.
 
-    Distinct numbers look their blocks up, one key a level; what they found is joined to the rows. Ranges may be nested and
-    overlap. Which side is broadcast, if any, is left to Spark's check of sizes; a hot block is split by its numbers, which
-    are distinct, or by Spark's handling of skew.
+    Distinct numbers look their blocks up, one key for each level that some range has (33 at most); what they found is joined to the rows. Ranges may be
+    nested and overlap; equal ones are one. Both sides of the lookup are shuffled: Spark takes ranges with their blocks for as small as the
+    table they come from, and would broadcast millions. A hot block is split by Spark's handling of skew.
     """
     keyed = rows.withColumn("_number", number)
-    keys = F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright("_number", 32 - n).alias("block")) for n in LEVELS))
-    asked = keyed.select("_number").filter("_number IS NOT NULL").distinct().select("_number", F.inline(keys))
-    found = asked.join(blocks(ranges.select(F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(value).alias("_value")), "_start", "_end"), ["level", "block"])
+    named = ranges.select(F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end"), F.col(value).alias("_value"))
+    covered = covers(named.groupBy("_start", "_end").agg(F.min("_value").alias("_value")), "_start", "_end")
+    levels = covered.agg(F.collect_set("level").alias("_levels"))  # one row
+    keys = F.expr("transform(_levels, s -> struct(s AS level, shiftright(_number, s) AS block))")
+    asked = keyed.select(F.col("_number").cast("long").alias("_number")).filter("_number IS NOT NULL").distinct().crossJoin(F.broadcast(levels)).select("_number", F.inline(keys))
+    found = asked.join(covered.hint("merge"), ["level", "block"]).filter("_number BETWEEN _start AND _end")
     best = found.groupBy("_number").agg(F.min_by("_value", F.struct(F.col("_end") - F.col("_start"), "_start", "_value")).alias(value))
     return keyed.join(best, "_number", "left").drop("_number")

@@ -47,6 +47,27 @@ def test_enclosing_is_the_smallest(spark):
     assert ranges.enclosing(df, F.col("n"), spark.createDataFrame([], "region string, start long, end long"), "region").filter("region IS NULL").count() == len(asked)
 
 
+def test_covers_are_few(spark):
+    """Two rows a range at most, whatever its ends, and each number of a range finds it by one block; the lookup broadcasts no ranges."""
+    r, top = random.Random(5), (1 << 32) - 1
+    given = [(0, top), (5, 5), (0, 255), (255, 256), (1, top), (top, top), (9, 3), (None, 4), (-1, 3), (0, top + 1), (8003, 20_000)]
+    given += [(s := r.randrange(top - (1 << 24)), s + r.randrange(1 << r.randrange(1, 24))) for _ in range(60)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(given)], "k int, start long, end long")
+    found: dict = {}
+    for c in ranges.covers(df).collect():
+        found.setdefault(c.k, []).append((c.level, c.block))
+    for k, (start, end) in enumerate(given):
+        if start is None or not 0 <= start <= end <= top:
+            assert k not in found
+            continue
+        assert len(found[k]) <= 2 and 1 << found[k][0][0] < 2 * (end - start + 1)
+        for n in (start, (start + end) // 2, end):
+            assert sum(n >> level == block for level, block in found[k]) == 1
+    asked = spark.range(1000).withColumn("n", F.col("id") * 4_000_000)
+    plan = ranges.enclosing(asked, F.col("n"), df.selectExpr("cast(k AS string) AS v", "start", "end"), "v")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [level" in plan
+
+
 def test_distinct_counts_roll_up(spark):
     """Within two percent of exact for many customers, from hours, whatever the order of merging; nothing is expanded."""
     rows = spark.range(400_000).select(F.concat(F.lit("o"), F.col("id")).alias("order_id"), F.concat(F.lit("c"), F.col("id") % 60_000).alias("customer_id"), F.lit(1.0).alias("price"), F.lit("canceled").alias("order_status"), F.timestamp_seconds(F.col("id") % (72 * 3600)).alias("event_time"))
