@@ -64,3 +64,13 @@ def test_chunks_of_mixed_paragraphs(spark, tmp_path):
     con.execute(f"COPY d TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     for name in ("K1_chunks", "K1_packed_paragraphs"):
         assert differences(plans.QUERIES[name](spark, str(tmp_path)), plans.ORACLE[name], str(tmp_path)) == []
+
+
+def test_payments_of_nothing(spark, tmp_path):
+    """A damaged payment of zero is negative too, and an undamaged one stays."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e AS SELECT range AS event_id, TIMESTAMP '2024-01-02' + to_seconds(range) AS ts, range % 7 AS user_id, 'purchase' AS event_type, CAST(range % 4 AS DOUBLE) AS value, '{\"k\": 1}' AS props FROM range(300)")
+    con.execute(f"COPY e TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert con.execute("SELECT count(*) FROM e WHERE value = 0 AND event_id % 50 = 0").fetchall()[0][0] > 0
+    for name in ("S4_land_payments", "S2_payment_stream_source"):
+        assert differences(plans.QUERIES[name](spark, str(tmp_path)), plans.ORACLE[name], str(tmp_path)) == []
