@@ -83,6 +83,17 @@ def test_distinct_counts_roll_up(spark):
     assert sketches.sales_of(sketches.sales_sketches(rows.limit(0)), "day").count() == 0
 
 
+def test_ids_roll_up_exactly(spark):
+    """More orders and customers than a sketch counts exactly, null ids and a null category: with the hours' ids the counts are exact."""
+    rows = spark.range(120_000).select(F.expr("if(id % 11 = 0, null, concat('o', id % 90000))").alias("order_id"), F.expr("if(id % 5 = 0, null, concat('c', id % 30000))").alias("customer_id"), F.expr("nullif(concat('k', id % 3), 'k2')").alias("product_category"), F.lit(1.0).alias("price"), F.lit("created").alias("order_status"), F.timestamp_seconds(F.col("id") % (50 * 3600)).alias("event_time"))
+    rows = rows.union(spark.sql("SELECT null, null, 'none', 1.0D, 'created', timestamp_seconds(5)"))
+    by = ["product_category"]
+    for period, names in (("day", []), ("week", by)):
+        got = sketches.sales_of(sketches.sales_sketches(rows, by), period, names, sketches.sales_ids(rows, by))
+        want = rows.groupBy(F.date_trunc(period, "event_time").alias("t"), *names).agg(F.count_distinct("order_id"), F.count_distinct("customer_id"))
+        assert sorted(map(str, (tuple(r) for r in got.select("period_start", *names, "order_cnt", "unique_customers").collect()))) == sorted(map(str, (tuple(r) for r in want.collect())))
+
+
 def test_drift_of_sketches(spark, sf):
     """As the exact index within the sketches' rank error; features without values in a period have no index."""
     h = A.feature_history(spark, sf)
