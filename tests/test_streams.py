@@ -212,16 +212,27 @@ def test_rows_without_a_time(spark, tmp_path, sf):
 def test_customers_share_a_group(spark, tmp_path):
     """Many customers in one group: totals, ends and what is left are those of each customer, and so are the running features."""
     day, people = 86_400, [f"c{k}" for k in range(40)]
-    first = [(k, c, 1.0 + k, 100 * k) for k, c in enumerate(people)]
-    second = [(100 + k, c, 2.0, 100 * k + (day + 1 if k % 2 else 3600)) for k, c in enumerate(people)]
-    stream = order_files(spark, f"{tmp_path}/in", first, second, [(999, "z", 1.0, 3990 + day)])
+    first = [(k, c, 1.0 + k, 100 * k + 10) for k, c in enumerate(people)]
+    second = [(100 + k, c, 2.0, 100 * k + (day + 20 if k % 2 else 4000)) for k, c in enumerate(people)]
+    stream = order_files(spark, f"{tmp_path}/in", first, second, [(999, "z", 1.0, 4390 + day)])
     with state.rocksdb(spark):
         J.run_available(state.running_totals(stream, buckets=1), J.table_sink(f"{tmp_path}/out"), f"{tmp_path}/c")
     got = {r.order_id: (r.order_count, r.gmv, r.hour_count) for r in spark.read.parquet(f"{tmp_path}/out/*").collect()}
-    want = {f"o{k}": (1, 1.0 + k, 1) for k in range(40)} | {f"o{100 + k}": (1, 2.0, 1) if k % 2 else (2, 3.0 + k, 2) for k in range(40)} | {"o999": (1, 1.0, 1)}
+    want = {f"o{k}": (1, 1.0 + k, 1) for k in range(40)} | {f"o{100 + k}": (1, 2.0, 1) if k % 2 else (2, 3.0 + k, 1) for k in range(40)} | {"o999": (1, 1.0, 1)}
     assert got == want
     left = {r.key.customer_id: r.value.order_count for r in state.state_left(spark, f"{tmp_path}/c").collect()}
-    assert left == {c: 1 if k % 2 else 2 for k, c in enumerate(people) if k % 2 or 100 * k + 3600 > 3985} | {"z": 1}
+    assert left == {c: 1 if k % 2 else 2 for k, c in enumerate(people) if k % 2 or 100 * k + 4000 > 4385} | {"z": 1}
     J.run_available(J.running_user_features(stream, ttl_ms=day * 1000, buckets=1), J.table_sink(f"{tmp_path}/f"), f"{tmp_path}/d", "update")
     rows = [(r.customer_id, r.order_count, r.gmv) for r in spark.read.parquet(f"{tmp_path}/f/*").collect()]
     assert len(rows) == 81 and max(rows, key=lambda r: (r[0] == "c4", r[1])) == ("c4", 2, 7.0)
+
+
+def test_rows_are_numbered_by_many_tasks(spark, tmp_path):
+    """A partition's rows are put in order by ranges, over appends: offsets without gaps, in order, and no window over a whole partition."""
+    path = f"{tmp_path}/t"
+    topic.create(path, 2, 1000)
+    for start, end in ((0, 6000), (6000, 6001), (6001, 9000)):
+        topic.publish(rows_of(spark, start, end).orderBy(F.xxhash64("nr")).repartition(5), path, PART, ["nr"])
+    got = sorted((r.partition, r.offset, r.value) for r in table_of(spark, path).collect())
+    assert got == sorted((k % 2, k // 2, f"v{k}") for k in range(9000))
+    assert not [f for f in topic.listed(f"{path}/_staged", "ordered")]
