@@ -9,11 +9,15 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from lakeloom import plans
+from lakeloom.plans import streams
 from lakeloom.sources import adapters as A
 from lakeloom.sources import topic
 from lakeloom.streaming import jobs as J
 from lakeloom.streaming import progress, state
 
+from .test_oracles import differences
+
 PART = "nr % 2"
 
 
@@ -236,3 +240,28 @@ def test_rows_are_numbered_by_many_tasks(spark, tmp_path):
     got = sorted((r.partition, r.offset, r.value) for r in table_of(spark, path).collect())
     assert got == sorted((k % 2, k // 2, f"v{k}") for k in range(9000))
     assert not [f for f in topic.listed(f"{path}/_staged", "ordered")]
+
+
+def test_slices_fill_their_files(spark, tmp_path, monkeypatch):
+    """Most rows share a time and few lack one: each batch of files is a slice of the order of time, and no file is missing or empty."""
+    monkeypatch.setattr(streams, "SLICE_FILE_ROWS", 250)
+    time = F.when(F.col("id") % 3000 == 0, None).when(F.col("id") % 10 < 7, F.lit(1_000_000)).otherwise(1_000_000 + F.col("id") * 60)
+    rows = lambda s, _: s.range(6000).select(F.timestamp_seconds(time).alias("event_time"), F.col("id").cast("string").alias("order_id"))
+    folder, files = streams.event_files(spark, "", rows, closed=True, delayed=F.col("order_id").cast("long") % 10 == 9)
+    assert files == 4
+    J.run_available(streams.read_files(spark, folder, files).withColumn("file", F.input_file_name()), J.table_sink(f"{tmp_path}/out"), f"{tmp_path}/c")
+    read = spark.read.parquet(f"{tmp_path}/out")
+    batches = read.groupBy("batch").agg(F.count_distinct("file").alias("files"), F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert [b.files for b in batches] == [4] * len(batches) and len(batches) >= 5
+    *early, first_end, second_end, late = batches
+    assert (first_end.n, first_end.last.year, second_end.n, second_end.last.year, late.n) == (4, 2100, 4, 2101, 600)
+    assert all(a.last < b.first for a, b in zip(early, early[1:])) and sum(b.n for b in early) == 5400
+    assert read.filter("order_id <> 'end'").agg(F.count_distinct("order_id")).first()[0] == 6000
+
+
+@pytest.mark.parametrize("name", ["T7_replay", "T8_late_rows", "S7_aggregate_sink"])
+def test_slices_of_several_files(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(streams, "SLICE_FILE_ROWS", 40)
+    monkeypatch.setattr(streams, "FILE_LEAST", 8)
+    assert streams.event_files(spark, sf)[1] == 4
+    assert differences(plans.QUERIES[name](spark, sf), plans.ORACLE[name], sf) == []
