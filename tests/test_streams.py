@@ -265,3 +265,13 @@ def test_slices_of_several_files(spark, sf, monkeypatch, name):
     monkeypatch.setattr(streams, "FILE_LEAST", 8)
     assert streams.event_files(spark, sf)[1] == 4
     assert differences(plans.QUERIES[name](spark, sf), plans.ORACLE[name], sf) == []
+
+
+def test_a_task_writes_few_partitions(spark, tmp_path):
+    """Days are written by the tasks of their ranges, not each by every task."""
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id AS k", "date_add(DATE '2024-01-01', CAST(id % 40 AS INT)) AS day", "id AS v")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in").groupBy("k", "day").agg(F.max("v").alias("v"))
+    J.run_available(stream, J.upsert_sink(f"{tmp_path}/t", ["k", "day"], ["v"], "day"), f"{tmp_path}/c", "update")
+    written = spark.read.parquet(f"{tmp_path}/t")
+    assert written.count() == 4000 and len(written.inputFiles()) <= 40 + 4
