@@ -113,6 +113,7 @@ def mix(docs: DataFrame, **params: object) -> DataFrame:
     plain = sorted(c for c, kind in docs.dtypes if "map<" not in kind)
     keyed = docs.withColumns({"_key": row_key(*plain), "_key2": F.xxhash64(row_key(*plain), *reversed(plain), F.lit(2))})
     plan = materialize(plan_mix(keyed, **params, carry=("_key", "_key2")).select("_key", "_key2", F.explode("positions").alias("_position")), "plan")
-    both = keyed.dropDuplicates(["_key", "_key2"]).join(plan, ["_key", "_key2"])
+    # dropDuplicates has dealt the texts by these keys, so the plan, of up to a row a document and epoch, need not be broadcast
+    both = keyed.dropDuplicates(["_key", "_key2"]).join(plan.hint("merge"), ["_key", "_key2"])
     ordered = both.orderBy("_position", "doc_id", "_key").drop("_key", "_key2")
     return ordered.select(*(c for c in docs.columns if c != "position"), F.col("_position").alias("position"))

@@ -10,7 +10,9 @@ verified bit by bit, and links are joined into components.
 Only distinct fingerprints enter the index, so copies never make pairs. A list longer than ``list_cap`` is
 not expanded into pairs: its fingerprints are linked through midpoints instead, which is exact as well and
 linear. (Two fingerprints within an even radius have a value within half of it of both; each fingerprint
-names all such values, and those that name the same one form a star.) Components are found by alternating
+names all such values, and those that name the same one form a star.) Spark takes what an explode makes for
+hardly larger than what it was made from, so postings, pairs and midpoints are always joined by shuffles, never
+through a broadcast. Components are found by alternating
 large and small stars on (document id, document id) links; nothing of them reaches the driver but a count
 and a checksum a round.
 """
@@ -91,11 +93,11 @@ def fingerprint_links(nodes: DataFrame, radius: int, list_cap: int = 256) -> Dat
         raise ValueError("the radius has to be even")
     postings = nodes.select("fp", "node", F.inline(positional_keys(F.col("fp"), radius)))
     lists = postings.groupBy("choice", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialize(postings.join(lists, ["choice", "bytes"]), "met")
+    met = materialize(postings.join(lists.hint("merge"), ["choice", "bytes"]), "met")
     short = met.filter(F.col("n") <= list_cap)
     other = short.select("choice", "bytes", F.col("fp").alias("fp2"), F.col("node").alias("node2"))
     x = F.col("fp").bitwiseXOR(F.col("fp2"))
-    pairs = short.join(other, ["choice", "bytes"]).filter(F.col("fp") < F.col("fp2"))
+    pairs = short.join(other.hint("merge"), ["choice", "bytes"]).filter(F.col("fp") < F.col("fp2"))
     pairs = pairs.filter(shared_bytes(x) >= 8 - radius).filter(F.bit_count(x) <= radius).select(F.col("node").alias("a"), F.col("node2").alias("b"))
     long_ = met.filter(F.col("n") > list_cap).select("fp", "node").distinct()
     near = [0, *(1 << k for k in range(64))]
@@ -104,7 +106,7 @@ def fingerprint_links(nodes: DataFrame, radius: int, list_cap: int = 256) -> Dat
     flips = F.expr("array(" + ",".join(f"{m - 2**64 if m >= 2**63 else m}L".replace("-9223372036854775808L", "(-9223372036854775807L - 1L)") for m in near) + ")")
     named = long_.select("node", F.explode(flips).alias("flip"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("midpoint"))
     centres = named.groupBy("midpoint").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    stars = named.join(centres, "midpoint").filter("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    stars = named.join(centres.hint("merge"), "midpoint").filter("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 

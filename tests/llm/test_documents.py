@@ -309,6 +309,27 @@ def test_simhash_links_of_a_ball(spark, radius, cap):
     assert got == brute_components(list(enumerate(prints)), radius)
 
 
+def test_postings_and_midpoints_are_not_broadcast(spark, tmp_path):
+    """Files of a few fingerprints look small to Spark, what is exploded from them isn't."""
+    r = np.random.default_rng(4)
+    centre = int(r.integers(0, 2**62))
+    prints = {int(x) for x in r.integers(0, 2**62, 1000)} | {centre ^ sum(1 << int(b) for b in r.choice(62, 3, replace=False)) for _ in range(60)}
+    spark.createDataFrame(list(enumerate(prints)), "node long, fp long").write.parquet(f"{tmp_path}/nodes")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "512k")
+    try:
+        links = simhash.fingerprint_links(spark.read.parquet(f"{tmp_path}/nodes"), 4, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    roots = dict(map(tuple, simhash.connected_components(spark.createDataFrame(links)).collect()))
+    got = Counter((k, f"{p:016x}", roots.get(k, k)) for k, p in enumerate(prints))
+    assert got == brute_components(list(enumerate(prints)), 4)
+
+
+def test_mix_does_not_broadcast_its_plan(spark):
+    docs = spark.createDataFrame([(k, "a b c", "x") for k in range(50)], "doc_id long, text string, source string")
+    assert "BroadcastExchange" not in mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_of_the_largest_id(spark):
     """The largest id isn't taken for a null one."""
     docs = spark.createDataFrame([(2**63 - 1, "a b c d e"), (None, "a b c d e"), (2**63 - 1, "x y z"), (None, "other words here")], "doc_id long, text string")
