@@ -13,6 +13,8 @@ from lakeloom.llm import bpe, mixing, quality, simhash, substrings
 from lakeloom.llm.common import materialize, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of two numbers that may be broadcast: some 15 MB.
+HELD_ROWS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +26,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near duplicates (five-word shingles), that of the smallest id.
 
     Rows of one id, or of none, are documents of their own: what tells them apart is a hash of the row. Of
-    rows that are equal in all columns one stays. What goes out is written first, a few numbers a row, so
-    that Spark knows its size: texts move only if it is too large for a broadcast.
+    rows that are equal in all columns one stays. What goes out is written first, a few numbers a row, and
+    counted: texts move only if it is too large for a broadcast, by its rows, as files hold a row in a tenth of its size.
     """
     docs = docs.select(*COLUMNS).withColumn("row_key", row_key(*COLUMNS[1:]))
     out = simhash.surplus(docs, "row_key", shingle=5, radius=4).withColumnsRenamed({"doc_id": "out_id", "row_key": "out_key"})
     out = materialize(out, "surplus")
+    if out.count() > HELD_ROWS:
+        out = out.hint("merge")
     same = docs.doc_id.eqNullSafe(out.out_id) & (docs.row_key == out.out_key)
     kept = docs.join(out, same, "left_anti")
     repeated = docs.join(out.filter("first"), same, "left_semi").dropDuplicates(["doc_id", "row_key"])

@@ -11,8 +11,8 @@ Only distinct fingerprints enter the index, so copies never make pairs. A list l
 not expanded into pairs: its fingerprints are linked through midpoints instead, which is exact as well and
 linear. (Two fingerprints within an even radius have a value within half of it of both; each fingerprint
 names all such values, and those that name the same one form a star.) Spark takes what an explode makes for
-hardly larger than what it was made from, so postings, pairs and midpoints are always joined by shuffles, never
-through a broadcast. Components are found by alternating
+hardly larger than what it was made from, and for copies goes by files that are packed well; so postings, pairs,
+midpoints and the rows of fingerprints are always joined by shuffles, never through a broadcast. Components are found by alternating
 large and small stars on (document id, document id) links; nothing of them reaches the driver but a count
 and a checksum a round.
 """
@@ -134,7 +134,7 @@ def components(prints: DataFrame, radius: int, list_cap: int) -> DataFrame:
     """(fp, component) of every distinct fingerprint of prints; component is a fingerprint of the group."""
     nodes = materialize(prints.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
     roots = connected_components(fingerprint_links(nodes, radius, list_cap))
-    return materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component")), "components")
+    return materialize(nodes.join(roots.hint("merge"), "node", "left").select("fp", F.coalesce("root", "node").alias("component")), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, list_cap: int = 256) -> DataFrame:
@@ -148,9 +148,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, list_cap
     prints = materialize(fingerprints(docs, shingle), "prints")
     named = components(prints, radius, list_cap)
     # what each fingerprint has first, then each component: a group however large is combined before it moves
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp")
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named.hint("merge"), "fp")
     of_print = firsts.join(firsts.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(of_print.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def surplus(docs: DataFrame, key: str, shingle: int = 3, radius: int = 2, list_cap: int = 256) -> DataFrame:
@@ -163,7 +163,7 @@ def surplus(docs: DataFrame, key: str, shingle: int = 3, radius: int = 2, list_c
     prints = materialize(fingerprints(docs, shingle, (key,)).groupBy("doc_id", key, "fp").agg(F.count("*").alias("n")), "prints")
     named = components(prints, radius, list_cap)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(key))
-    firsts = prints.groupBy("fp").agg(F.min(rank).alias("least")).join(named, "fp")
+    firsts = prints.groupBy("fp").agg(F.min(rank).alias("least")).join(named.hint("merge"), "fp")
     of_print = firsts.join(firsts.groupBy("component").agg(F.min("least").alias("best")), "component").select("fp", "best")
-    out = prints.join(of_print, "fp").withColumn("first", rank == F.col("best"))
+    out = prints.join(of_print.hint("merge"), "fp").withColumn("first", rank == F.col("best"))
     return out.filter(~F.col("first") | (F.col("n") > 1)).select("doc_id", key, "first")

@@ -46,6 +46,17 @@ def test_stages(spark, sf):
     assert corpus_pipeline.bpe_stage(spark, mixed, sf).count() == mixed.count()
 
 
+def test_near_dedup_by_broadcast_and_by_shuffle(spark, sf, monkeypatch):
+    """What goes out is broadcast up to a number of rows, whatever its files take, and gives the same rows either way."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    held = corpus_pipeline.near_dedup_stage(spark, docs, sf)
+    monkeypatch.setattr(corpus_pipeline, "HELD_ROWS", 0)
+    dealt = corpus_pipeline.near_dedup_stage(spark, docs, sf)
+    assert "BroadcastExchange" in plan(held) and "BroadcastExchange" not in plan(dealt)
+    assert 0 < held.count() < docs.count() and held.exceptAll(dealt).count() == dealt.exceptAll(held).count() == 0
+
+
 def test_pipeline_runs(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids", "position"] and out.count() > 0
