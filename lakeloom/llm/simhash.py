@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, list_cap
     named = components(prints, radius, list_cap)
     # what each fingerprint has first, then each component: a group however large is combined before it moves
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named.hint("merge"), "fp")
-    of_print = firsts.join(firsts.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
+    of_print = firsts.join(firsts.groupBy("component").agg(F.min("first").alias("component_id")).hint("merge"), "component").select("fp", "component_id")
     return prints.join(of_print.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -164,6 +164,6 @@ def surplus(docs: DataFrame, key: str, shingle: int = 3, radius: int = 2, list_c
     named = components(prints, radius, list_cap)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(key))
     firsts = prints.groupBy("fp").agg(F.min(rank).alias("least")).join(named.hint("merge"), "fp")
-    of_print = firsts.join(firsts.groupBy("component").agg(F.min("least").alias("best")), "component").select("fp", "best")
+    of_print = firsts.join(firsts.groupBy("component").agg(F.min("least").alias("best")).hint("merge"), "component").select("fp", "best")
     out = prints.join(of_print.hint("merge"), "fp").withColumn("first", rank == F.col("best"))
     return out.filter(~F.col("first") | (F.col("n") > 1)).select("doc_id", key, "first")
